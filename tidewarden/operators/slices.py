@@ -1,0 +1,126 @@
+"""Ordered work inside groups of any size.
+
+A running sum, a rank or a lag over `partitionBy(key)` puts a whole key into one task. Here a key is
+first cut into slices: consecutive ranges of the ordering columns, with bounds taken from quantiles
+of the data. All windows then run per (key, slice); what crosses a slice border is a small per-slice
+summary. An instant that fills whole slices by itself is cut again along the next ordering column.
+The bounds are constants of the plan, so a re-run task puts every row into the same slice.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from dataclasses import dataclass, field
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+SLICE = "_slice"
+_INF = float("inf")
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Bounds of the slices: of the main order, and of the next one inside crowded points."""
+
+    bounds: list[float]
+    crowded: list[int] = field(default_factory=list)
+    sub_bounds: list[float] = field(default_factory=list)
+
+    def add(self, df: DataFrame, main: Column, sub: Column | None) -> DataFrame:
+        """`df` with the slice number, which grows with (main, sub)."""
+        inputs, outputs, splits = ["_main"], ["_m"], [[-_INF, *self.bounds, _INF]]
+        df = df.withColumn("_main", main.cast("double"))
+        fine = bool(self.crowded and self.sub_bounds and sub is not None)
+        if fine:
+            df = df.withColumn("_sub", sub.cast("double"))
+            inputs, outputs, splits = inputs + ["_sub"], outputs + ["_s"], splits + [[-_INF, *self.sub_bounds, _INF]]
+        cut = Bucketizer(inputCols=inputs, outputCols=outputs, splitsArray=splits, handleInvalid="keep").transform(df)
+        number = F.col("_m").cast("long") * (len(self.sub_bounds) + 2)
+        if fine:
+            number = number + F.when(F.col("_m").isin([float(c) for c in self.crowded]), F.col("_s").cast("long")).otherwise(0)
+        return cut.withColumn(SLICE, number).drop("_main", "_sub", "_m", "_s")
+
+
+def _quantiles(df: DataFrame, col: Column, parts: int) -> list[float]:
+    probabilities = [i / parts for i in range(1, parts)]
+    return df.select(col.cast("double").alias("q")).approxQuantile("q", probabilities, 1 / (4 * parts))
+
+
+def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: int | None = None) -> Slices:
+    """Slice bounds for `df`; `parts` defaults to the session's shuffle partitions.
+
+    The main order must be a whole number (epoch microseconds, an arrival number).
+    """
+    parts = max(2, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    points = [math.floor(q) for q in _quantiles(df, main, parts)]
+    # A point met by several quantiles holds more rows than a slice should: it gets its own slice.
+    crowded = sorted(p for p, n in Counter(points).items() if n > 1) if sub is not None else []
+    bounds = sorted({float(p) for p in points} | {float(p + 1) for p in crowded})
+    if not crowded:
+        return Slices(bounds)
+    inside = df.filter(main.isin(crowded))
+    sub_bounds = sorted(set(_quantiles(inside, sub, parts)))
+    return Slices(bounds, [bounds.index(float(p)) + 1 for p in crowded], sub_bounds)
+
+
+def running_total(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: Column,
+    out: str,
+    main: Column | None = None,
+    slices: Slices | None = None,
+) -> DataFrame:
+    """`df` plus the sum of `value` from the start of the key up to and including the row.
+
+    `order` must be unique within a key. `main` is the numeric form of its first column.
+    """
+    main = F.col(order[0]) if main is None else main
+    sub = F.col(order[1]) if len(order) > 1 else None
+    slices = slices or plan_slices(df, main, sub)
+    cut = slices.add(df.withColumn("_v", value), main, sub)
+    before = (
+        cut.groupBy(*keys, SLICE)
+        .agg(F.sum("_v").alias("_own"))
+        .withColumn("_before", F.sum("_own").over(Window.partitionBy(*keys).orderBy(SLICE)) - F.col("_own"))
+        .drop("_own")
+    )
+    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        cut.withColumn("_local", F.sum("_v").over(local))
+        .join(before, [*keys, SLICE])
+        .withColumn(out, F.col("_before") + F.col("_local"))
+        .drop("_v", "_local", "_before", SLICE)
+    )
+
+
+def previous_value(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    out: str,
+    main: Column | None = None,
+    slices: Slices | None = None,
+) -> DataFrame:
+    """`df` plus the value of the row before, in order, within the key (null on the first row)."""
+    main = F.col(order[0]) if main is None else main
+    sub = F.col(order[1]) if len(order) > 1 else None
+    slices = slices or plan_slices(df, main, sub)
+    cut = slices.add(df, main, sub)
+    carried = (
+        cut.groupBy(*keys, SLICE)
+        .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
+        .drop("_last")
+    )
+    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    return (
+        cut.withColumn("_prev", F.lag(F.struct(value)).over(local))
+        .join(carried, [*keys, SLICE])
+        .withColumn(out, F.coalesce("_prev", "_carried")[value])
+        .drop("_prev", "_carried", SLICE)
+    )
