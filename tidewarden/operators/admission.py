@@ -6,6 +6,7 @@ tagged, so accepted, overflow and shed rows always add up to the input.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -135,17 +136,23 @@ def limit_in_flight(
     return totals.withColumn("verdict", F.when(F.col("_used") <= max_bytes, F.lit(ACCEPTED)).otherwise(F.lit(SHED))).drop("_used")
 
 
-def _run_kernel(rows: DataFrame, starts: DataFrame, rate: int, state: list[str], order: list[str], out: T.StructType, tag: bool) -> DataFrame:
-    heads = starts.select(*state, "_level", "_since").withColumn("_head", F.lit(1))
+def _run_kernel(rows: DataFrame, starts: DataFrame, rate: int, key: list[str], order: list[str], out: T.StructType, tag: bool) -> DataFrame:
+    """Run the bucket over `rows`; a run of slices (`_run`) starts from its row in `starts`."""
+    heads = starts.select(*key, SLICE, "_run", "_level", "_since").withColumn("_head", F.lit(1))
     body = rows.withColumns({"_level": F.lit(0).cast("long"), "_since": F.lit(0).cast("long"), "_head": F.lit(0)})
     return (
         body.unionByName(heads, allowMissingColumns=True)
-        .repartition(*state)
-        .sortWithinPartitions(*state, F.col("_head").desc(), "_us", *order)
-        .mapInArrow(bucket_kernel(rate, state, tag), out)
+        .repartition(*key, "_run")
+        .sortWithinPartitions(*key, "_run", SLICE, F.col("_head").desc(), "_us", *order)
+        .mapInArrow(bucket_kernel(rate, [*key, SLICE], tag), out)
     )
 
 
+# Rounds that run all moved slices side by side, and the length of the runs after them.
+_WIDE_ROUNDS = 3
+_RUN_LENGTH = 16
+
+
 def limit_rate(
     df: DataFrame,
     bytes_per_second: int | None,
@@ -160,14 +167,18 @@ def limit_rate(
     A verdict depends on every row before it, yet a key may hold a third of all rows. Keys are cut
     into slices that run side by side, each from a guessed start (full credit); the credit at the
     end of a slice becomes the next one's start, and slices whose start moved run again, until none
-    moves. Credit forgets its past whenever it fills up, so a key within its budget settles after
-    the second round. A key over its budget without a pause may need more; every round settles at
-    least one more slice of each key, and the result is the row-by-row one. Rounds use a staged
-    table of key, time, order and size, and no task ever holds more than a stream of its slices.
+    moves. Credit forgets its past whenever it fills up, so a key within its budget settles in the
+    second round. A key that stays over its budget without a pause keeps its past: from the fourth
+    round on its first unsettled slices run in one sequence, sixteen at a time. Every round settles
+    at least one more slice of each key, so the result is the row-by-row one; the admission key
+    (tenant and shard, say) sets how much of an overload runs in parallel.
+
+    Rounds use a staged table of key, time, order and size.
     """
     if not bytes_per_second:
         return df.withColumn("verdict", F.lit(ACCEPTED))
-    rate, state, order = int(bytes_per_second), [*key, SLICE], list(order)
+    rate, key, order = int(bytes_per_second), list(key), list(order)
+    state = [*key, SLICE]
     us = epoch_us(ts)
     sub = F.col(order[0]) if order else None
     slices = plan_slices(df, us, sub, parts)
@@ -177,31 +188,40 @@ def limit_rate(
     end_schema = T.StructType(
         [narrow.schema[c] for c in state] + [T.StructField(c, T.LongType()) for c in ("_level", "_end_level", "_end_us")]
     )
-    starts = narrow.select(*state).distinct().withColumns({"_level": F.lit(rate).cast("long"), "_since": F.lit(NEVER)})
-    ends, rows = None, narrow
     in_key = Window.partitionBy(*key).orderBy(SLICE)
-    while True:
-        fresh = _run_kernel(rows, starts, rate, state, order, end_schema, tag=False)
+    starts = narrow.select(*state).distinct().withColumns({"_level": F.lit(rate).cast("long"), "_since": F.lit(NEVER), "_run": F.col(SLICE)})
+    rows, ends = narrow.withColumn("_run", F.col(SLICE)), None
+    for done in itertools.count(1):
+        fresh = _run_kernel(rows, starts, rate, key, order, end_schema, tag=False)
         if ends is not None:
             # Slices that did not run again keep their end.
-            kept = ends.alias("e").join(starts.alias("s"), _same("e", "s", state), "left_anti")
-            fresh = fresh.unionByName(kept)
+            fresh = fresh.unionByName(ends.alias("e").join(again.alias("a"), _same("e", "a", state), "left_anti"))
         ends = stage(fresh, "bucket-ends")
         follow = ends.select(
             *state,
             F.col("_level").alias("_used"),
             F.coalesce(F.lag("_end_level").over(in_key), F.lit(rate).cast("long")).alias("_level"),
             F.coalesce(F.lag("_end_us").over(in_key), F.lit(NEVER)).alias("_since"),
+            F.col(SLICE).alias("_run"),
         )
-        # The first round knows no previous time, which full credit does not need.
-        moved = stage(follow.filter(F.col("_used") != F.col("_level")).drop("_used"), "bucket-moved")
+        moved = follow.filter(F.col("_used") != F.col("_level"))
         if moved.isEmpty():
             break
-        starts = moved
-        rows = narrow.alias("n").join(moved.alias("m"), _same("n", "m", state), "left_semi")
-    settled = follow.drop("_used")
+        if done < _WIDE_ROUNDS:
+            starts = again = moved
+        else:
+            # Everything before a key's first moved slice is settled, so its start is exact.
+            first = F.min(F.when(F.col("_used") != F.col("_level"), F.col(SLICE))).over(Window.partitionBy(*key))
+            again = (
+                follow.withColumn("_run", first)
+                .filter(F.col(SLICE) >= F.col("_run"))
+                .withColumn("_nth", F.row_number().over(in_key))
+                .filter(F.col("_nth") <= _RUN_LENGTH)
+            )
+            starts = again.filter(F.col("_nth") == 1)
+        rows = narrow.alias("n").join(again.alias("a"), _same("n", "a", state)).select("n.*", "a._run")
     tagged = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType())])
-    return _run_kernel(cut, settled, rate, state, order, tagged, tag=True)
+    return _run_kernel(cut.withColumn("_run", F.col(SLICE)), follow, rate, key, order, tagged, tag=True)
 
 
 def _same(left: str, right: str, columns: list[str]) -> Column:

@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 
@@ -15,7 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SECOND = 1_000_000
 ACCEPTED, SHED = "accepted", "shed"
 NEVER = -(2**63)
-HELPERS = ("_head", "_us", "_cost", "_level", "_since", "_slice")
+HELPERS = ("_head", "_us", "_cost", "_level", "_since", "_slice", "_run")
 
 
 def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate: int) -> tuple[np.ndarray, int]:
@@ -55,43 +56,72 @@ def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate:
 def bucket_kernel(rate: int, state: list[str], tag: bool):
     """Arrow kernel over rows sorted by (state, _head first, time).
 
-    A run of one (key, slice) opens with a head row that brings its start credit. The kernel streams
-    batches, so memory does not depend on the length of a run. It emits either the tagged rows or
-    one row per run with the credit at its end.
+    A run of slices opens with a head row that brings its start credit; later slices of the run
+    carry on from there. The kernel streams batches, so memory does not depend on the length of a
+    run. It emits either the tagged rows or, per slice, the credit it started and ended with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: pa.RecordBatch | None = None
-        level, since = rate, None
+        name, used, level, since, current = None, rate, rate, None, None
 
         def close() -> pa.RecordBatch:
-            ends = [pa.array([level], pa.int64()), pa.array([since], pa.int64())]
-            return pa.RecordBatch.from_arrays(
-                [opened.column(c) for c in (*state, "_level")] + ends, names=[*state, "_level", "_end_level", "_end_us"]
-            )
+            numbers = [pa.array([n], pa.int64()) for n in (used, level, since)]
+            return pa.RecordBatch.from_arrays([*name, *numbers], names=[*state, "_level", "_end_level", "_end_us"])
 
         for batch in batches:
-            head, us, cost, start, start_us = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_head", "_us", "_cost", "_level", "_since")
+            if not batch.num_rows:
+                continue
+            head, us, cost, start, start_us, piece = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_head", "_us", "_cost", "_level", "_since", "_slice")
             )
             tags = np.ones(len(head), dtype=bool)
-            cuts = np.unique(np.concatenate(([0], np.flatnonzero(head == 1), [len(head)])))
+            moves = np.concatenate(([current != piece[0]], piece[1:] != piece[:-1]))
+            cuts = np.unique(np.concatenate(([0], np.flatnonzero((head == 1) | moves), [len(head)])))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if head[a] == 1:
-                    if opened is not None and not tag:
+                if head[a] == 1 or moves[a]:
+                    if name is not None and not tag:
                         yield close()
-                    opened, level = batch.slice(int(a), 1), int(start[a])
-                    since = None if start_us[a] == NEVER else int(start_us[a])
-                    a = a + 1
+                    if head[a] == 1:
+                        level, since = int(start[a]), None if start_us[a] == NEVER else int(start_us[a])
+                    name, used = [batch.column(c).slice(int(a), 1) for c in state], level
+                a = a + int(head[a])
                 if b > a:
                     tags[a:b], level = admit(us[a:b], cost[a:b], level, since, rate)
                     since = int(us[b - 1])
+            current = piece[-1]
             if tag:
                 rows = np.flatnonzero(head == 0)
                 verdict = pa.array(np.where(tags[rows], ACCEPTED, SHED), pa.string())
                 kept = batch.select([c for c in batch.schema.names if c not in HELPERS]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*kept.columns, verdict], names=[*kept.schema.names, "verdict"])
-        if opened is not None and not tag:
+        if name is not None and not tag:
             yield close()
 
     return run
+
+
+def rate_state(rate: int, order: list[str], columns: list[str]):
+    """Grouped state function: the token bucket of one key, one micro-batch at a time."""
+
+    def run(_key, frames, state):
+        rows = pd.concat(list(frames)).sort_values(["_us", *order])
+        level, since = state.get if state.exists else (rate, None)
+        ok, level = admit(rows["_us"].to_numpy(), rows["_cost"].to_numpy(), int(level), since, rate)
+        state.update((level, int(rows["_us"].iloc[-1])))
+        yield rows[columns].assign(verdict=np.where(ok, ACCEPTED, SHED))
+
+    return run
+
+
+def in_flight_state(cap: int, order: list[str], columns: list[str]):
+    """Grouped state function: bytes offered since the last flush of one key."""
+
+    def run(_key, frames, state):
+        rows = pd.concat(list(frames)).sort_values(["_us", *order])
+        epoch, used = state.get if state.exists else (None, 0)
+        total = rows.groupby("_epoch")["_cost"].cumsum()
+        total = total + np.where(rows["_epoch"] == epoch, used, 0)
+        state.update((int(rows["_epoch"].iloc[-1]), int(total.iloc[-1])))
+        yield rows[columns].assign(verdict=np.where(total <= cap, ACCEPTED, SHED))
+
+    return run

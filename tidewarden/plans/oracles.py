@@ -321,3 +321,19 @@ ages AS (SELECT tenant, {DAY_OF} AS dt, epoch_us({AS_OF}) - epoch_us(max(ts)) AS
 bits AS (SELECT a.tenant, dt, min(bits) AS bits FROM ages a JOIN pbits b ON b.tenant = a.tenant AND age_us > after_us GROUP BY ALL)
 SELECT r.tenant, metric, series_id, ts, round(CASE WHEN bits IS NULL THEN value ELSE {_MERGE_TRUNC} END, 6) AS value, CAST(resolution_us AS BIGINT) AS resolution_us,
   {DAY_OF} AS dt, CAST(bits AS INTEGER) AS bits FROM rolled r LEFT JOIN bits b ON b.tenant = r.tenant AND b.dt = {DAY_OF}"""
+
+DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)"
+ORACLES |= {
+    "stream_ingest": f"WITH {EV} SELECT tenant, CAST(ts AS DATE) AS dt, count(*) AS n_rows, CAST(sum(nbytes) AS BIGINT) AS n_bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY ALL",
+    "stream_rollup": f"""WITH {EV}, b AS (SELECT *, {bucket(str(HOUR))} AS bucket_ts FROM ev)
+SELECT tenant, metric, series_id, bucket_ts AS ts, {AGGS['last']} AS value, CAST({HOUR} AS BIGINT) AS resolution_us
+FROM b GROUP BY tenant, metric, series_id, bucket_ts HAVING bucket_ts + INTERVAL 1 HOUR <= {DONE}""",
+    "stream_dedup": f"WITH {EV} SELECT DISTINCT tenant, series_id, ts FROM ev",
+    "stream_limit_rate": ORACLES["limit_rate"],
+    "stream_limit_in_flight": ORACLES["limit_in_flight"].replace("SELECT tenant, epoch, arrival_seq", "SELECT tenant, arrival_seq"),
+    "stream_partial_success": f"""WITH {EV}, w AS (SELECT *, {bucket(str(HOUR))} AS window_ts, arrival_seq % 3 = 0 AS shed FROM ev)
+SELECT tenant, window_ts, count(*) FILTER (NOT shed) AS accepted_rows, count(*) FILTER (shed) AS rejected_rows,
+  CAST(coalesce(sum(nbytes) FILTER (NOT shed), 0) AS BIGINT) AS accepted_bytes, CAST(coalesce(sum(nbytes) FILTER (shed), 0) AS BIGINT) AS rejected_bytes,
+  CASE WHEN count(*) FILTER (shed) > 0 THEN 'RESOURCE_EXHAUSTED' END AS reason
+FROM w GROUP BY tenant, window_ts HAVING window_ts + INTERVAL 1 HOUR <= {DONE}""",
+}

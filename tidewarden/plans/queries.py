@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,6 +14,10 @@ from ..functions.tiers import PrecisionTier, RollupTier
 from ..functions.timeline import DAY, HOUR, MINUTE, without_zone
 from ..operators import admission, documents, fleet, placement, policy, precision, replicas, retention, rollup, sidecar
 from ..sources import parts, signals
+from ..sources.samples import as_samples
+from ..sources.staging import shared_folder
+from ..streaming import admission as stream_admission
+from ..streaming import aggregates, ingest
 from . import inputs, merge_job
 from .inputs import EVENTS_AS_OF, LINEITEM_AS_OF, LINEITEM_ORDER, NODES, RF, SHARDS
 
@@ -207,11 +212,14 @@ def limit_series_soft(spark, sf_dir):
     return admission.limit_series(inputs.events(spark, sf_dir), 103, 100).select("tenant", "arrival_seq", "series_id", "verdict")
 
 
+def _replayed(rows: DataFrame) -> DataFrame:
+    """The month replayed five thousand times faster, so that tenants do run out of credit."""
+    return rows.withColumn("ts", F.timestamp_micros(F.expr("1704067200000000 + (unix_micros(ts) - 1704067200000000) div 5000")))
+
+
 @register("limit_rate")
 def limit_rate(spark, sf_dir):
-    # The month replayed five thousand times faster, so that tenants do run out of credit.
-    fast = inputs.events(spark, sf_dir).withColumn("ts", F.timestamp_micros(F.expr("1704067200000000 + (unix_micros(ts) - 1704067200000000) div 5000")))
-    return admission.limit_rate(fast, 150).select("tenant", "arrival_seq", "ts", "verdict")
+    return admission.limit_rate(_replayed(inputs.events(spark, sf_dir)), 150).select("tenant", "arrival_seq", "ts", "verdict")
 
 
 @register("limit_in_flight")
@@ -363,6 +371,62 @@ def condition_transitions(spark, sf_dir):
     return fleet.condition_transitions(inputs.condition_rows(spark, sf_dir))
 
 
+# --- streams, drained once -------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_samples(ingest.ingest_stream(spark, sf_dir, schema, name_filter="events.parquet"), inputs.EVENTS)
+
+
+def _drain(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream to its end into a table of the shared folder and read that table."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    ingest.flushed(writer, f"{root}/checkpoint", None).start(f"{root}/table").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    root = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    ingest.write_samples(_event_stream(spark, sf_dir), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").groupBy("tenant", "dt").agg(
+        F.count("*").alias("n_rows"), F.sum("nbytes").alias("n_bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@register("stream_rollup")
+def stream_rollup(spark, sf_dir):
+    return _drain(aggregates.rollup_stream(_event_stream(spark, sf_dir), RollupTier(0, HOUR, "last"), 10 * MINUTE), "rollup")
+
+
+@register("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    three = _event_stream(spark, sf_dir).select("tenant", "series_id", "ts", F.explode(F.expr("array('n0', 'n1', 'n2')")).alias("node"))
+    return _drain(aggregates.dedup_stream(three, HOUR).select("tenant", "series_id", "ts"), "dedup")
+
+
+@register("stream_limit_rate")
+def stream_limit_rate(spark, sf_dir):
+    fast = _replayed(_event_stream(spark, sf_dir)).select("tenant", "arrival_seq", "ts", "nbytes")
+    return _drain(stream_admission.limit_rate_stream(fast, 150), "rate").select("tenant", "arrival_seq", "ts", "verdict")
+
+
+@register("stream_limit_in_flight")
+def stream_limit_in_flight(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select("tenant", "arrival_seq", "ts", "nbytes")
+    return _drain(stream_admission.limit_in_flight_stream(rows, 700, 6 * HOUR), "in-flight").select("tenant", "arrival_seq", "verdict")
+
+
+@register("stream_partial_success")
+def stream_partial_success(spark, sf_dir):
+    odd = F.when(F.col("arrival_seq") % 3 == 0, admission.SHED).otherwise(admission.ACCEPTED)
+    tagged = _event_stream(spark, sf_dir).withColumn("verdict", odd)
+    return _drain(aggregates.partial_success_stream(tagged, HOUR, 10 * MINUTE), "partial")
+
+
 # --- the composed job ------------------------------------------------------------------------
 
 
