@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Duration units and their length in nanoseconds.
@@ -45,9 +43,9 @@ _MAX_LONG = 2**63 - 1
 
 
 def _lookup(key: Column, table: dict[str, int], sql_type: str) -> Column:
-    rows = list(table.items())
-    first = F.when(key == rows[0][0], F.lit(rows[0][1]).cast(sql_type))
-    return reduce(lambda acc, kv: acc.when(key == kv[0], F.lit(kv[1]).cast(sql_type)), rows[1:], first)
+    """Value of a unit; a constant map, so the key is worked out once."""
+    entries = [x for k, v in table.items() for x in (F.lit(k), F.lit(v).cast(sql_type))]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def _checked(text: Column, pattern: str, value: Column, what: str, strict: bool) -> Column:

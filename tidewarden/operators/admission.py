@@ -83,8 +83,8 @@ def limit_series(
     if not max_series:
         return df.withColumn("verdict", F.lit(ACCEPTED))
     verdicts = stage(series_verdicts(df, max_series, max_series_soft, key, arrival), "verdicts")
-    tagged = df.join(verdicts.select(*key, "signal", "series_id", "verdict"), [*key, "signal", "series_id"], "left")
-    tagged = tagged.withColumn("verdict", F.coalesce("verdict", F.lit(ACCEPTED)))
+    tagged = df.alias("d").join(verdicts.alias("v"), _same("d", "v", [*key, "signal", "series_id"]), "left")
+    tagged = tagged.select("d.*", F.coalesce("v.verdict", F.lit(ACCEPTED)).alias("verdict"))
     marker = F.create_map(*[F.lit(x) for kv in OVERFLOW_LABELS.items() for x in kv])
     folded = F.col("verdict") == OVERFLOW
     tagged = tagged.withColumn("series_id", F.when(folded, series_id(F.col("tenant"), F.col("metric"), marker)).otherwise(F.col("series_id")))

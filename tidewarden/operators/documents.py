@@ -71,6 +71,11 @@ def _prefixes(path: Column, strict: bool) -> Column:
     )
 
 
+def _each(rows: DataFrame, paths: Column, *keep: Column | str) -> DataFrame:
+    """`rows` once per path. An outer explode with a filter behind it works `paths` out once."""
+    return rows.select(*keep, F.explode_outer(paths).alias("path")).filter(F.col("path").isNotNull())
+
+
 def merge_documents(base: DataFrame, override: DataFrame) -> DataFrame:
     """Override documents laid over base documents with the same `doc`.
 
@@ -82,21 +87,19 @@ def merge_documents(base: DataFrame, override: DataFrame) -> DataFrame:
     columns = ["doc", "path", "value_json", "kind"]
     base, override = base.select(*columns), override.select(*columns)
     # An empty object laid over an object changes nothing.
-    objects = (
-        base.select("doc", F.explode(_prefixes(F.col("path"), strict=True)).alias("path"))
-        .unionByName(base.filter(F.col("kind") == "empty_object").select("doc", "path"))
-        .distinct()
-    )
     empty = F.col("kind") == "empty_object"
-    effective = override.filter(~empty).unionByName(override.filter(empty).join(objects, ["doc", "path"], "left_anti"))
+    inner = F.when(empty, _prefixes(F.col("path"), strict=False)).otherwise(_prefixes(F.col("path"), strict=True))
+    objects = _each(base, inner, "doc").distinct().alias("b")
+    onto = (F.col("o.doc") == F.col("b.doc")) & (F.col("o.path") == F.col("b.path")) & (F.col("o.kind") == "empty_object")
+    effective = override.alias("o").join(objects, onto, "left_anti")
     # A base row goes when an override sits on it or above it ...
     above = (
-        base.select("doc", F.col("path").alias("leaf"), F.explode(_prefixes(F.col("path"), strict=False)).alias("path"))
+        _each(base, _prefixes(F.col("path"), strict=False), "doc", F.col("path").alias("leaf"))
         .join(effective.select("doc", "path"), ["doc", "path"], "left_semi")
         .select("doc", F.col("leaf").alias("path"))
     )
     # ... or below it, which turns its value into an object.
-    below = effective.select("doc", F.explode(_prefixes(F.col("path"), strict=True)).alias("path"))
+    below = _each(effective, _prefixes(F.col("path"), strict=True), "doc")
     gone = above.unionByName(below).distinct()
     return base.join(gone, ["doc", "path"], "left_anti").unionByName(effective)
 

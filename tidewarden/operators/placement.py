@@ -52,7 +52,9 @@ def place_shards(keys: DataFrame, nodes: list[tuple[str, str]], rf: int) -> Data
     `keys` holds distinct (tenant, shard) pairs.
     """
     chosen = replica_nodes(F.concat_ws("/", "tenant", "shard"), nodes, rf)
-    return keys.select("tenant", "shard", F.posexplode(chosen).alias("replica", "node"))
+    # Outer: a plain explode adds a size check on the array, which sinks below the caller's distinct
+    # and would place every row instead of every key.
+    return keys.select("tenant", "shard", F.posexplode_outer(chosen).alias("replica", "node"))
 
 
 def shard_sizes(df: DataFrame, shards: int | None, series: str = "series_id") -> DataFrame:
@@ -74,7 +76,7 @@ def node_load(df: DataFrame, nodes: list[tuple[str, str]], rf: int, shards: int
     sizes = shard_sizes(df, shards, series)
     chosen = replica_nodes(F.concat_ws("/", "tenant", "shard"), nodes, rf)
     load = (
-        sizes.withColumn("node", F.explode(chosen))
+        sizes.withColumn("node", F.explode_outer(chosen))
         .groupBy("node")
         .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_series").alias("n_series"))
     )

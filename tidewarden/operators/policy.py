@@ -12,10 +12,10 @@ from .documents import merge_documents
 LIMIT_FIELDS = ("ingest_bytes_per_second", "max_in_flight_bytes", "max_series", "max_series_soft", "max_part_size")
 
 
-def _block(fields: dict[str, Column], sql_type: str) -> Column:
-    """A struct of the fields, or null when every field is null (the block is absent)."""
+def _block(fields: dict[str, Column], written: list[str], sql_type: str) -> Column:
+    """A struct of the fields, or null when none of them was written (the block is absent)."""
     body = F.struct(*[c.alias(n) for n, c in fields.items()]).cast(sql_type)
-    return F.when(F.coalesce(*[c.cast("string") for c in fields.values()]).isNotNull(), body)
+    return F.when(F.coalesce(*[F.col(w).cast("string") for w in written]).isNotNull(), body)
 
 
 def normalize_policies(raw: DataFrame, strict: bool = True) -> DataFrame:
@@ -39,8 +39,8 @@ def normalize_policies(raw: DataFrame, strict: bool = True) -> DataFrame:
     limits = {f: F.col(f).cast("long") if f.startswith("max_series") else nbytes(f) for f in LIMIT_FIELDS}
     return raw.select(
         "tenant",
-        _block({"max_age_us": us(F.col("max_age")), "max_bytes": nbytes("max_bytes")}, schema.RETENTION).alias("retention"),
-        _block(limits, schema.LIMITS).alias("limits"),
+        _block({"max_age_us": us(F.col("max_age")), "max_bytes": nbytes("max_bytes")}, ["max_age", "max_bytes"], schema.RETENTION).alias("retention"),
+        _block(limits, list(LIMIT_FIELDS), schema.LIMITS).alias("limits"),
         F.when(F.size("downsample") > 0, down).alias("downsample"),
         F.when(F.size("precision") > 0, prec).alias("precision"),
         recompress.alias("recompress"),
@@ -126,7 +126,8 @@ def policy_violations(policies: DataFrame, first_only: bool = False) -> DataFram
     broken = F.array_sort(F.filter(every, lambda v: v["bad"]))
     if first_only:
         broken = F.slice(broken, 1, 1)
-    return policies.select("tenant", F.explode(broken).alias("v")).select(
+    # Outer, then a filter: a plain explode would evaluate all rules a second time to check the size.
+    return policies.select("tenant", F.explode_outer(broken).alias("v")).filter(F.col("v").isNotNull()).select(
         "tenant",
         F.col("v.rule").alias("rule"),
         F.col("v.field").alias("field"),

@@ -40,7 +40,8 @@ class Slices:
         number = F.col("_m").cast("long") * (len(self.sub_bounds) + 2)
         if fine:
             number = number + F.when(F.col("_m").isin([float(c) for c in self.crowded]), F.col("_s").cast("long")).otherwise(0)
-        return cut.withColumn(SLICE, number).drop("_main", "_sub", "_m", "_s")
+        # Rows without a main value sort first; the slice is never null, so joins on it keep all rows.
+        return cut.withColumn(SLICE, F.coalesce(number, F.lit(-1).cast("long"))).drop("_main", "_sub", "_m", "_s")
 
 
 def _quantiles(df: DataFrame, col: Column, parts: int) -> list[float]:
@@ -65,6 +66,14 @@ def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: i
     return Slices(bounds, [bounds.index(float(p)) + 1 for p in crowded], sub_bounds)
 
 
+_KEY = "_key"
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The key as one struct: equal when its fields are, nulls included, and never null itself."""
+    return df.withColumn(_KEY, F.struct(*keys))
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
@@ -81,19 +90,19 @@ def running_total(
     main = F.col(order[0]) if main is None else main
     sub = F.col(order[1]) if len(order) > 1 else None
     slices = slices or plan_slices(df, main, sub)
-    cut = slices.add(df.withColumn("_v", value), main, sub)
+    cut = _keyed(slices.add(df.withColumn("_v", value), main, sub), keys)
     before = (
-        cut.groupBy(*keys, SLICE)
+        cut.groupBy(SLICE, _KEY)
         .agg(F.sum("_v").alias("_own"))
-        .withColumn("_before", F.sum("_own").over(Window.partitionBy(*keys).orderBy(SLICE)) - F.col("_own"))
+        .withColumn("_before", F.sum("_own").over(Window.partitionBy(_KEY).orderBy(SLICE)) - F.col("_own"))
         .drop("_own")
     )
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(SLICE, _KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.withColumn("_local", F.sum("_v").over(local))
-        .join(before, [*keys, SLICE])
+        .join(before, [SLICE, _KEY])
         .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_v", "_local", "_before", SLICE)
+        .drop("_v", "_local", "_before", SLICE, _KEY)
     )
 
 
@@ -110,17 +119,17 @@ def previous_value(
     main = F.col(order[0]) if main is None else main
     sub = F.col(order[1]) if len(order) > 1 else None
     slices = slices or plan_slices(df, main, sub)
-    cut = slices.add(df, main, sub)
+    cut = _keyed(slices.add(df, main, sub), keys)
     carried = (
-        cut.groupBy(*keys, SLICE)
+        cut.groupBy(SLICE, _KEY)
         .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
+        .withColumn("_carried", F.lag("_last").over(Window.partitionBy(_KEY).orderBy(SLICE)))
         .drop("_last")
     )
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    local = Window.partitionBy(SLICE, _KEY).orderBy(*order)
     return (
         cut.withColumn("_prev", F.lag(F.struct(value)).over(local))
-        .join(carried, [*keys, SLICE])
+        .join(carried, [SLICE, _KEY])
         .withColumn(out, F.coalesce("_prev", "_carried")[value])
-        .drop("_prev", "_carried", SLICE)
+        .drop("_prev", "_carried", SLICE, _KEY)
     )

@@ -78,7 +78,7 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = replica_nodes(F.concat_ws("/", "tenant", "shard"), NODES, RF)
     keys = sharded.select("tenant", "shard").distinct().withColumn("_nodes", chosen)
     spread = sharded.join(keys, ["tenant", "shard"]).select(
-        "tenant", "shard", "series_id", "ts", "value", "arrival_seq", F.posexplode("_nodes").alias("replica", "node")
+        "tenant", "shard", "series_id", "ts", "value", "arrival_seq", F.posexplode_outer("_nodes").alias("replica", "node")
     )
     odd = (F.col("arrival_seq") % 11 == 0) & (F.col("replica") == 2)
     return (
@@ -149,41 +149,59 @@ def raw_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Document rows as (doc, dotted path, value_json, kind), again run by both engines.
-BASE_DOCUMENT_SQL = """
-SELECT * FROM (
-  SELECT 'd' || c_custkey AS doc, 'storage.backend' AS p, '"file"' AS value_json, 'scalar' AS kind FROM customer
-  UNION ALL SELECT 'd' || c_custkey, 'storage.cluster.rf', '' || (c_custkey % 5), 'scalar' FROM customer WHERE c_custkey % 2 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'storage.cluster', '"none"', 'scalar' FROM customer WHERE c_custkey % 2 = 1
-  UNION ALL SELECT 'd' || c_custkey, 'ttl', '"720h"', 'scalar' FROM customer WHERE c_custkey % 3 <> 0
-  UNION ALL SELECT 'd' || c_custkey, 'ttl', '{}', 'empty_object' FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'etcd', '["a","b"]', 'list' FROM customer
-  UNION ALL SELECT 'd' || c_custkey, 'a.b.c', '' || c_custkey, 'scalar' FROM customer WHERE c_custkey % 4 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'a', '{}', 'empty_object' FROM customer WHERE c_custkey % 4 = 1
-) b
-"""
-OVERRIDE_DOCUMENT_SQL = """
-SELECT * FROM (
-  SELECT 'd' || c_custkey AS doc, 'storage.cluster.rf' AS p, '5' AS value_json, 'scalar' AS kind FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'storage', 'null', 'null' FROM customer WHERE c_custkey % 10 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'storage.dir', '"/x"', 'scalar' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 5 = 1
-  UNION ALL SELECT 'd' || c_custkey, 'storage.cluster', '{}', 'empty_object' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 1
-  UNION ALL SELECT 'd' || c_custkey, 'storage.policy', '"x"', 'scalar' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 17 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'storage.policy.retention.max_age', '"1h"', 'scalar' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'storage.policy.retention.max_bytes', '7', 'scalar' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'metrics_backend', '"other"', 'scalar' FROM customer WHERE c_custkey % 13 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'ttl.unit', '"h"', 'scalar' FROM customer WHERE c_custkey % 2 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'ttl', '"1h"', 'scalar' FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 7 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'etcd', '["c"]', 'list' FROM customer WHERE c_custkey % 4 = 2
-  UNION ALL SELECT 'd' || c_custkey, 'a', '{}', 'empty_object' FROM customer WHERE c_custkey % 6 = 0
-  UNION ALL SELECT 'd' || c_custkey, 'a.b', '1', 'scalar' FROM customer WHERE c_custkey % 6 = 1
-) o
-"""
+# Document rows per customer k: (dotted path, JSON text or SQL for it, kind, condition). Both engines
+# render the same list: one scan that explodes here, one branch per entry in the oracle.
+BASE_DOCUMENT = [
+    ("storage.backend", "'\"file\"'", "scalar", "true"),
+    ("storage.cluster.rf", "'' || (k % 5)", "scalar", "k % 2 = 0"),
+    ("storage.cluster", "'\"none\"'", "scalar", "k % 2 = 1"),
+    ("ttl", "'\"720h\"'", "scalar", "k % 3 <> 0"),
+    ("ttl", "'{}'", "empty_object", "k % 3 = 0"),
+    ("etcd", "'[\"a\",\"b\"]'", "list", "true"),
+    ("a.b.c", "'' || k", "scalar", "k % 4 = 0"),
+    ("a", "'{}'", "empty_object", "k % 4 = 1"),
+]
+OVERRIDE_DOCUMENT = [
+    ("storage.cluster.rf", "'5'", "scalar", "k % 10 <> 0 AND k % 3 = 0"),
+    ("storage", "'null'", "null", "k % 10 = 0"),
+    ("storage.dir", "'\"/x\"'", "scalar", "k % 10 <> 0 AND k % 5 = 1"),
+    ("storage.cluster", "'{}'", "empty_object", "k % 10 <> 0 AND k % 3 = 1"),
+    ("storage.policy", "'\"x\"'", "scalar", "k % 10 <> 0 AND k % 17 = 0"),
+    ("storage.policy.retention.max_age", "'\"1h\"'", "scalar", "k % 10 <> 0 AND k % 17 <> 0 AND k % 19 = 0"),
+    ("storage.policy.retention.max_bytes", "'7'", "scalar", "k % 10 <> 0 AND k % 17 <> 0 AND k % 19 = 0"),
+    ("metrics_backend", "'\"other\"'", "scalar", "k % 13 = 0"),
+    ("ttl.unit", "'\"h\"'", "scalar", "k % 2 = 0"),
+    ("ttl", "'\"1h\"'", "scalar", "k % 2 = 1 AND k % 7 = 0"),
+    ("etcd", "'[\"c\"]'", "list", "k % 4 = 2"),
+    ("a", "'{}'", "empty_object", "k % 6 = 0"),
+    ("a.b", "'1'", "scalar", "k % 6 = 1"),
+]
+POLICY_OVERRIDE = [
+    ("retention.max_age", "'\"24h\"'", "scalar", "k % 3 = 0"),
+    ("limits", "'null'", "null", "k % 3 = 1"),
+    ("downsample", "'[{\"after\":\"6h\",\"interval\":\"1m\",\"agg\":\"max\"}]'", "list", "k % 4 = 0"),
+    ("retention.max_bytes", "'\"500Gi\"'", "scalar", "k % 5 = 0"),
+]
 
 
-def documents(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    rows = _sql(spark, sf_dir, text, "customer")
-    return rows.select("doc", F.split("p", "[.]").alias("path"), "value_json", "kind")
+def document_sql(rules: list[tuple[str, str, str, str]], prefix: str = "d") -> str:
+    """The oracle's rendering."""
+    branches = [
+        f"SELECT '{prefix}' || k AS doc, '{p}' AS p, {v} AS value_json, '{kind}' AS kind FROM (SELECT c_custkey AS k FROM customer) WHERE {when}"
+        for p, v, kind, when in rules
+    ]
+    return "SELECT * FROM (" + " UNION ALL ".join(branches) + ") rows"
+
+
+def documents(spark: SparkSession, sf_dir: str, rules: list[tuple[str, str, str, str]], prefix: str = "d") -> DataFrame:
+    entries = F.array(
+        *[
+            F.when(F.expr(when), F.struct(F.split(F.lit(p), "[.]").alias("path"), F.expr(v).alias("value_json"), F.lit(kind).alias("kind")))
+            for p, v, kind, when in rules
+        ]
+    )
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").select(F.concat(F.lit(prefix), "k").alias("doc"), F.explode(F.array_compact(entries)).alias("e"))
+    return rows.select("doc", "e.path", "e.value_json", "e.kind")
 
 
 DEFAULT_POLICY = [
@@ -193,14 +211,6 @@ DEFAULT_POLICY = [
     (["downsample"], '[{"after":"24h","interval":"5m"},{"after":"168h","interval":"1h","agg":"avg"}]', "list"),
     (["signals", "profiles"], "false", "scalar"),
 ]
-POLICY_OVERRIDE_SQL = """
-SELECT * FROM (
-  SELECT 'c' || c_custkey AS doc, 'retention.max_age' AS p, '"24h"' AS value_json, 'scalar' AS kind FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT 'c' || c_custkey, 'limits', 'null', 'null' FROM customer WHERE c_custkey % 3 = 1
-  UNION ALL SELECT 'c' || c_custkey, 'downsample', '[{"after":"6h","interval":"1m","agg":"max"}]', 'list' FROM customer WHERE c_custkey % 4 = 0
-  UNION ALL SELECT 'c' || c_custkey, 'retention.max_bytes', '"500Gi"', 'scalar' FROM customer WHERE c_custkey % 5 = 0
-) o
-"""
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,12 +166,12 @@ found(tenant, grp, tier, rule, field, other_tier) AS (
   UNION ALL SELECT tenant, 0, NULL, 24, 'shards', NULL FROM norm WHERE shards < 0)"""
 FINDING = "tenant, CAST(rule AS INTEGER) AS rule, field, CAST(tier AS INTEGER) AS tier, CAST(other_tier AS INTEGER) AS other_tier, rule = 1 AS retryable"
 
-MERGE = f"""base AS ({inputs.BASE_DOCUMENT_SQL}), override AS ({inputs.OVERRIDE_DOCUMENT_SQL}),
+MERGE = f"""base AS ({inputs.document_sql(inputs.BASE_DOCUMENT)}), override AS ({inputs.document_sql(inputs.OVERRIDE_DOCUMENT)}),
 eff AS (SELECT * FROM override o WHERE kind <> 'empty_object' OR NOT EXISTS (
   SELECT 1 FROM base b WHERE b.doc = o.doc AND (starts_with(b.p, o.p || '.') OR (b.p = o.p AND b.kind = 'empty_object'))))"""
 
 RESERVED = "reserved(path, hint) AS (VALUES " + ", ".join(f"('{p}', '{h}')" for p, h in RESERVED_PATHS.items()) + ")"
-FOUND_PATHS = f"""o AS ({inputs.OVERRIDE_DOCUMENT_SQL}), {RESERVED},
+FOUND_PATHS = f"""o AS ({inputs.document_sql(inputs.OVERRIDE_DOCUMENT)}), {RESERVED},
 hits AS (SELECT DISTINCT doc, r.path, hint FROM o JOIN reserved r ON o.p = r.path OR starts_with(o.p, r.path || '.')),
 wipes AS (SELECT DISTINCT doc, p AS path FROM o WHERE kind <> 'empty_object' AND EXISTS (SELECT 1 FROM reserved r WHERE starts_with(r.path, o.p || '.')))"""
 

@@ -328,14 +328,14 @@ def policy_first_violation(spark, sf_dir):
 
 @register("doc_merge")
 def doc_merge(spark, sf_dir):
-    base = inputs.documents(spark, sf_dir, inputs.BASE_DOCUMENT_SQL)
-    override = inputs.documents(spark, sf_dir, inputs.OVERRIDE_DOCUMENT_SQL)
+    base = inputs.documents(spark, sf_dir, inputs.BASE_DOCUMENT)
+    override = inputs.documents(spark, sf_dir, inputs.OVERRIDE_DOCUMENT)
     return documents.merge_documents(base, override).withColumn("path", F.array_join("path", "."))
 
 
 @register("reserved_paths")
 def reserved_paths(spark, sf_dir):
-    return documents.reserved_path_violations(inputs.documents(spark, sf_dir, inputs.OVERRIDE_DOCUMENT_SQL))
+    return documents.reserved_path_violations(inputs.documents(spark, sf_dir, inputs.OVERRIDE_DOCUMENT))
 
 
 @register("reserved_path_report")
@@ -346,7 +346,7 @@ def reserved_path_report(spark, sf_dir):
 @register("effective_policy")
 def effective_policy(spark, sf_dir):
     tenants = inputs.table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS tenant")
-    overrides = inputs.documents(spark, sf_dir, inputs.POLICY_OVERRIDE_SQL)
+    overrides = inputs.documents(spark, sf_dir, inputs.POLICY_OVERRIDE, "c")
     flat = _flat_policy(policy.effective_policies(tenants, inputs.DEFAULT_POLICY, overrides))
     return flat.select("tenant", "max_age_us", "max_bytes", "max_series", "max_in_flight_bytes", "downsample", "profiles")
 

@@ -26,7 +26,7 @@ def assign_parts(
         raise ValueError("the part size must be positive")
     df = df if "dt" in df.columns else df.withColumn("dt", partition_of("ts"))
     total = running_total(df, list(by), list(order), F.col(nbytes), "_total", main=epoch_us(order[0]))
-    return total.withColumn("part_id", F.floor((F.col("_total") - F.col(nbytes)) / F.lit(max_part_bytes)).cast("long")).drop("_total")
+    return total.withColumn("part_id", F.call_function("div", F.col("_total") - F.col(nbytes), F.lit(max_part_bytes).cast("long"))).drop("_total")
 
 
 def write_parts(df: DataFrame, path: str, max_part_bytes: int, by: tuple[str, ...] = PART_KEY, level: int | None = None, mode: str = "append") -> None:

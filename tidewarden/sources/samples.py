@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import series_id
+from ..functions.hashing import series_id_of
 from ..functions.timeline import utc_timestamps
 
 
@@ -35,15 +35,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def as_samples(df: DataFrame, mapping: Mapping) -> DataFrame:
     """Project a table to the sample schema; unused columns never leave the scan."""
-    labels: list[Column] = [x for k, v in sorted(mapping.labels.items()) for x in (F.lit(k), F.expr(v).cast("string"))]
+    labels: dict[str, Column] = {k: F.expr(v).cast("string") for k, v in sorted(mapping.labels.items())}
     tenant, metric = F.expr(mapping.tenant), F.expr(mapping.metric)
-    label_map = F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")
+    entries = [x for k, v in labels.items() for x in (F.lit(k), v)]
+    label_map = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
     return df.select(
         tenant.alias("tenant"),
         F.expr(mapping.signal).alias("signal"),
         metric.alias("metric"),
         label_map.alias("labels"),
-        series_id(tenant, metric, label_map).alias("series_id"),
+        series_id_of(tenant, metric, labels).alias("series_id"),
         F.expr(mapping.ts).alias("ts"),
         F.expr(mapping.value).cast("double").alias("value"),
         F.expr(mapping.arrival_seq).cast("long").alias("arrival_seq"),
