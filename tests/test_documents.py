@@ -82,12 +82,15 @@ def test_random_documents(spark):
         assert got[name] == paths(deep_merge(base[name], over[name])), name
 
 
-def test_depth_is_never_cut(spark):
-    deep = {"a": {"b": {"c": {"d": 1}}}}
-    df = spark.createDataFrame([("d", json.dumps(deep))], "doc string, body string")
-    assert flatten_documents(df, max_depth=4).first()["path"] == ["a", "b", "c", "d"]
-    with pytest.raises(Exception, match="nested deeper"):
-        flatten_documents(df, max_depth=3).collect()
+def test_any_depth_and_bad_input(spark):
+    deep: dict = {"leaf": 1}
+    for _ in range(60):
+        deep = {"k": deep}
+    assert flat(spark, {"d": deep}).first()["path"] == ["k"] * 60 + ["leaf"]
+    assert flat(spark, {"d": {"a": [], "b": {}, "c": None, "d": "é"}}).count() == 4
+    for body in ("[1]", "{"):
+        with pytest.raises(Exception):
+            flatten_documents(spark.createDataFrame([("d", body)], "doc string, body string")).collect()
 
 
 GUARD = [

@@ -6,13 +6,10 @@ A document is one row per leaf: `(doc, path ARRAY<STRING>, value_json, kind)` wi
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import fingerprint
-
-MAX_DEPTH = 12
+from .kernels import document_leaves
 
 # Configuration paths owned by the platform, and what to use instead. A path also
 # covers everything below it.
@@ -39,28 +36,16 @@ RESERVED_PATHS = {
 }
 
 
-def flatten_documents(df: DataFrame, doc: str = "doc", body: str = "body", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """JSON documents as path rows. Deeper nesting than `max_depth` fails the job, it is never cut."""
-    level = df.select(F.col(doc).alias("doc"), F.array().cast("array<string>").alias("path"), F.parse_json(body).alias("_v"))
-    leaves = []
-    for depth in range(max_depth + 1):
-        shape = F.schema_of_variant("_v")
-        inner = shape.startswith("OBJECT<") & (shape != "OBJECT<>")
-        kind = (
-            F.when(shape == "OBJECT<>", "empty_object").when(shape.startswith("ARRAY<"), "list").when(shape == "VOID", "null").otherwise("scalar")
-        )
-        if depth == max_depth:
-            text = F.when(inner, F.raise_error(F.lit(f"document nested deeper than {max_depth}")).cast("string")).otherwise(F.to_json("_v"))
-            leaves.append(level.select("doc", "path", text.alias("value_json"), kind.alias("kind")))
-            break
-        # The empty document itself has no rows.
-        leaves.append(level.filter(~inner & (F.size("path") > 0)).select("doc", "path", F.to_json("_v").alias("value_json"), kind.alias("kind")))
-        level = (
-            level.filter(inner)
-            .lateralJoin(level.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-            .select("doc", F.array_append("path", F.col("key")).alias("path"), F.col("value").alias("_v"))
-        )
-    return reduce(DataFrame.unionByName, leaves)
+def flatten_documents(df: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """JSON documents as path rows, at any depth.
+
+    Built-in functions open one level per plan node, so this is the one place that walks a value in
+    Python, an Arrow batch at a time. Malformed JSON fails the job.
+    """
+    leaves = F.pandas_udf(document_leaves, "array<struct<path:array<string>,value_json:string,kind:string>>")
+    # Outer, then a filter: a plain explode would run the function twice.
+    rows = df.select(F.col(doc).alias("doc"), F.explode_outer(leaves(F.col(body))).alias("_leaf")).filter(F.col("_leaf").isNotNull())
+    return rows.select("doc", "_leaf.path", "_leaf.value_json", "_leaf.kind")
 
 
 def _prefixes(path: Column, strict: bool) -> Column:
