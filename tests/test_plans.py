@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON = {"limit_rate"}
-LAZY = [n for n in contract.queries() if not n.startswith(("stream_", "limit_rate"))]
+LAZY = [n for n in contract.queries() if not n.startswith(("stream_", "limit_rate", "doc_flatten"))]
 
 
 def plan(spark, name):

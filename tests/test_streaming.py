@@ -1,13 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.functions.tiers import RollupTier
 from tidewarden.functions.timeline import HOUR, MINUTE
 from tidewarden.operators.admission import limit_in_flight, limit_rate
+from tidewarden.operators.kernels import admit
 from tidewarden.operators.rollup import downsample
-from tidewarden.streaming.admission import limit_in_flight_stream, limit_rate_stream
+from tidewarden.streaming.admission import limit_in_flight_stream, limit_rate_stream, write_rate_limited
 from tidewarden.streaming.aggregates import dedup_stream, latest_heartbeats_stream, rollup_stream
 from tidewarden.streaming.ingest import flushed, ingest_stream, write_samples, write_signal_stream
 
@@ -75,6 +77,19 @@ def test_rate_limit_equals_batch(feed, tmp_path):
     assert 0 < got.filter("verdict = 'shed'").count() < 400
 
 
+def test_sliced_rate_limit_equals_batch(spark, feed, tmp_path):
+    df, stream = feed
+    fast = lambda d: d.select("tenant", F.timestamp_micros(F.expr("unix_micros(ts) div 100")).alias("ts"), "arrival_seq", "nbytes")
+    write_rate_limited(fast(stream), str(tmp_path / "r"), 60, str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "r" / "rows")).drop("batch")
+    assert rows(got) == rows(limit_rate(fast(df), 60))
+
+
+def test_late_rows_refill_nothing():
+    ok, level = admit(np.array([0, 500_000]), np.array([10, 50]), 20, 2_000_000, 100)
+    assert list(ok) == [True, False] and level == 10
+
+
 def test_in_flight_equals_batch(feed, tmp_path):
     df, stream = feed
     cols = ["tenant", "ts", "arrival_seq", "nbytes"]

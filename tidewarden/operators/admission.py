@@ -83,7 +83,7 @@ def limit_series(
     if not max_series:
         return df.withColumn("verdict", F.lit(ACCEPTED))
     verdicts = stage(series_verdicts(df, max_series, max_series_soft, key, arrival), "verdicts")
-    tagged = df.alias("d").join(verdicts.alias("v"), _same("d", "v", [*key, "signal", "series_id"]), "left")
+    tagged = df.alias("d").join(verdicts.alias("v"), same_key("d", "v", [*key, "signal", "series_id"]), "left")
     tagged = tagged.select("d.*", F.coalesce("v.verdict", F.lit(ACCEPTED)).alias("verdict"))
     marker = F.create_map(*[F.lit(x) for kv in OVERFLOW_LABELS.items() for x in kv])
     folded = F.col("verdict") == OVERFLOW
@@ -162,7 +162,26 @@ def limit_rate(
     nbytes: str = "nbytes",
     parts: int | None = None,
 ) -> DataFrame:
-    """`df` plus `verdict` under a token bucket per key: one second of burst, shed rows spend nothing.
+    """`df` plus `verdict` under a token bucket per key, every key starting with full credit."""
+    if not bytes_per_second:
+        return df.withColumn("verdict", F.lit(ACCEPTED))
+    return limit_rate_from(df, None, bytes_per_second, key, ts, order, nbytes, parts)[0]
+
+
+def limit_rate_from(
+    df: DataFrame,
+    credit: DataFrame | None,
+    bytes_per_second: int,
+    key: tuple[str, ...] = ("tenant",),
+    ts: str = "ts",
+    order: tuple[str, ...] = ("arrival_seq",),
+    nbytes: str = "nbytes",
+    parts: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """`df` plus `verdict`, and the credit `(key, level, since)` left per key.
+
+    `credit` is what an earlier call left; keys without a row start full. A key may save up one
+    second of its rate, and shed rows spend nothing.
 
     A verdict depends on every row before it, yet a key may hold a third of all rows. Keys are cut
     into slices that run side by side, each from a guessed start (full credit); the credit at the
@@ -175,8 +194,6 @@ def limit_rate(
 
     Rounds use a staged table of key, time, order and size.
     """
-    if not bytes_per_second:
-        return df.withColumn("verdict", F.lit(ACCEPTED))
     rate, key, order = int(bytes_per_second), list(key), list(order)
     state = [*key, SLICE]
     us = epoch_us(ts)
@@ -189,19 +206,35 @@ def limit_rate(
         [narrow.schema[c] for c in state] + [T.StructField(c, T.LongType()) for c in ("_level", "_end_level", "_end_us")]
     )
     in_key = Window.partitionBy(*key).orderBy(SLICE)
-    starts = narrow.select(*state).distinct().withColumns({"_level": F.lit(rate).cast("long"), "_since": F.lit(NEVER), "_run": F.col(SLICE)})
+    full = {"_level": F.lit(rate).cast("long"), "_since": F.lit(NEVER)}
+    cells = narrow.select(*state).distinct()
+    if credit is None:
+        cells = cells.withColumns({"_level0": full["_level"], "_since0": full["_since"]})
+    else:
+        left = cells.alias("n").join(credit.alias("c"), same_key("n", "c", key), "left")
+        cells = left.select("n.*", F.coalesce("c.level", full["_level"]).alias("_level0"), F.coalesce("c.since", full["_since"]).alias("_since0"))
+    # Where a key's first slice starts; one row per slice.
+    cells = stage(cells, "bucket-cells")
+    first_slice = F.row_number().over(in_key) == 1
+    starts = cells.select(
+        *state,
+        F.when(first_slice, F.col("_level0")).otherwise(full["_level"]).alias("_level"),
+        F.when(first_slice, F.col("_since0")).otherwise(full["_since"]).alias("_since"),
+        F.col(SLICE).alias("_run"),
+    )
     rows, ends = narrow.withColumn("_run", F.col(SLICE)), None
     for done in itertools.count(1):
         fresh = _run_kernel(rows, starts, rate, key, order, end_schema, tag=False)
         if ends is not None:
             # Slices that did not run again keep their end.
-            fresh = fresh.unionByName(ends.alias("e").join(again.alias("a"), _same("e", "a", state), "left_anti"))
+            fresh = fresh.unionByName(ends.alias("e").join(again.alias("a"), same_key("e", "a", state), "left_anti"))
         ends = stage(fresh, "bucket-ends")
-        follow = ends.select(
+        known = ends.alias("e").join(cells.alias("c"), same_key("e", "c", state)).select("e.*", "c._level0", "c._since0")
+        follow = known.select(
             *state,
             F.col("_level").alias("_used"),
-            F.coalesce(F.lag("_end_level").over(in_key), F.lit(rate).cast("long")).alias("_level"),
-            F.coalesce(F.lag("_end_us").over(in_key), F.lit(NEVER)).alias("_since"),
+            F.coalesce(F.lag("_end_level").over(in_key), F.col("_level0")).alias("_level"),
+            F.coalesce(F.lag("_end_us").over(in_key), F.col("_since0")).alias("_since"),
             F.col(SLICE).alias("_run"),
         )
         moved = follow.filter(F.col("_used") != F.col("_level"))
@@ -219,12 +252,13 @@ def limit_rate(
                 .filter(F.col("_nth") <= _RUN_LENGTH)
             )
             starts = again.filter(F.col("_nth") == 1)
-        rows = narrow.alias("n").join(again.alias("a"), _same("n", "a", state)).select("n.*", "a._run")
+        rows = narrow.alias("n").join(again.alias("a"), same_key("n", "a", state)).select("n.*", "a._run")
     tagged = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType())])
-    return _run_kernel(cut.withColumn("_run", F.col(SLICE)), follow, rate, key, order, tagged, tag=True)
+    left = ends.groupBy(*key).agg(F.max_by("_end_level", SLICE).alias("level"), F.max_by("_end_us", SLICE).alias("since"))
+    return _run_kernel(cut.withColumn("_run", F.col(SLICE)), follow, rate, key, order, tagged, tag=True), left
 
 
-def _same(left: str, right: str, columns: list[str]) -> Column:
+def same_key(left: str, right: str, columns: list[str]) -> Column:
     """Null-safe equality: a row without a key still belongs to one."""
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 

@@ -24,12 +24,14 @@ def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate:
     """Token bucket over ordered rows: which are accepted, and the credit left at the last one.
 
     Credit counts whole bytes and refills on the absolute clock, floor(rate * t), so no rounding
-    depends on where a run starts. The cap is one second of rate. While nothing is shed, credit is a
+    depends on where a run starts. The cap is one second of rate. A row older than `since` counts as
+    arriving then. While nothing is shed, credit is a
     cumulative sum held under a ceiling, so such stretches are decided with whole-array operations;
     only the rows around a shed one are stepped through.
     """
     clock = (us // SECOND) * rate + (us % SECOND) * rate // SECOND
     at = int(clock[0]) if since is None else (since // SECOND) * rate + (since % SECOND) * rate // SECOND
+    clock = np.maximum(clock, at)
     ok = np.ones(len(us), dtype=bool)
     i = 0
     while i < len(us):
@@ -88,7 +90,7 @@ def bucket_kernel(rate: int, state: list[str], tag: bool):
                 a = a + int(head[a])
                 if b > a:
                     tags[a:b], level = admit(us[a:b], cost[a:b], level, since, rate)
-                    since = int(us[b - 1])
+                    since = int(us[b - 1]) if since is None else max(since, int(us[b - 1]))
             current = piece[-1]
             if tag:
                 rows = np.flatnonzero(head == 0)
@@ -108,7 +110,8 @@ def rate_state(rate: int, order: list[str], columns: list[str]):
         rows = pd.concat(list(frames)).sort_values(["_us", *order])
         level, since = state.get if state.exists else (rate, None)
         ok, level = admit(rows["_us"].to_numpy(), rows["_cost"].to_numpy(), int(level), since, rate)
-        state.update((level, int(rows["_us"].iloc[-1])))
+        last = int(rows["_us"].iloc[-1])
+        state.update((level, last if since is None else max(since, last)))
         yield rows[columns].assign(verdict=np.where(ok, ACCEPTED, SHED))
 
     return run

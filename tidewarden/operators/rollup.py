@@ -117,18 +117,23 @@ def downsample_by_policy(
     """`downsample` with every tenant's own tiers; `keys` must include `tenant`.
 
     The tier is picked inside the row, so no sample is copied per tier. One grouping computes the
-    seven aggregates, as the aggregate in force is known only per row.
+    seven aggregates, as the aggregate in force is known only per row. The youngest age any policy
+    names is looked up first: rows younger than that never enter the rolled side, and the bound
+    reaches the scan.
     """
     age = F.lit(micros(as_of)) - epoch_us(ts)
+    youngest = policies.select(F.min(F.array_min(F.transform("downsample", lambda t: t["after_us"])))).first()[0]
     tiered = df.join(policies.select("tenant", F.col("downsample").alias("_tiers")), "tenant", "left").withColumn(
         "_tier", chosen_tier(F.col("_tiers"), age)
     )
     raw = tiered.filter(F.col("_tier").isNull()).select(
         *keys, F.col(ts).alias("ts"), F.col(value).alias("value"), F.lit(0).cast("long").alias("resolution_us")
     )
+    if youngest is None:
+        return raw
     order = _order(ts, order_cols)
     grouped = (
-        tiered.filter(F.col("_tier").isNotNull())
+        tiered.filter((F.col(ts) < instant(micros(as_of) - youngest)) & F.col("_tier").isNotNull())
         .withColumn("resolution_us", F.col("_tier.interval_us"))
         .withColumn("_after", F.col("_tier.after_us"))
         .withColumn("_agg", F.coalesce("_tier.agg", F.lit("last")))

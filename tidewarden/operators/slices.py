@@ -58,7 +58,7 @@ def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: i
     points = [math.floor(q) for q in _quantiles(df, main, parts)]
     # A point met by several quantiles holds more rows than a slice should: it gets its own slice.
     crowded = sorted(p for p, n in Counter(points).items() if n > 1) if sub is not None else []
-    bounds = sorted({float(p) for p in points} | {float(p + 1) for p in crowded})
+    bounds = sorted({float(p) for p in points} | {float(p + 1) for p in crowded}) or [0.0]
     if not crowded:
         return Slices(bounds)
     inside = df.filter(main.isin(crowded))

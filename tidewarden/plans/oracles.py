@@ -280,6 +280,7 @@ FROM norm LEFT JOIN dt USING (tenant) LEFT JOIN bt USING (tenant)""",
     "policy_violations": f"WITH {FOUND} SELECT {FINDING} FROM found",
     "policy_first_violation": f"""WITH {FOUND} SELECT {FINDING} FROM found
 QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY grp, tier NULLS FIRST, rule) = 1""",
+    "doc_flatten": "SELECT event_id AS doc, 'k' AS path, regexp_extract(props, '[0-9]+') AS value_json, 'scalar' AS kind FROM events",
     "doc_merge": f"""WITH {MERGE} SELECT doc, p AS path, value_json, kind FROM base b WHERE NOT EXISTS (
   SELECT 1 FROM eff o WHERE o.doc = b.doc AND (o.p = b.p OR starts_with(b.p, o.p || '.') OR starts_with(o.p, b.p || '.')))
 UNION ALL SELECT doc, p, value_json, kind FROM eff""",
@@ -330,6 +331,7 @@ SELECT tenant, metric, series_id, bucket_ts AS ts, {AGGS['last']} AS value, CAST
 FROM b GROUP BY tenant, metric, series_id, bucket_ts HAVING bucket_ts + INTERVAL 1 HOUR <= {DONE}""",
     "stream_dedup": f"WITH {EV} SELECT DISTINCT tenant, series_id, ts FROM ev",
     "stream_limit_rate": ORACLES["limit_rate"],
+    "stream_limit_rate_sliced": ORACLES["limit_rate"],
     "stream_limit_in_flight": ORACLES["limit_in_flight"].replace("SELECT tenant, epoch, arrival_seq", "SELECT tenant, arrival_seq"),
     "stream_partial_success": f"""WITH {EV}, w AS (SELECT *, {bucket(str(HOUR))} AS window_ts, arrival_seq % 3 = 0 AS shed FROM ev)
 SELECT tenant, window_ts, count(*) FILTER (NOT shed) AS accepted_rows, count(*) FILTER (shed) AS rejected_rows,

@@ -326,6 +326,12 @@ def policy_first_violation(spark, sf_dir):
     return policy.policy_violations(policy.normalize_policies(inputs.raw_policies(spark, sf_dir)), first_only=True)
 
 
+@register("doc_flatten")
+def doc_flatten(spark, sf_dir):
+    props = inputs.table(spark, sf_dir, "events").selectExpr("event_id AS doc", "props AS body")
+    return documents.flatten_documents(props).withColumn("path", F.array_join("path", "."))
+
+
 @register("doc_merge")
 def doc_merge(spark, sf_dir):
     base = inputs.documents(spark, sf_dir, inputs.BASE_DOCUMENT)
@@ -414,6 +420,14 @@ def stream_limit_rate(spark, sf_dir):
     return _drain(stream_admission.limit_rate_stream(fast, 150), "rate").select("tenant", "arrival_seq", "ts", "verdict")
 
 
+@register("stream_limit_rate_sliced")
+def stream_limit_rate_sliced(spark, sf_dir):
+    root = f"{shared_folder(spark).rstrip('/')}/sliced-{uuid.uuid4().hex}"
+    fast = _replayed(_event_stream(spark, sf_dir)).select("tenant", "arrival_seq", "ts", "nbytes")
+    stream_admission.write_rate_limited(fast, root, 150, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("tenant", "arrival_seq", "ts", "verdict")
+
+
 @register("stream_limit_in_flight")
 def stream_limit_in_flight(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select("tenant", "arrival_seq", "ts", "nbytes")
