@@ -21,8 +21,9 @@ def test_running_total_and_previous(spark, points):
         total[k] = total.get(k, 0) + v
         want[seq] = (total[k], before.get(k))
         before[k] = v
-    out = running_total(df, ["k"], ["t", "seq"], F.col("v"), "total")
-    out = previous_value(out, ["k"], ["t", "seq"], "v", "prev")
+    slices = plan_slices(df, F.col("t"), F.col("seq"), parts=9)
+    out = running_total(df, ["k"], ["t", "seq"], F.col("v"), "total", slices=slices)
+    out = previous_value(out, ["k"], ["t", "seq"], "v", "prev", slices=slices)
     assert {r["seq"]: (r["total"], r["prev"]) for r in out.collect()} == want
 
 

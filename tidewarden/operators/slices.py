@@ -9,7 +9,6 @@ The bounds are constants of the plan, so a re-run task puts every row into the s
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -44,25 +43,35 @@ class Slices:
         return cut.withColumn(SLICE, F.coalesce(number, F.lit(-1).cast("long"))).drop("_main", "_sub", "_m", "_s")
 
 
-def _quantiles(df: DataFrame, col: Column, parts: int) -> list[float]:
-    probabilities = [i / parts for i in range(1, parts)]
-    return df.select(col.cast("double").alias("q")).approxQuantile("q", probabilities, 1 / (4 * parts))
+# Below this a slice is not worth its task.
+ROWS_PER_SLICE = 50_000
 
 
-def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: int | None = None) -> Slices:
-    """Slice bounds for `df`; `parts` defaults to the session's shuffle partitions.
+def _cut_points(df: DataFrame, order: Column, parts: int | None) -> list[int]:
+    """Up to `parts - 1` values that cut `df` into even pieces; a crowded value comes up repeatedly.
 
-    The main order must be a whole number (epoch microseconds, an arrival number).
+    One aggregate gives the row count and the quantiles. Without `parts`, pieces hold
+    `ROWS_PER_SLICE` rows or more and number at most the session's shuffle partitions.
     """
-    parts = max(2, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    points = [math.floor(q) for q in _quantiles(df, main, parts)]
+    most = max(3, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = (
+        df.select(order.cast("long").alias("o"))
+        .agg(F.count("*").alias("n"), F.percentile_approx("o", [i / most for i in range(1, most)], 4 * most).alias("q"))
+        .first()
+    )
+    wanted = most if parts else max(3, min(most, found["n"] // ROWS_PER_SLICE))
+    return [found["q"][round(i * most / wanted) - 1] for i in range(1, wanted)] if found["q"] else []
+
+
+def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: int | None = None) -> Slices:
+    """Slice bounds for `df`. Both orders must be whole numbers (epoch microseconds, an arrival number)."""
+    points = _cut_points(df, main, parts)
     # A point met by several quantiles holds more rows than a slice should: it gets its own slice.
     crowded = sorted(p for p, n in Counter(points).items() if n > 1) if sub is not None else []
     bounds = sorted({float(p) for p in points} | {float(p + 1) for p in crowded}) or [0.0]
     if not crowded:
         return Slices(bounds)
-    inside = df.filter(main.isin(crowded))
-    sub_bounds = sorted(set(_quantiles(inside, sub, parts)))
+    sub_bounds = sorted({float(p) for p in _cut_points(df.filter(main.isin(crowded)), sub, parts)})
     return Slices(bounds, [bounds.index(float(p)) + 1 for p in crowded], sub_bounds)
 
 
