@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.functions.timeline import HOUR, MINUTE
+from tidewarden.functions.timeline import MINUTE
 from tidewarden.operators.admission import limit_in_flight, limit_rate, limit_series, partial_success, series_usage
 from tidewarden.operators.kernels import admit
 from tidewarden.schema import POLICIES

@@ -80,6 +80,7 @@ def test_written_parts_are_one_file_each(spark, uneven, tmp_path):
 def test_recompression_keeps_content(spark, uneven, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
     uneven.withColumn("dt", F.to_date("ts")).write.partitionBy("tenant", "dt").option("compression", "none").parquet(src)
+    recompress(spark, src, dst, DAY, None, START + 3 * DAY)
     cold = recompress(spark, src, dst, DAY, 19, START + 3 * DAY)
     # The last day is younger than a day, so only two days are rewritten.
     assert {str(r["dt"]) for r in cold.collect()} == {"2024-01-01", "2024-01-02"}

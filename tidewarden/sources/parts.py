@@ -65,7 +65,8 @@ def recompress(
 ) -> DataFrame:
     """Rewrite the fully cold parts of a table partitioned by `by` with zstd; content is unchanged.
 
-    Returns the parts rewritten. Only their directories are read: the part list is joined on the
+    Returns the parts rewritten; a part without a key is left alone. A second run replaces its own
+    output. Only their directories are read: the part list is joined on the
     partition columns, which Spark turns into dynamic partition pruning. The unset level is the best
     ratio.
     """
@@ -73,11 +74,12 @@ def recompress(
     if not 1 <= level <= 19:
         raise ValueError("the zstd level must be within 1..19")
     table = spark.read.parquet(source)
-    cold = cold_parts(table, after_us, as_of, by)
+    cold = cold_parts(table, after_us, as_of, by).dropna(subset=list(by))
     rows = table.join(cold.select(*by), list(by), "left_semi")
     (
         # No shuffle: tasks split files by size, so a large partition is many tasks.
-        rows.write.mode("append")
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", str(level))

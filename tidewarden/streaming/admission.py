@@ -49,7 +49,11 @@ def limit_in_flight_stream(
     order: tuple[str, ...] = ("arrival_seq",),
     nbytes: str = "nbytes",
 ) -> DataFrame:
-    """`stream` plus `verdict`: bytes since the last flush stay within the cap."""
+    """`stream` plus `verdict`: bytes since the last flush stay within the cap.
+
+    As with `limit_rate_stream`, a key's rows of one micro-batch are sorted in one task: bound the
+    batch, and put the shard into the key of a busy tenant.
+    """
     epochs = _with_cost(stream, ts, nbytes).withColumn("_epoch", bucket_us(epoch_us(ts), flush_interval_us))
     return epochs.groupBy(*key).applyInPandasWithState(
         in_flight_state(int(max_bytes), list(order), stream.columns), _tagged(stream), "epoch long, used long", "append", GroupStateTimeout.NoTimeout
