@@ -2,14 +2,14 @@
 
 import pytest
 
-import __spark_entry__ as contract
+from tidewarden.plans.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
-LAZY = [n for n in contract.queries() if not n.startswith(("stream_", "limit_rate", "doc_flatten"))]
+LAZY = [n for n in REGISTRY if not n.startswith(("stream_", "limit_rate", "doc_flatten"))]
 
 
 def plan(spark, name):
-    return contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", LAZY)
