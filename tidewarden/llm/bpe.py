@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from tidewarden.llm.pieces import Remembered, encoded, list_array, sections
+from tidewarden.llm.pieces import Chunks, list_array, sections
 
 LEAF = 48
 
@@ -29,11 +29,13 @@ class Merges:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.none = max(self.ranks.values(), default=0) + 1
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.text_of = np.array([str(i) for i in range(max(self.bytes_of, default=0) + 1)])
         self.find = regex.compile(pattern).findall
         self.agreed: dict[tuple[int, int], bool] = {}
-        self.memory, self.words = Remembered(), Remembered()
+        self.pieces: dict[str, bytes] = {}
+        self.chunks = Chunks(self.encode)
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the pair of least rank, the leftmost of equals, until none is left."""
@@ -41,21 +43,21 @@ class Merges:
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
+        rank, none = ranks.get, self.none
         parts = [data[i : i + 1] for i in range(len(data))]
-        costs = [ranks.get(data[i : i + 2]) for i in range(len(data) - 1)]
-        while True:
-            least, at = None, -1
-            for i, r in enumerate(costs):
-                if r is not None and (least is None or r < least):
-                    least, at = r, i
-            if at < 0:
-                return [ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        costs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            at = costs.index(least)
+            merged = parts[at] = parts[at] + parts.pop(at + 1)
             del costs[at]
             if at < len(costs):
-                costs[at] = ranks.get(parts[at] + parts[at + 1])
+                costs[at] = rank(merged + parts[at + 1], none)
             if at:
-                costs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                costs[at - 1] = rank(parts[at - 1] + merged, none)
+        return [ranks[p] for p in parts]
 
     def agree(self, a: int, b: int) -> bool:
         known = self.agreed.get((a, b))
@@ -88,12 +90,15 @@ class Merges:
 
     def encode(self, strings: list[str]) -> list[bytes]:
         """Raw uint32 ids of each string; its pieces are encoded separately."""
-        found = [self.find(s) for s in strings]
-        ids = self.words.all([p for some in found for p in some], lambda new: [np.array(self.piece(p.encode()), "<u4").tobytes() for p in new])
-        out, at = [], 0
-        for some in found:
-            out.append(b"".join(ids[at : at + len(some)]))
-            at += len(some)
+        known = self.pieces
+        if len(known) > 400_000:
+            known.clear()
+        out = []
+        for found in map(self.find, strings):
+            for p in found:
+                if p not in known:
+                    known[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
+            out.append(known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found]))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -120,9 +125,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         own = merges(path, pattern)
         out = []
-        for some in sections(pa.RecordBatch.from_arrays([texts], ["t"])):
-            items, n = encoded(some.column(0), own.memory, own.encode)
-            out.append(list_array(items.astype(np.int32), n).cast(pa.list_(pa.int32())))
+        for some in sections(texts):
+            items, n = own.chunks.items(some)
+            out.append(list_array(items.astype(np.int32), n))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewarden.llm.pieces import Remembered, chunks, sections, spread
+from tidewarden.llm.pieces import Chunks, sections
 from tidewarden.sources.staging import stage
 
 WINDOW = 13
@@ -49,7 +49,7 @@ class Patterns:
                 block = (pattern[end - 1] if size > 1 else 0) * self.base + pattern[end]
                 shift[block] = min(shift.get(block, size), size - 1 - end)
             bucket.setdefault(block, []).append((pattern, own))
-        self.memory = Remembered()
+        self.chunks = Chunks(self._ids)
 
     def __reduce__(self):
         return Patterns, (self.items, self.window)
@@ -58,10 +58,9 @@ class Patterns:
         get = self.number.get
         return [np.array([get(w, 0) for w in words_of(s)], "<u4").tobytes() for s in strings]
 
-    def search(self, texts: pa.Array) -> list[tuple[int, list[int], list]]:
+    def search(self, texts: list[str]) -> list[tuple[int, list[int], list]]:
         """Per text: its words, the places of words inside an occurrence, and the items that occur."""
-        lengths, index, distinct = chunks(texts)
-        ids, n = spread(lengths, index, self.memory.all(distinct, self._ids), "<u4")
+        ids, n = self.chunks.items(texts)
         ids = ids.astype(np.int64)
         # A block with a word that no pattern has is 0 and so in no table.
         pairs = np.concatenate([[0], np.where((ids[1:] > 0) & (ids[:-1] > 0), ids[:-1] * self.base + ids[1:], 0)]) if len(ids) else ids
@@ -92,7 +91,7 @@ def _searcher(spark, items: list[tuple[int, str]], window: int):
 
     @F.arrow_udf("struct<n_words: long, hit: array<int>, items: array<long>>")
     def search(texts: pa.Array) -> pa.Array:
-        found = [x for s in sections(pa.RecordBatch.from_arrays([texts], ["t"])) for x in sent.value.search(s.column(0))]
+        found = [x for s in sections(texts) for x in sent.value.search(s)]
         n, hit, items = zip(*found) if found else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["n_words", "hit", "items"])
 

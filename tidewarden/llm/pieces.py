@@ -1,65 +1,88 @@
-"""Texts cut at spaces by Arrow, handled per distinct chunk in numpy.
+"""Texts cut at spaces and handled per distinct chunk.
 
-A chunk is a space and what follows up to the next one; the first has no space. Arrow cuts a batch
-of texts and numbers the distinct chunks, so that Python code runs once per distinct chunk of a
-batch, and numpy puts its results back in the places of the chunk.
+A chunk is a space and what follows up to the next one; the first has no space. Every chunk gets a
+number, the work on a chunk is done once, and numpy puts the results in the places of the chunk.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 _FIRST = "\0"
-#: A space after white space (more kinds than any tokenizer counts), or the mark of a first chunk, needs the slower cut.
-_ODD = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Chunks per text, the number of each chunk, and the distinct chunks; joined, a text's chunks are the text.
+class Chunks(dict):
+    """Numbers of chunks, and the items (of one dtype) that work gives for each chunk as raw bytes.
 
-    A chunk starts at a space that follows something else than white space. Null texts have no characters.
+    Keys are chunks without their space, or with a mark in front if they have none. What is remembered
+    is bounded: beyond the bound all of it is forgotten, between two calls.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
-    plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts) if len(odd) else texts
-    lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_FIRST, pa.large_string()), plain, pa.scalar("", pa.large_string())), " ")
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    index, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    distinct = [p[1:] if p[:1] == _FIRST else " " + p for p in parts]
-    if len(odd):
-        number, slow = {}, [_CUT.split(texts[int(i)].as_py()) for i in odd]
-        after = [number.setdefault(c, len(distinct) + len(number)) for some in slow for c in some]
-        ends = np.cumsum(lengths)
-        pick, at = np.split(index, ends[:-1]), 0
-        for i, some in zip(odd, slow):
-            pick[i] = np.array(after[at : at + len(some)], np.int64)
-            at += len(some)
-            lengths[i] = len(some)
-        index = np.concatenate(pick)
-        distinct += number
-    return lengths, index, distinct
-
-
-def spread(lengths: np.ndarray, index: np.ndarray, parts: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """Put each chunk's items (parts[i], raw bytes of dtype) in the chunk's places: all items, and items per text."""
-    flat, width = np.frombuffer(b"".join(parts), dtype), np.dtype(dtype).itemsize
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // width
-    first = np.cumsum(size) - size
-    n = size[index]
-    ends = np.cumsum(n)
-    items = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - (ends - n), n)]
-    return items, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])])
-
-
-def sections(batch: pa.RecordBatch, rows: int = 2048):
-    """A batch in slices, so that the numbers of a long batch never lie in memory together."""
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+    def __init__(self, work, dtype: str = "<u4", bound: int = 600_000):
+        super().__init__()
+        self.work, self.dtype, self.bound = work, np.dtype(dtype), bound
+        self._forget()
+
+    def _forget(self):
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.first, self.size, self.odd = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        if self.new:
+            new, self.new = self.new, []
+            parts = self.work([k[1:] if k[:1] == _FIRST else " " + k for k in new])
+            flat = np.frombuffer(b"".join(parts), self.dtype)
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            # A space after one of these follows white space.
+            self.odd = np.concatenate([self.odd, np.fromiter((not k or k[-1].isspace() for k in new), bool, len(new))])
+        return out
+
+    def items(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:  # not the items of a dict: those of texts
+        """Items of the texts, one after another, and items per text. Joined, a text's chunks are the text.
+
+        A chunk starts at each space that follows something else than white space.
+        """
+        if len(self) > self.bound:
+            self._forget()
+        cut = []
+        for text in texts:
+            if _FIRST in text:
+                parts = [_FIRST + c for c in _CUT.split(text)]
+            else:
+                parts = text.split(" ")
+                parts[0] = _FIRST + parts[0]
+            cut.append(parts)
+        index = self._numbers(list(chain.from_iterable(cut)))
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        if self.odd[index].any():
+            again = np.unique(row_of(lengths)[self.odd[index]]).tolist()
+            for i in again:
+                cut[i] = [_FIRST + c for c in _CUT.split(texts[i])]
+            index = self._numbers(list(chain.from_iterable(cut)))
+            lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        n = self.size[index]
+        ends = np.cumsum(n)
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[index] - (ends - n), n)]
+        return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])])
+
+
+def sections(column: pa.Array, rows: int = 512):
+    """Lists of texts of an Arrow column, null as empty, so that the numbers of a long batch never lie in memory together."""
+    return ([t or "" for t in column.slice(i, rows).to_pylist()] for i in range(0, len(column), rows))
 
 
 def row_of(lengths: np.ndarray) -> np.ndarray:
@@ -67,42 +90,26 @@ def row_of(lengths: np.ndarray) -> np.ndarray:
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(values))
-
-
-class Remembered:
-    """Results by key, forgotten all at once beyond a bound."""
-
-    def __init__(self, bound: int = 400_000):
-        self.bound, self.known = bound, {}
-
-    def all(self, keys: list[str], work) -> list[bytes]:
-        """work(list of unknown keys) gives their results; returns those of all keys, in order."""
-        known = self.known
-        new = [k for k in dict.fromkeys(keys) if k not in known]
-        if len(known) + len(new) > self.bound:
-            known.clear()
-            new = list(dict.fromkeys(keys))
-        if new:
-            known.update(zip(new, work(new)))
-        return [known[k] for k in keys]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
 #: Places inside a chunk where byte-level pre-tokenizers always cut: before marks that end a word, and around a single line break.
 _SAFE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?|*#$%&]+(?:\s|$))|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
 
 
-def encoded(texts: pa.Array, memory: Remembered, encode) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids (uint32) of texts and tokens per text; encode(list of strings) gives raw uint32 bytes each.
+def token_chunks(encode) -> Chunks:
+    """Chunks whose items are token ids (uint32); encode(list of strings) gives raw ids of each.
 
-    Chunks are cut further where the tokenizer cuts too, so fewer distinct strings are encoded.
+    Chunks are cut further where the tokenizer cuts too, so that fewer distinct strings are encoded.
     """
-    lengths, index, distinct = chunks(texts)
-    cut = [[c] if c[1:].isalpha() else _SAFE.split(c) for c in distinct]
-    flat = memory.all([p for some in cut for p in some], encode)
-    out, at = [], 0
-    for some in cut:
-        n = len(some)
-        out.append(flat[at] if n == 1 else b"".join(flat[at : at + n]))
-        at += n
-    return spread(lengths, index, out, "<u4")
+    known: dict[str, bytes] = {}
+
+    def work(new: list[str]) -> list[bytes]:
+        if len(known) > 400_000:
+            known.clear()
+        cut = [[c] if c[1:].isalpha() else _SAFE.split(c) for c in new]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]
+        known.update(zip(fresh, encode(fresh)))
+        return [known[some[0]] if len(some) == 1 else b"".join([known[p] for p in some]) for some in cut]
+
+    return Chunks(work)

@@ -16,22 +16,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.labelled import bounded, with_text
-from tidewarden.llm.pieces import Remembered, chunks, row_of, sections, spread
+from tidewarden.llm.pieces import Chunks, row_of, sections
 
 BUCKETS, DIMS, WINDOW, NONZERO = 1 << 14, 32, 2, 4
 #: At most so many labelled rows are fitted to.
 MAX_LABELLED = 20_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMORY = Remembered()
 
 
 def _buckets(strings: list[str]) -> list[bytes]:
     return [np.array([zlib.crc32(t.encode()) % BUCKETS for t in _TOKEN.findall(s)], "<u4").tobytes() for s in strings]
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lengths, index, distinct = chunks(texts)
-    items, n = spread(lengths, index, _MEMORY.all(distinct, _buckets), "<u4")
+_MEMORY = Chunks(_buckets)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    items, n = _MEMORY.items(texts)
     return items.astype(np.int64), n
 
 
@@ -47,8 +48,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         place, sign = _index_vectors()
         sums = np.zeros(BUCKETS * DIMS)
-        for batch in (s for b in batches for s in sections(b)):
-            tokens, n = _tokens(batch.column(0))
+        for texts in (s for b in batches for s in sections(b.column(0), 2048)):
+            tokens, n = _tokens(texts)
             doc = row_of(n)
             for gap in range(1, WINDOW + 1):
                 same = doc[gap:] == doc[:-gap]
@@ -73,7 +74,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (table / np.maximum(length, 1)).astype(np.float32)
 
 
-def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the token vectors of each text; no tokens give zeros."""
     tokens, n = _tokens(texts)
     doc = row_of(n)
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([row for s in sections(pa.RecordBatch.from_arrays([texts], ["t"])) for row in pooled(s.column(0), sent.value)], pa.list_(pa.float64()))
+        return pa.array([row for s in sections(texts) for row in pooled(s, sent.value)], pa.list_(pa.float64()))
 
     sample = with_text(bounded(labels, id_col, label_col, train, most), docs, id_col, text_col)
     rows = sorted(sample.select("id", "label", features("text").alias("x")).collect())  # bounded by `most` and copies of ids
@@ -168,7 +169,7 @@ def score(spark, model: tuple[np.ndarray, Network], text: Column) -> Column:
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
         vectors, net = sent.value
-        out = [net.probability(pooled(s.column(0), vectors)) for s in sections(pa.RecordBatch.from_arrays([texts], ["t"]))]
+        out = [net.probability(pooled(s, vectors)) for s in sections(texts)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return probability(text)

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.llm.pieces import Remembered, encoded, sections
+from tidewarden.llm.pieces import Chunks, sections, token_chunks
 
-_LOADED: dict[tuple[str, str], tuple] = {}
+_LOADED: dict[tuple[str, str], Chunks] = {}
 #: Lengths are summed in ranges first, so that no window runs over all of them.
 RANGE = 1024
 
@@ -24,13 +24,13 @@ def token_count(text: Column, path: str, pattern: str) -> Column:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return Remembered(), lambda strings: [np.array(x, "<u4").tobytes() for x in map(library.encode_ordinary, strings)]
+        return token_chunks(lambda strings: [np.array(x, "<u4").tobytes() for x in map(library.encode_ordinary, strings)])
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         if (path, pattern) not in _LOADED:
             _LOADED[path, pattern] = load()
-        n = [encoded(s.column(0), *_LOADED[path, pattern])[1] for s in sections(pa.RecordBatch.from_arrays([texts], ["t"]))]
+        n = [_LOADED[path, pattern].items(some)[1] for some in sections(texts)]
         return pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
 
     return count(text)

@@ -8,15 +8,17 @@ Blocks are rows of a Parquet table: binary columns, written and committed by Spa
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewarden.llm.pieces import Remembered, encoded, sections
+from tidewarden.llm.pieces import Chunks, sections, token_chunks
 
 BLOCK = "part int, seq long, first_token long, n_tokens long, n_docs long, docs binary, ranks binary, control binary, data binary"
+SECTION = 512
 _NULL_ID = np.iinfo(np.int64).min
 #: Per control byte: the sizes of its four values, and where each starts within their bytes.
 _SIZES = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1
@@ -66,6 +68,7 @@ def _encoder(path: str):
     """The tokenizers library on strings; special tokens' strings are ordinary text."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
 
@@ -78,7 +81,7 @@ def _encoder(path: str):
     return encode
 
 
-_MEMORY: dict[str, tuple] = {}
+_MEMORY: dict[str, Chunks] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -95,14 +98,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bl
         from pyspark import TaskContext
 
         if tokenizer not in _MEMORY:
-            _MEMORY[tokenizer] = Remembered(), _encoder(tokenizer)
+            _MEMORY[tokenizer] = token_chunks(_encoder(tokenizer))
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids, lengths, held, size = [], [], [], 0
-        for batch in (s for b in batches for s in sections(b)):
-            tokens, n = encoded(batch.column(1), *_MEMORY[tokenizer])
+        for keys, texts in ((b.column(0).slice(i, SECTION), t) for b in batches for i, t in zip(range(0, b.num_rows, SECTION), sections(b.column(1), SECTION))):
+            tokens, n = _MEMORY[tokenizer].items(texts)
             ends = np.cumsum(n)
             tokens, n = np.insert(tokens, ends, end_id), n + 1
-            keys = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), _NULL_ID, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            keys = np.where(keys.is_null().to_numpy(zero_copy_only=False), _NULL_ID, keys.fill_null(0).to_numpy(zero_copy_only=False))
             at = 0
             for key, count in zip(keys.tolist(), n.tolist()):
                 ids.append(key)
@@ -137,7 +140,7 @@ def _read(spark, path: str, id_col: str, with_ids: bool) -> DataFrame:
     rows = blocks.join(before, "part").select((F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "n_docs", "docs", "ranks", "control", "data")
 
     def decode(batches):
-        for row in (r for b in batches for s in sections(b, 1) for r in s.to_pylist()):
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             tokens = np.frombuffer(row["ranks"], "<u4")[unpack(row["control"], row["data"], row["n_tokens"])]
             ids, n = np.frombuffer(row["docs"], "<i8").reshape(2, -1)
             ends = np.cumsum(n)

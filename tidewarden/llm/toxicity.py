@@ -14,15 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.labelled import bounded
-from tidewarden.llm.pieces import Remembered, chunks, row_of, sections, spread
+from tidewarden.llm.pieces import Chunks, row_of, sections
 
 #: Bounds of what is fitted to: confirmed toxic texts, unlabelled texts, candidate words, chosen words.
 MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS, MAX_FEATURES = 20_000, 20_000, 50_000, 4_096
 _WORD = re.compile(r"[^\W_]+")
+STEM = 5
+
+
+def _features(text: str) -> list[str]:
+    """Words of a lower-cased text, and the beginnings of those with five letters or more, which inflected forms share."""
+    words = _WORD.findall(text)
+    return words + [f"{w[:STEM]}^" for w in words if len(w) >= STEM]
 
 
 class Lexicon:
@@ -31,19 +37,18 @@ class Lexicon:
     def __init__(self, words: list[str]):
         self.words = words
         self.number = {w: i for i, w in enumerate(words)}
-        self.memory = Remembered()
+        self.chunks = Chunks(self._find)
 
     def __reduce__(self):
         return Lexicon, (self.words,)
 
     def _find(self, strings: list[str]) -> list[bytes]:
         get = self.number.get
-        return [np.array([i for w in _WORD.findall(s) if (i := get(w)) is not None], "<u4").tobytes() for s in strings]
+        return [np.array([i for w in _features(s) if (i := get(w)) is not None], "<u4").tobytes() for s in strings]
 
-    def presence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and numbers of the known words in lower-cased texts, each once per text."""
-        lengths, index, distinct = chunks(pc.utf8_lower(pc.fill_null(texts, "")))
-        items, n = spread(lengths, index, self.memory.all(distinct, self._find), "<u4")
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the known words in the lower-cased texts, each once per text."""
+        items, n = self.chunks.items([t.lower() for t in texts])
         pairs = np.unique(row_of(n) * len(self.words) + items) if len(items) else np.zeros(0, np.int64)
         return pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
 
@@ -54,7 +59,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def probability(self, texts: pa.Array) -> np.ndarray:
+    def probability(self, texts: list[str]) -> np.ndarray:
         row, word = self.lexicon.presence(texts)
         z = np.bincount(row, self.weights[word], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -110,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     toxic = texts.join(F.broadcast(sample.select("id")), "id").select("text").dropDuplicates()  # bounded by MAX_TOXIC
 
     def words(batches):
-        for batch in (s for b in batches for s in sections(b)):
-            found = [w for t in pc.utf8_lower(batch.column(0)).to_pylist() for w in set(_WORD.findall(t))]
+        for texts in (s for b in batches for s in sections(b.column(0))):
+            found = [w for t in texts for w in set(_features(t.lower()))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
 
     n_toxic = toxic.count()
@@ -123,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     def shares(batches):
         n, found = 0, np.zeros(len(sent.value.words), np.int64)
-        for batch in (s for b in batches for s in sections(b)):
-            n += batch.num_rows
-            found += np.bincount(sent.value.presence(batch.column(0))[1], minlength=len(found))
+        for texts in (s for b in batches for s in sections(b.column(0))):
+            n += len(texts)
+            found += np.bincount(sent.value.presence(texts)[1], minlength=len(found))
         used = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": np.append(used, -1), "n": np.append(found[used], n)})
 
@@ -144,10 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     train_docs = train if train_docs is None else train_docs
 
     def features(batches):
-        for batch in (s for b in batches for s in sections(b)):
-            row, word = sent.value.presence(batch.column(0))
-            n = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(word.astype(np.int32)))], ["mark", "x"])
+        for marks, texts in ((b.column(1).slice(i, 512), t) for b in batches for i, t in zip(range(0, b.num_rows, 512), sections(b.column(0), 512))):
+            row, word = sent.value.presence(texts)
+            n = np.bincount(row, minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([marks, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(word.astype(np.int32)))], ["mark", "x"])
 
     # The sample is cut after the words are found, so that no texts are sorted or sent.
     unlabelled = docs.where(train_docs).select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("order"))
@@ -165,7 +170,7 @@ def score(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
-        out = [sent.value.probability(s.column(0)) for s in sections(pa.RecordBatch.from_arrays([texts], ["t"]))]
+        out = [sent.value.probability(s) for s in sections(texts)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return probability(text)
