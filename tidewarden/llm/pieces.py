@@ -23,7 +23,7 @@ class Chunks(dict):
     is bounded: beyond the bound all of it is forgotten, between two calls.
     """
 
-    def __init__(self, work, dtype: str = "<u4", bound: int = 600_000):
+    def __init__(self, work, dtype: str = "<u4", bound: int = 900_000):
         super().__init__()
         self.work, self.dtype, self.bound = work, np.dtype(dtype), bound
         self._forget()
@@ -76,7 +76,9 @@ class Chunks(dict):
             lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         n = self.size[index]
         ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[index] - (ends - n), n)]
+        total = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if max(total, len(self.flat)) < 1 << 30 else np.int64
+        out = self.flat[np.arange(total, dtype=small) + np.repeat((self.first[index] - (ends - n)).astype(small), n)]
         return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])])
 
 
@@ -105,7 +107,7 @@ def token_chunks(encode) -> Chunks:
     known: dict[str, bytes] = {}
 
     def work(new: list[str]) -> list[bytes]:
-        if len(known) > 400_000:
+        if len(known) > 600_000:
             known.clear()
         cut = [[c] if c[1:].isalpha() else _SAFE.split(c) for c in new]
         fresh = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]

@@ -80,7 +80,8 @@ def revealing_terms(found: DataFrame, support: int = SUPPORT, least: float = GEN
     """term, disclosure (0 to 1): lower-cased words that reveal an entity, from all rows of found (text, base).
 
     A mention's surroundings are the `surround` words before and after it. `support` different surroundings
-    must hold both. disclosure is the largest share of an entity's information over the entities a term meets.
+    must hold both, and all of an entity's surroundings together must have twice the words of one, or they
+    are copies of one text with a few words changed. disclosure is the largest share of an entity's information over the entities a term meets.
     """
     mentions = found.where(F.size("base") > 0).select("text", F.explode("base").alias("m"))
     word = F.lit(_TERM)
@@ -91,10 +92,12 @@ def revealing_terms(found: DataFrame, support: int = SUPPORT, least: float = GEN
     ).withColumn("place", F.xxhash64("left", "right"))
     near = stage(near.select("entity", "place", F.array_distinct(F.concat("left", "right")).alias("terms")), "pii-near")
     counted = near.groupBy("entity", "place").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
-    entities = counted.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("places")).where(F.col("places") >= support)
-    pairs = counted.join(entities.select("entity"), "entity", "left_semi").select("entity", "n", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("places")).where(F.col("places") >= support)
-    pairs = stage(pairs.join(entities.select("entity", "n_entity"), "entity").where(F.length("term") > 1), "pii-pairs")
+    entities = counted.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("places"), F.avg(F.size("terms")).alias("size")).where(F.col("places") >= support)
+    met = counted.join(entities.select("entity"), "entity", "left_semi").select("entity", "n", F.explode("terms").alias("term"))
+    met = stage(met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("places")), "pii-met")
+    varied = met.groupBy("entity").agg(F.count("*").alias("words")).join(entities, "entity").where(F.col("words") >= 2 * F.col("size"))
+    pairs = met.where((F.col("places") >= support) & (F.length("term") > 1)).join(varied.select("entity", "n_entity"), "entity")
+    pairs = stage(pairs, "pii-pairs")
     # Words are counted where pairs ask for them: all words of all texts, summed on the map side.
     wanted = pairs.select("term").distinct()
     words = found.select(F.explode(F.regexp_extract_all(F.lower("text"), word, F.lit(0))).alias("term"))
@@ -123,8 +126,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     listed = stage(holders.groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")), "pii-holders")
     joined = found.withColumn("key", key).join(listed, "key", "left")
     extra = (
-        f"filter(transform({_matches('text', _literal(_TERM))}, m -> named_struct('kind', transform(filter(terms, t -> t.term = lower(m.found)), "
-        f"t -> CASE WHEN t.disclosure >= {REMOVE} THEN 'name' ELSE 'term' END)[0], 'start', m.start, 'stop', m.stop, 'found', m.found)), "
+        f"filter(transform({_matches('text', _literal(_TERM))}, m -> named_struct('kind', get(transform(filter(terms, t -> t.term = lower(m.found)), "
+        f"t -> CASE WHEN t.disclosure >= {REMOVE} THEN 'name' ELSE 'term' END), 0), 'start', m.start, 'stop', m.stop, 'found', m.found)), "
         "m -> m.kind IS NOT NULL AND NOT exists(base, b -> b.start < m.stop AND m.start < b.stop))"
     )
     return joined.select("id", *kept, "text", "base", F.expr(f"CASE WHEN terms IS NULL THEN base ELSE concat(base, {extra}) END").alias("spans")).withColumnRenamed("id", id_col)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,7 @@ def _encoder(path: str):
     def encode(strings: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(strings), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(strings[i : i + 4096], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in library.encode_batch_fast(strings[i : i + 4096], add_special_tokens=False)]
         return out
 
     return encode

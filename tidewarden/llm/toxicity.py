@@ -81,6 +81,7 @@ def fit_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], size: int, p
         return s, [np.bincount(word, np.repeat(d, n), size), np.array([d.sum()])]
 
     batches = max(1, -(-len(unlabelled) // 512))
+    epochs = max(epochs, 2000 // batches)  # few rows take more rounds
     for epoch in range(epochs):
         p, u = draw.permutation(len(toxic)), draw.permutation(len(unlabelled))
         for k in range(batches):
