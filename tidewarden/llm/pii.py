@@ -125,8 +125,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     holders = rows.select(key.alias("key"), F.explode(words).alias("term")).join(terms, "term").distinct()
     listed = stage(holders.groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms")), "pii-holders")
     joined = found.withColumn("key", key).join(listed, "key", "left")
+    # Only the text's own terms are looked for: words of letters and digits, so safe in a pattern.
+    pattern = f"concat({_literal(r'(?iu)(?<![\p{L}\p{N}])(?:')}, array_join(terms.term, '|'), {_literal(r')(?![\p{L}\p{N}])')})"
     extra = (
-        f"filter(transform({_matches('text', _literal(_TERM))}, m -> named_struct('kind', get(transform(filter(terms, t -> t.term = lower(m.found)), "
+        f"filter(transform({_matches('text', pattern)}, m -> named_struct('kind', get(transform(filter(terms, t -> t.term = lower(m.found)), "
         f"t -> CASE WHEN t.disclosure >= {REMOVE} THEN 'name' ELSE 'term' END), 0), 'start', m.start, 'stop', m.stop, 'found', m.found)), "
         "m -> m.kind IS NOT NULL AND NOT exists(base, b -> b.start < m.stop AND m.start < b.stop))"
     )
