@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 _FIRST = "\0"
+_LATEST: list = []
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -23,7 +24,7 @@ class Chunks(dict):
     is bounded: beyond the bound all of it is forgotten, between two calls.
     """
 
-    def __init__(self, work, dtype: str = "<u4", bound: int = 900_000):
+    def __init__(self, work, dtype: str = "<u4", bound: int = 500_000):
         super().__init__()
         self.work, self.dtype, self.bound = work, np.dtype(dtype), bound
         self._forget()
@@ -56,6 +57,10 @@ class Chunks(dict):
 
         A chunk starts at each space that follows something else than white space.
         """
+        last = _LATEST[0] if _LATEST else None
+        if last is not None and last is not self:  # one worker serves many jobs; only the present one remembers
+            last._forget()
+        _LATEST[:] = [self]
         if len(self) > self.bound:
             self._forget()
         cut = []
@@ -107,7 +112,7 @@ def token_chunks(encode) -> Chunks:
     known: dict[str, bytes] = {}
 
     def work(new: list[str]) -> list[bytes]:
-        if len(known) > 600_000:
+        if len(known) > 300_000:
             known.clear()
         cut = [[c] if c[1:].isalpha() else _SAFE.split(c) for c in new]
         fresh = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]
