@@ -3,14 +3,14 @@ import random
 
 import pytest
 
-from tidewarden.operators.documents import config_drift, flatten_documents, merge_documents, reserved_path_report, reserved_path_violations
+from tidewarden.operators.documents import RESERVED_PATHS, config_drift, flatten_documents, merge_documents, reserved_path_report, reserved_path_violations
 
 
-def deep_merge(dst, src):
+def laid_over(low, high):
     """The definition, on nested dicts."""
-    out = dict(dst)
-    for k, v in src.items():
-        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    out = dict(low)
+    for k, v in high.items():
+        out[k] = laid_over(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
 
 
@@ -41,29 +41,18 @@ def collected(df, names):
     return out
 
 
-MERGES = [
-    ("disjoint", {"a": 1}, {"b": 2}, {"a": 1, "b": 2}),
-    ("leaf wins", {"a": 1}, {"a": 2}, {"a": 2}),
-    ("nested", {"storage": {"backend": "file", "dir": "/data"}}, {"storage": {"policy": "keep"}}, {"storage": {"backend": "file", "dir": "/data", "policy": "keep"}}),
-    ("recursive", {"storage": {"cluster": {"rf": 3, "port": 7946}}}, {"storage": {"cluster": {"rf": 5}}}, {"storage": {"cluster": {"rf": 5, "port": 7946}}}),
-    ("object over scalar", {"a": 1}, {"a": {"b": 2}}, {"a": {"b": 2}}),
-    ("scalar over object", {"a": {"b": 2}}, {"a": "x"}, {"a": "x"}),
-    ("list replaces", {"etcd": ["a", "b"]}, {"etcd": ["c"]}, {"etcd": ["c"]}),
-    ("null replaces", {"a": 1}, {"a": None}, {"a": None}),
-    ("empty override", {"a": 1}, {}, {"a": 1}),
-    ("empty object over object", {"a": {"b": 1}}, {"a": {}}, {"a": {"b": 1}}),
-    ("empty object over scalar", {"a": 1}, {"a": {}}, {"a": {}}),
-    ("empty object over empty object", {"a": {}}, {"a": {}}, {"a": {}}),
-    ("object over empty object", {"a": {}}, {"a": {"b": 1}}, {"a": {"b": 1}}),
-]
+ABSENT = object()
+VALUES = {"absent": ABSENT, "number": 7, "text": "q", "list": [1, [2]], "null": None, "object": {"k": 1}, "other object": {"m": {"n": 2}}, "empty object": {}}
 
 
-def test_merge_cases(spark):
-    base = flat(spark, {n: b for n, b, _, _ in MERGES})
-    over = flat(spark, {n: o for n, _, o, _ in MERGES})
-    got = collected(merge_documents(base, over), [m[0] for m in MERGES])
-    for name, b, o, want in MERGES:
-        assert got[name] == paths(want) == paths(deep_merge(b, o)), name
+def test_every_kind_of_value_over_every_other(spark):
+    """At the root and two levels down, beside a key that neither side touches."""
+    hold = lambda v, deep: {"z": 0} if v is ABSENT else {"x": {"y": v}, "z": 0} if deep else {"x": v, "z": 0}
+    cases = {f"{b} under {o} {deep}": (hold(VALUES[b], deep), hold(VALUES[o], deep)) for b in VALUES for o in VALUES for deep in (False, True)}
+    base, over = ({n: c[k] for n, c in cases.items()} for k in (0, 1))
+    got = collected(merge_documents(flat(spark, base), flat(spark, over)), cases)
+    for name in cases:
+        assert got[name] == paths(laid_over(base[name], over[name])), name
 
 
 def random_doc(rnd, depth=3):
@@ -79,7 +68,7 @@ def test_random_documents(spark):
     base, over = ({f"d{i}": random_doc(rnd) for i in range(150)} for _ in range(2))
     got = collected(merge_documents(flat(spark, base), flat(spark, over)), base)
     for name in base:
-        assert got[name] == paths(deep_merge(base[name], over[name])), name
+        assert got[name] == paths(laid_over(base[name], over[name])), name
 
 
 def test_any_depth_and_bad_input(spark):
@@ -93,37 +82,33 @@ def test_any_depth_and_bad_input(spark):
             flatten_documents(spark.createDataFrame([("d", body)], "doc string, body string")).collect()
 
 
-GUARD = [
-    ("unrelated", {"ttl": "720h", "prometheus": {"bind": ":9091"}}, []),
-    ("other storage key", {"storage": {"log_query_parallelism": 4}}, []),
-    ("backend", {"storage": {"backend": "memory"}}, [("storage.backend", "reserved")]),
-    ("dir", {"storage": {"dir": "/tmp"}}, [("storage.dir", "reserved")]),
-    ("cluster subtree", {"storage": {"cluster": {"etcd": ["http://x:2379"]}}}, [("storage.cluster", "reserved")]),
-    ("s3 subtree", {"storage": {"s3": {"bucket": "other"}}}, [("storage.s3", "reserved")]),
-    ("tuning", {"storage": {"flush_interval": "1m"}}, [("storage.flush_interval", "reserved")]),
-    ("signal backend", {"metrics_backend": "other"}, [("metrics_backend", "reserved")]),
-    ("several", {"storage": {"backend": "memory", "dir": "/tmp"}}, [("storage.backend", "reserved"), ("storage.dir", "reserved")]),
-    ("retention", {"storage": {"policy": {"retention": {"max_age": "1h"}}}}, [("storage.policy.retention", "reserved")]),
-    ("below retention", {"storage": {"policy": {"retention": {"max_bytes": {"nested": True}}}}}, [("storage.policy.retention", "reserved")]),
-    *[(f"policy {k}", {"storage": {"policy": {k: "x"}}}, [(f"storage.policy.{k}", "reserved")]) for k in ("limits", "downsample", "precision", "recompress")],
-    ("empty object", {"storage": {"cluster": {}}}, [("storage.cluster", "reserved")]),
-    ("dotted key", {"storage.backend": "x"}, [("storage.backend", "reserved")]),
-    ("wiped storage", {"storage": None}, [("storage", "ancestor_clobber")]),
-    ("wiped policy", {"storage": {"policy": "x"}}, [("storage.policy", "ancestor_clobber")]),
-    ("empty parent", {"storage": {}}, []),
-    ("dotted parent", {"storage.policy": "x"}, []),
-]
+def nested(path, value):
+    for key in reversed(path.split(".")):
+        value = {key: value}
+    return value
 
 
 def test_reserved_paths(spark):
-    found = reserved_path_violations(flat(spark, {n: d for n, d, _ in GUARD}))
+    """Each owned path itself, what lies below and beside it, and what would wipe it."""
+    docs, want = {}, {}
+    for path in RESERVED_PATHS:
+        for name, value in (("at", 5), ("below", {"p": {"q": [1]}}), ("emptied", {})):
+            docs[f"{name} {path}"], want[f"{name} {path}"] = nested(path, value), [(path, "reserved")]
+        docs[f"dotted {path}"], want[f"dotted {path}"] = {path: 5}, [(path, "reserved")]
+        docs[f"beside {path}"], want[f"beside {path}"] = nested(f"{path}_of_mine", 5), []
+        for n in range(1, path.count(".") + 1):
+            parent = ".".join(path.split(".")[:n])
+            docs[f"wiped {parent}"], want[f"wiped {parent}"] = nested(parent, 5), [(parent, "ancestor_clobber")]
+            docs[f"empty {parent}"], want[f"empty {parent}"] = nested(parent, {}), []
+    both = sorted(RESERVED_PATHS)[:2]
+    docs["two"], want["two"] = laid_over(nested(both[0], 1), nested(both[1], 1)), [(p, "reserved") for p in both]
+    found = reserved_path_violations(flat(spark, docs))
     rows = found.collect()
-    for name, _, want in GUARD:
-        assert sorted((r["path"], r["kind"]) for r in rows if r["doc"] == name) == sorted(want), name
+    for name in docs:
+        assert sorted((r["path"], r["kind"]) for r in rows if r["doc"] == name) == sorted(want[name]), name
     report = {r["doc"]: r["message"] for r in reserved_path_report(found).collect()}
-    assert report["several"] == "reserved config paths: storage.backend (use spec.storage.backend), storage.dir (use spec.storage.dir)"
-    assert report["backend"] == "reserved config path: storage.backend (use spec.storage.backend)"
-    assert "wiped storage" not in report
+    assert report["two"] == "not open to tenants: " + ", ".join(f"{p} ({RESERVED_PATHS[p]})" for p in both)
+    assert set(report) == {n for n, w in want.items() if w and w[0][1] == "reserved"}
 
 
 def test_drift(spark):

@@ -21,32 +21,24 @@ def ds(*tiers):
     return {"downsample": [(*t, None)[:3] for t in tiers]}
 
 
+#: Each rule at its edge: one below, the edge itself, one above.
+SIZES = {"max_bytes": 3, "ingest_bytes_per_second": 4, "max_in_flight_bytes": 5, "max_part_size": 6}
 CASES = [
-    ("empty", {}, []),
-    ("zero max age", {"max_age": "0"}, []),
-    ("negative max age", {"max_age": "-1h"}, [2]),
-    ("negative max bytes", {"max_bytes": "-1Gi"}, [3]),
-    ("negative ingest rate", {"ingest_bytes_per_second": "-1"}, [4]),
-    ("negative in flight", {"max_in_flight_bytes": "-1"}, [5]),
-    ("negative part size", {"max_part_size": "-256Mi"}, [6]),
-    ("soft without hard", {"max_series_soft": 1000}, [7]),
-    ("soft above hard", {"max_series": 1000, "max_series_soft": 2000}, [8]),
-    ("soft equals hard", {"max_series": 1000, "max_series_soft": 1000}, []),
-    ("tiers in order", ds(("6h", "1m"), ("72h", "5m")), []),
-    ("tiers reversed", ds(("72h", "5m"), ("6h", "1m")), []),
-    ("zero interval", ds(("6h", "0s")), [10]),
-    ("negative after", ds(("-1h", "1m")), [9]),
-    ("duplicate rollup tier", ds(("6h", "1m"), ("6h", "5m")), [11]),
-    ("duplicate written differently", ds(("6h", "1m"), ("360m", "5m")), [11]),
-    ("duplicate precision tier", {"precision": [("72h", 32), ("72h", 16)]}, [13]),
-    ("negative precision after", {"precision": [("-1h", 32)]}, [12]),
-    ("zero recompress age", {"recompress": ("0", None)}, [14]),
-    ("rollup past retention", {"max_age": "24h", **ds(("48h", "5m"))}, [15]),
-    ("precision at retention", {"max_age": "24h", "precision": [("24h", 32)]}, [16]),
-    ("recompress past retention", {"max_age": "24h", "recompress": ("48h", None)}, [17]),
-    ("forever does not bound", {"max_age": "0", **ds(("8760h", "60m"))}, []),
-    ("every signal off", {"signals": (False,) * 4}, [1]),
-    ("one signal left", {"signals": (False, False, None, False)}, []),
+    *[(f"{field} {value}", {field: value}, [rule] if value == "-1" else []) for field, rule in SIZES.items() for value in ("-1", "1")],
+    *[(f"max_age {value}", {"max_age": value}, [2] if value == "-1s" else []) for value in ("-1s", "0", "1s")],
+    *[(f"soft {soft} over 10", {"max_series": 10, "max_series_soft": soft}, [8] if soft > 10 else []) for soft in (9, 10, 11)],
+    ("soft alone", {"max_series_soft": 1}, [7]),
+    *[(f"rollup after {a}", ds((a, "3m")), [9] if a == "-1s" else []) for a in ("-1s", "1s")],
+    *[(f"interval {x}", ds(("5h", x)), [10] if x == "0s" else []) for x in ("0s", "1s")],
+    *[(f"tiers 5h and {a}", ds(("5h", "3m"), (a, "9m")), [11] if a in ("5h", "300m") else []) for a in ("5h", "300m", "301m", "4h")],
+    *[(f"precision after {a}", {"precision": [(a, 20)]}, [12] if a == "-1s" else []) for a in ("-1s", "1s")],
+    *[(f"precision 5h and {a}", {"precision": [("5h", 20), (a, 10)]}, [13] if a == "5h" else []) for a in ("5h", "6h")],
+    *[(f"recompress after {a}", {"recompress": (a, None)}, [14] if a == "0" else []) for a in ("0", "1s")],
+    *[(f"rollup {a} within 5h", {"max_age": "5h", **ds((a, "3m"))}, [15] if a != "4h" else []) for a in ("4h", "5h", "6h")],
+    *[(f"precision {a} within 5h", {"max_age": "5h", "precision": [(a, 20)]}, [16] if a != "4h" else []) for a in ("4h", "5h", "6h")],
+    *[(f"recompress {a} within 5h", {"max_age": "5h", "recompress": (a, None)}, [17] if a != "4h" else []) for a in ("4h", "5h", "6h")],
+    ("kept for ever", {"max_age": "0", **ds(("999h", "3m"))}, []),
+    *[(f"{n} signals off", {"signals": (False,) * n + (None,) * (4 - n)}, [1] if n == 4 else []) for n in (0, 3, 4)],
     ("unknown aggregate", ds(("6h", "1m", "median")), [18]),
     ("empty aggregate is unset", ds(("6h", "1m", "")), []),
     ("bits out of range", {"precision": [("1h", 0), ("2h", 64), ("3h", 63)]}, [19, 19]),

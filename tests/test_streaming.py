@@ -115,3 +115,13 @@ def test_latest_heartbeats(feed):
     got = {(r["cluster"], r["node"]): r["ready"] for r in df.sparkSession.table("beats").collect()}
     want = df.selectExpr("tenant", "labels['user'] AS node", "ts", "value > 0.5 AS ready").groupBy("tenant", "node").agg(F.max_by("ready", "ts").alias("r")).collect()
     assert got == {(r["tenant"], r["node"]): r["r"] for r in want}
+
+
+def test_streams_read_a_directory_table(spark, tmp_path):
+    """The registered streams give the same over one file and over part files in a directory."""
+    from tidewarden.plans.queries import REGISTRY
+
+    one = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{one}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    rows = [sorted(map(tuple, REGISTRY["stream_ingest"](spark, d).collect())) for d in (one, str(tmp_path))]
+    assert rows[0] == rows[1] and sum(r[2] for r in rows[0]) == spark.read.parquet(f"{one}/events.parquet").count()

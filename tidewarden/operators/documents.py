@@ -11,28 +11,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import fingerprint
 from .kernels import document_leaves
 
-# Configuration paths owned by the platform, and what to use instead. A path also
-# covers everything below it.
+_DEPLOYED = "set where the store is deployed, not per tenant"
+_ROUTED = "set by the signals column of the policy table"
+
+# The paths. A path also covers everything below it; the text says what to set instead.
 RESERVED_PATHS = {
-    "metrics_backend": "the operator always serves signals from the embedded storage engine",
-    "traces_backend": "the operator always serves signals from the embedded storage engine",
-    "logs_backend": "the operator always serves signals from the embedded storage engine",
-    "profiles_backend": "use spec.signals.profiles",
-    "storage.backend": "use spec.storage.backend",
-    "storage.dir": "use spec.storage.dir",
-    "storage.wal_dir": "use spec.storage.dir",
-    "storage.s3": "use spec.storage.s3",
-    "storage.cluster": "use spec.cluster and spec.etcd.endpoints",
-    "storage.flush_interval": "use spec.engine.flushInterval",
-    "storage.read_cache_bytes": "use spec.engine.readCacheSize",
-    "storage.decode_cache_bytes": "use spec.engine.decodeCacheSize",
-    "storage.decode_memory_bytes": "use spec.engine.decodeMemoryLimit",
-    "storage.aggregate_stats": "use spec.engine.aggregateStats",
-    "storage.policy.retention": "use spec.policy.retention",
-    "storage.policy.limits": "use spec.policy.limits",
-    "storage.policy.downsample": "use spec.policy.downsample",
-    "storage.policy.precision": "use spec.policy.precision",
-    "storage.policy.recompress": "use spec.policy.recompress",
+    "metrics_backend": _ROUTED,
+    "traces_backend": _ROUTED,
+    "logs_backend": _ROUTED,
+    "profiles_backend": _ROUTED,
+    "storage.backend": _DEPLOYED,
+    "storage.dir": _DEPLOYED,
+    "storage.wal_dir": _DEPLOYED,
+    "storage.s3": _DEPLOYED,
+    "storage.cluster": "set by the columns rf and shards of the policy table",
+    "storage.flush_interval": _DEPLOYED,
+    "storage.read_cache_bytes": _DEPLOYED,
+    "storage.decode_cache_bytes": _DEPLOYED,
+    "storage.decode_memory_bytes": _DEPLOYED,
+    "storage.aggregate_stats": "kept by the sidecar job",
+    "storage.policy.retention": "set by the columns max_age and max_bytes of the policy table",
+    "storage.policy.limits": "set by the limit columns of the policy table",
+    "storage.policy.downsample": "set by the downsample column of the policy table",
+    "storage.policy.precision": "set by the precision column of the policy table",
+    "storage.policy.recompress": "set by the recompress column of the policy table",
 }
 
 
@@ -118,11 +120,10 @@ def reserved_path_report(violations: DataFrame) -> DataFrame:
     """One message per document with all its owned paths, sorted. At most one item per owned path."""
     items = F.sort_array(F.collect_set(F.struct("path", "hint")))
     text = F.array_join(F.transform(items, lambda v: F.concat(v["path"], F.lit(" ("), v["hint"], F.lit(")"))), ", ")
-    noun = F.when(F.size(items) == 1, F.lit("path: ")).otherwise(F.lit("paths: "))
     return (
         violations.filter(F.col("kind") == "reserved")
         .groupBy("doc")
-        .agg(F.size(items).cast("long").alias("n_paths"), F.concat(F.lit("reserved config "), noun, text).alias("message"))
+        .agg(F.size(items).cast("long").alias("n_paths"), F.concat(F.lit("not open to tenants: "), text).alias("message"))
     )
 
 

@@ -287,7 +287,7 @@ UNION ALL SELECT doc, p, value_json, kind FROM eff""",
     "reserved_paths": f"""WITH {FOUND_PATHS} SELECT doc, path, 'reserved' AS kind, hint FROM hits
 UNION ALL SELECT doc, path, 'ancestor_clobber', 'wipes owned paths below it' FROM wipes""",
     "reserved_path_report": f"""WITH {FOUND_PATHS} SELECT doc, count(*) AS n_paths,
-  'reserved config ' || CASE WHEN count(*) = 1 THEN 'path: ' ELSE 'paths: ' END || string_agg(path || ' (' || hint || ')', ', ' ORDER BY path) AS message FROM hits GROUP BY doc""",
+  'not open to tenants: ' || string_agg(path || ' (' || hint || ')', ', ' ORDER BY path) AS message FROM hits GROUP BY doc""",
     "effective_policy": f"""SELECT 'c' || c_custkey AS tenant, CASE WHEN c_custkey % 3 = 0 THEN {DAY} ELSE {30 * DAY} END AS max_age_us,
   CASE WHEN c_custkey % 5 = 0 THEN 536870912000 END AS max_bytes, CAST(CASE WHEN c_custkey % 3 <> 1 THEN 1000000 END AS BIGINT) AS max_series,
   CAST(CASE WHEN c_custkey % 3 <> 1 THEN 1073741824 END AS BIGINT) AS max_in_flight_bytes,

@@ -381,8 +381,10 @@ def condition_transitions(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return as_samples(ingest.ingest_stream(spark, sf_dir, schema, name_filter="events.parquet"), inputs.EVENTS)
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # As a pattern the path may be one file or a directory of part files; a plain file path is refused.
+    return as_samples(ingest.ingest_stream(spark, f"{path[:-1]}[{path[-1]}]", schema), inputs.EVENTS)
 
 
 def _drain(stream: DataFrame, label: str) -> DataFrame:
