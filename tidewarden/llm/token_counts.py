@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.llm.pieces import Chunks, sections, token_chunks
+from tidewarden.sources.staging import stage
 
 _LOADED: dict[tuple[str, str], Chunks] = {}
 #: Lengths are summed in ranges first, so that no window runs over all of them.
@@ -87,5 +88,9 @@ def quantile(table: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """limits() of the histogram of all texts of docs. Null texts count as empty; repeated rows count again."""
-    return limits(histogram(docs.select(token_count(F.col(text_col), path, pattern).alias("n_tokens"))))
+    """limits() of the histogram of all texts of docs. Null texts count as empty; repeated rows count again.
+
+    The histogram is written first: its readers would each encode all texts.
+    """
+    hist = histogram(docs.select(token_count(F.col(text_col), path, pattern).alias("n_tokens")))
+    return limits(stage(hist, "token-lengths"))
