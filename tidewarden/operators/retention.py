@@ -27,13 +27,16 @@ def apply_retention(
     A partition [p, p + width) survives when p + width > cutoff. Partitions start on multiples of
     the width, so that is the same as ts >= floor(cutoff): one literal bound that the Parquet scan
     uses to skip row groups. With `dt`, the day partition column of the table, the bound also prunes
-    directories.
+    directories. A row without a time has no age and is kept.
     """
     if not max_age_us:
         return df
     first = floor_us(micros(as_of) - max_age_us, width)
-    kept = df.filter(F.col(ts) >= instant(first))
-    return kept if dt is None else kept.filter(F.col(dt) >= F.to_date(instant(floor_us(first, DAY))))
+    kept = df.filter((F.col(ts) >= instant(first)) | F.col(ts).isNull())
+    if dt is None:
+        return kept
+    # Rows without a day are in a directory of their own, read apart so that the other bound stays plain.
+    return kept.filter(F.col(dt) >= F.to_date(instant(floor_us(first, DAY)))).unionByName(kept.filter(F.col(dt).isNull()))
 
 
 def expired_partitions(df: DataFrame, max_age_us: int | None, as_of: datetime | int, width: int = DAY, ts: str = "ts") -> DataFrame:
@@ -81,12 +84,15 @@ def apply_retention_by_policy(
 ) -> DataFrame:
     """`apply_retention` with every tenant's own window; no policy row keeps everything.
 
-    The policy side is joined without a hint: its size decides between broadcast and a shuffle that
-    adaptive execution can split on a hot tenant.
+    A tenant's partition is the wider of `width` and its coarsest rollup interval: a rolled row stands
+    at its bucket's start, and must stay as long as the newest sample in it. So retention drops the
+    same samples before and after a rollup. A row without a time is kept.
+
+    The policy side is joined without a hint: its size decides between broadcast
+    and a shuffle that adaptive execution can split on a hot tenant.
     """
-    windows = policies.select("tenant", F.col("retention.max_age_us").alias("_max_age"))
-    end = bucket_us(epoch_us(ts), width) + F.lit(width)
-    forever = F.coalesce(F.col("_max_age"), F.lit(0)) == 0
-    return (
-        df.join(windows, "tenant", "left").filter(forever | (end > F.lit(micros(as_of)) - F.col("_max_age"))).drop("_max_age")
-    )
+    now = F.lit(micros(as_of)).cast("long")
+    unit = F.greatest(F.lit(width).cast("long"), F.array_max(F.transform("downsample", lambda t: t["interval_us"])))
+    age = F.nullif(F.col("retention.max_age_us"), F.lit(0).cast("long"))
+    first = policies.select("tenant", bucket_us(now - age, unit).alias("_first"))
+    return df.join(first, "tenant", "left").filter(F.col("_first").isNull() | F.col(ts).isNull() | (epoch_us(ts) >= F.col("_first"))).drop("_first")

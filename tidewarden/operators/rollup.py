@@ -36,9 +36,9 @@ def with_tier(df: DataFrame, tiers: list[RollupTier], as_of: datetime | int, ts:
 
 
 def _split(df: DataFrame, tiers: list[RollupTier], as_of_us: int, ts: str, snapped: bool = False):
-    """Samples younger than every tier, and the others; each side filters on a literal instant."""
+    """Samples younger than every tier or without a time, and the others; each side filters on a literal instant."""
     edge = raw_from_us(tiers, as_of_us, snapped)
-    return df.filter(F.col(ts) >= instant(edge)), df.filter(F.col(ts) < instant(edge))
+    return df.filter((F.col(ts) >= instant(edge)) | F.col(ts).isNull()), df.filter(F.col(ts) < instant(edge))
 
 
 def downsample(
@@ -53,7 +53,7 @@ def downsample(
     """One row (keys, ts, value, resolution_us) per raw sample or rolled-up bucket.
 
     The representative of a bucket carries the bucket's start, so another run puts it into the same
-    bucket. Raw rows never shuffle. Rolled rows are combined on the map side before one shuffle on
+    bucket. Raw rows never shuffle; a sample without a time stays raw. Rolled rows are combined on the map side before one shuffle on
     (series, bucket); only aggregates some tier asks for are computed.
     """
     as_of_us = micros(as_of)
@@ -151,7 +151,9 @@ def downsample_by_policy(
 
 # --- mergeable state -------------------------------------------------------------------------
 
-STATE = ("n", "s", "mn", "mx", "first_v", "first_ts", "last_v", "last_ts")
+#: Values under this bound are summed as decimals of nine digits, which no order of merging changes.
+EXACT_BELOW = 1e15
+STATE = "n bigint, s decimal(38,9), rest double, mn double, mx double, first_v double, last_v double"
 
 
 def as_state(
@@ -160,9 +162,11 @@ def as_state(
     """Raw samples as one-row partial states.
 
     A state keeps count, sum, extremes and both end samples, so every aggregate survives any number
-    of merges. Sums are decimal: the total must not depend on the order of merging.
+    of merges. A sum is a decimal and a double `rest` for what the decimal cannot hold: digits beyond
+    the ninth, huge values, NaN and infinity. Only the last bits of `rest` depend on the order of merging.
     """
     v = F.col(value)
+    exact = F.when(F.abs(v) < EXACT_BELOW, v.cast("decimal(38,9)")).when(v.isNotNull(), F.lit(0).cast("decimal(38,9)"))
     seen = v.isNotNull().cast("long")
     stamp = [F.col(ts).alias("ts"), *[F.col(c).alias(c) for c in order_cols]]
     return df.select(
@@ -170,7 +174,8 @@ def as_state(
         F.col(ts).alias("ts"),
         F.lit(0).cast("long").alias("resolution_us"),
         seen.alias("n"),
-        v.cast("decimal(38,9)").alias("s"),
+        exact.alias("s"),
+        (v - exact.cast("double")).alias("rest"),
         v.alias("mn"),
         v.alias("mx"),
         v.alias("first_v"),
@@ -180,6 +185,20 @@ def as_state(
     )
 
 
+def _merged_state() -> list[Column]:
+    return [
+        F.sum("n").alias("n"),
+        F.sum("s").cast("decimal(38,9)").alias("s"),
+        F.sum("rest").alias("rest"),
+        F.min("mn").alias("mn"),
+        F.max("mx").alias("mx"),
+        F.min_by("first_v", "first_at").alias("first_v"),
+        F.min("first_at").alias("first_at"),
+        F.max_by("last_v", "last_at").alias("last_v"),
+        F.max("last_at").alias("last_at"),
+    ]
+
+
 def merge_rollup(states: DataFrame, tiers: list[RollupTier], as_of: datetime | int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Roll partial states up again; running it twice, or step by step, gives the same table.
 
@@ -199,31 +218,78 @@ def merge_rollup(states: DataFrame, tiers: list[RollupTier], as_of: datetime | i
         old.withColumn("resolution_us", resolution)
         .withColumn("_bucket", bucket_us(epoch_us("ts"), F.col("resolution_us")))
         .groupBy(*keys, "resolution_us", "_bucket")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("s").cast("decimal(38,9)").alias("s"),
-            F.min("mn").alias("mn"),
-            F.max("mx").alias("mx"),
-            F.min_by("first_v", "first_at").alias("first_v"),
-            F.min("first_at").alias("first_at"),
-            F.max_by("last_v", "last_at").alias("last_v"),
-            F.max("last_at").alias("last_at"),
-        )
+        .agg(*_merged_state())
         .withColumn("ts", from_us(F.col("_bucket")))
         .drop("_bucket")
     )
     return young.unionByName(merged)
 
 
-def finish(states: DataFrame, agg: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """Value of each state under one aggregate."""
-    value = {
+def merge_rollup_by_policy(
+    states: DataFrame, policies: DataFrame, as_of: datetime | int, keys: tuple[str, ...] = SERIES
+) -> DataFrame:
+    """`merge_rollup` with every tenant's own tiers; `keys` must include `tenant`.
+
+    Adds `agg`, the aggregate of the tier a row was rolled by (null = a sample). Cut-offs are snapped
+    to their intervals, so merging step by step gives the table of one merge, provided a tenant's
+    intervals divide one another. Rows of tenants without a policy, or without a time, stay as they are.
+    """
+    now = F.lit(micros(as_of)).cast("long")
+    # Cut-offs are worked out once per policy; a sample only compares.
+    cut = F.transform(
+        "downsample",
+        lambda t: F.struct(
+            t["interval_us"].alias("interval_us"),
+            t["after_us"].alias("after_us"),
+            F.coalesce(t["agg"], F.lit("last")).alias("agg"),
+            bucket_us(now - t["after_us"], t["interval_us"]).alias("cut_us"),
+        ),
+    )
+    tiers = policies.select("tenant", cut.alias("_tiers"))
+    states = states if "agg" in states.columns else states.withColumn("agg", F.lit(None).cast("string"))
+    newest_cut = tiers.select(F.max(F.array_max(F.transform("_tiers", lambda t: t["cut_us"])))).first()[0]
+    if newest_cut is None:
+        return states
+    hits = F.array_max(F.filter("_tiers", lambda t: epoch_us("ts") < t["cut_us"]))
+    tiered = states.join(tiers, "tenant", "left").withColumn("_tier", hits)
+    kept = tiered.filter(F.col("_tier").isNull()).select(*states.columns)
+    # A row that is coarser already keeps its resolution and its aggregate.
+    coarser = F.col("resolution_us") > F.col("_tier.interval_us")
+    merged = (
+        tiered.filter((F.col("ts") < instant(newest_cut)) & F.col("_tier").isNotNull())
+        .withColumn("agg", F.when(coarser, F.col("agg")).otherwise(F.col("_tier.agg")))
+        .withColumn("resolution_us", F.greatest("resolution_us", "_tier.interval_us"))
+        # Never a zero width: a filter from above may be pushed to rows that stay raw.
+        .withColumn("_bucket", bucket_us(epoch_us("ts"), F.nullif(F.col("resolution_us"), F.lit(0))))
+        .groupBy(*keys, "resolution_us", "agg", "_bucket")
+        .agg(*_merged_state())
+        .withColumn("ts", from_us(F.col("_bucket")))
+    )
+    return kept.unionByName(merged.select(*states.columns))
+
+
+def state_value(agg: str) -> Column:
+    """Value of a state row under one aggregate."""
+    total = F.col("s").cast("double") + F.col("rest")
+    return {
         "last": F.col("last_v"),
         "first": F.col("first_v"),
         "min": F.col("mn"),
         "max": F.col("mx"),
-        "sum": F.col("s").cast("double"),
-        "avg": F.try_divide(F.col("s").cast("double"), F.col("n").cast("double")),
+        "sum": total,
+        "avg": F.try_divide(total, F.col("n").cast("double")),
         "count": F.col("n").cast("double"),
     }[agg]
-    return states.select(*keys, "ts", value.alias("value"), "resolution_us")
+
+
+def finish(states: DataFrame, agg: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """Value of each state under one aggregate."""
+    return states.select(*keys, "ts", state_value(agg).alias("value"), "resolution_us")
+
+
+def finish_by_row(states: DataFrame) -> DataFrame:
+    """`states` plus `value`, under the aggregate each row was rolled by; a sample has its own value."""
+    value = F.when(F.col("agg").isNull(), F.col("last_v"))
+    for name in AGGREGATES:
+        value = value.when(F.col("agg") == name, state_value(name))
+    return states.withColumn("value", value)

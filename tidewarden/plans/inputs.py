@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.tiers import AGGREGATES
 from ..functions.timeline import DAY, HOUR, MINUTE
 from ..operators.placement import replica_nodes, with_shard
 from ..schema import POLICIES
@@ -23,6 +25,8 @@ EVENTS = Mapping(
     arrival_seq="event_id",
     nbytes="octet_length(event_type) + octet_length(props) + 24",
 )
+#: One tenant per aggregate.
+EVENTS_BY_AGGREGATE = replace(EVENTS, tenant="concat('g', user_id % 7)")
 LINEITEM = Mapping(
     tenant="concat('s', l_suppkey % 4)",
     metric="concat(l_returnflag, '/', l_linestatus)",
@@ -63,6 +67,15 @@ def tenant_policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, POLICIES)
 
 
+def aggregate_policies(spark: SparkSession) -> DataFrame:
+    """A tenant for each aggregate, with buckets of two days; every other one drops partitions."""
+    rows = [
+        (f"g{i}", (12 * DAY + 7 * HOUR if i % 2 == 0 else 0, None), None, [(DAY, HOUR, a), (5 * DAY, 2 * DAY, a)], [(6 * DAY, 24)], None, None, None, None)
+        for i, a in enumerate(AGGREGATES)
+    ]
+    return spark.createDataFrame(rows, POLICIES)
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four signals in one table: events, documents, orders and pages."""
     ev = table(spark, sf_dir, "events").selectExpr("'metrics' AS signal", "event_id AS row_id", "concat('t', user_id % 4) AS tenant", "cast(octet_length(event_type) + octet_length(props) + 24 AS bigint) AS nbytes")

@@ -323,6 +323,21 @@ bits AS (SELECT a.tenant, dt, min(bits) AS bits FROM ages a JOIN pbits b ON b.te
 SELECT r.tenant, metric, series_id, ts, round(CASE WHEN bits IS NULL THEN value ELSE {_MERGE_TRUNC} END, 6) AS value, CAST(resolution_us AS BIGINT) AS resolution_us,
   {DAY_OF} AS dt, CAST(bits AS INTEGER) AS bits FROM rolled r LEFT JOIN bits b ON b.tenant = r.tenant AND b.dt = {DAY_OF}"""
 
+# One merge at the later date. Cut-offs sit on multiples of their intervals, counted from 1970.
+_END, _WIDE = f"epoch_us({AS_OF})", 2 * DAY
+_CUT = f"(({_END} - {5 * DAY}) // {_WIDE} * {_WIDE})"
+_KEEP = f"(({_END} - {12 * DAY + 7 * HOUR}) // {_WIDE} * {_WIDE})"
+ORACLES["merge_lifecycle_twice"] = f"""WITH t AS (SELECT user_id % 7 AS g, event_type AS metric, ts, value, event_id AS arrival_seq,
+  CASE WHEN epoch_us(ts) < {_CUT} THEN {_WIDE} WHEN ts < {AS_OF} - INTERVAL 1 DAY THEN {HOUR} ELSE 0 END AS width
+  FROM events WHERE user_id % 7 % 2 = 1 OR ts IS NULL OR epoch_us(ts) >= {_KEEP}),
+rolled AS (SELECT g, metric, ts, value, width, CAST(value IS NOT NULL AS BIGINT) AS n, ts AS newest FROM t WHERE width = 0
+  UNION ALL SELECT g, metric, {bucket('greatest(width, 1)')} AS b, CASE g {' '.join(f"WHEN {i} THEN {e}" for i, e in enumerate(AGGS.values()))} END, width, count(value), max(ts)
+  FROM t WHERE width > 0 GROUP BY g, metric, b, width),
+ages AS (SELECT g, {DAY_OF} AS dt, {_END} - epoch_us(max(newest)) AS age_us FROM rolled GROUP BY ALL)
+SELECT 'g' || r.g AS tenant, metric, ts, round(CASE WHEN age_us > {6 * DAY} THEN {trunc('value', '24')} ELSE value END, 6) AS value,
+  CAST(width AS BIGINT) AS resolution_us, CAST(n AS BIGINT) AS n, dt, CASE WHEN age_us > {6 * DAY} THEN 24 END AS bits
+FROM rolled r JOIN ages a ON a.g = r.g AND a.dt IS NOT DISTINCT FROM {DAY_OF}"""
+
 DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)"
 ORACLES |= {
     "stream_ingest": f"WITH {EV} SELECT tenant, CAST(ts AS DATE) AS dt, count(*) AS n_rows, CAST(sum(nbytes) AS BIGINT) AS n_bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY ALL",

@@ -158,7 +158,7 @@ def rollup_progressive(spark, sf_dir):
     for as_of, step in ((datetime(2024, 1, 15, 3, 10), first), (datetime(2024, 1, 22, 5, 20), both), (EVENTS_AS_OF, both)):
         state = rollup.merge_rollup(state, step, as_of, keys)
     return state.select(
-        *keys, "ts", "resolution_us", "n", F.col("s").cast("double").alias("s"), "mn", "mx", "first_v", "last_v"
+        *keys, "ts", "resolution_us", "n", rollup.state_value("sum").alias("s"), "mn", "mx", "first_v", "last_v"
     )
 
 
@@ -451,3 +451,16 @@ def merge_lifecycle(spark, sf_dir):
     policies = inputs.tenant_policies(spark)
     out = merge_job.merged(inputs.events(spark, sf_dir), policies, EVENTS_AS_OF, merge_job.bit_widths(policies))
     return out.select("tenant", "metric", "series_id", "ts", F.round("value", 6).alias("value"), "resolution_us", "dt", "bits")
+
+
+@register("merge_lifecycle_twice")
+def merge_lifecycle_twice(spark, sf_dir):
+    """A merge, new samples, another merge: the table of a single merge at the later date."""
+    keys, earlier = ("tenant", "metric"), datetime(2024, 1, 22, 3, 10)
+    policies = inputs.aggregate_policies(spark)
+    states = rollup.as_state(as_samples(inputs.table(spark, sf_dir, "events"), inputs.EVENTS_BY_AGGREGATE), keys)
+    before, new = states.filter(F.col("ts") < F.lit(earlier)), states.filter((F.col("ts") >= F.lit(earlier)) | F.col("ts").isNull())
+    first = merge_job.merge_states(before, policies, earlier, keys)
+    second = merge_job.merge_states(first.unionByName(new, allowMissingColumns=True), policies, EVENTS_AS_OF, keys)
+    out = merge_job.published(second, policies, EVENTS_AS_OF, merge_job.bit_widths(policies))
+    return out.select("tenant", "metric", "ts", F.round("value", 6).alias("value"), "resolution_us", "n", "dt", "bits")

@@ -29,12 +29,24 @@ def assign_parts(
     return total.withColumn("part_id", F.call_function("div", F.col("_total") - F.col(nbytes), F.lit(max_part_bytes).cast("long"))).drop("_total")
 
 
-def write_parts(df: DataFrame, path: str, max_part_bytes: int, by: tuple[str, ...] = PART_KEY, level: int | None = None, mode: str = "append") -> None:
+def write_parts(
+    df: DataFrame,
+    path: str,
+    max_part_bytes: int,
+    by: tuple[str, ...] = PART_KEY,
+    level: int | None = None,
+    mode: str = "append",
+    order: tuple[str, ...] = ("ts", "arrival_seq"),
+) -> None:
     """Write so that no file exceeds a part: each (partition, part) goes to one task, one file.
 
     A part is bounded by its cap, so no task is large, and rows inside a file are in time order.
     """
-    parts = assign_parts(df, max_part_bytes, by)
+    write_assigned(assign_parts(df, max_part_bytes, by, order), path, by, level, mode)
+
+
+def write_assigned(parts: DataFrame, path: str, by: tuple[str, ...] = PART_KEY, level: int | None = None, mode: str = "append") -> None:
+    """Write rows that have a `part_id`, each part as one file."""
     day = parts.withColumn("dt", F.to_date("dt")) if dict(parts.dtypes)["dt"].startswith("timestamp") else parts
     writer = (
         day.repartition(*by, "part_id")
