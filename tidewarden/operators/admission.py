@@ -56,11 +56,9 @@ def series_verdicts(
     if not soft:
         return past_hard
     over = ranked.filter((F.col("signal") == "metrics") & (F.col("rank") > soft))
-    # At most (hard - soft) metrics per key survive the rank limit, before and after the shuffle.
+    metrics = stage(over.groupBy(*group, "metric").agg(F.min("first_seq").alias("_first")), "metrics")
     minted = (
-        over.groupBy(*group, "metric")
-        .agg(F.min("first_seq").alias("_first"))
-        .withColumn("_m", F.row_number().over(Window.partitionBy(*group).orderBy("_first", "metric")))
+        running_total(metrics, group, ["_first", "metric"], F.lit(1), "_m", slices=plan_slices(metrics, F.col("_first")))
         .filter(F.col("_m") <= hard - soft)
         .select(*group, "metric", F.lit(OVERFLOW).alias("_minted"))
     )
@@ -192,14 +190,17 @@ def limit_rate_from(
     at least one more slice of each key, so the result is the row-by-row one; the admission key
     (tenant and shard, say) sets how much of an overload runs in parallel.
 
-    Rounds use a staged table of key, time, order and size.
+    Rounds use a staged table of key, time, order and size. A row without a time or a size is
+    accepted and spends nothing.
     """
     rate, key, order = int(bytes_per_second), list(key), list(order)
     state = [*key, SLICE]
     us = epoch_us(ts)
     sub = F.col(order[0]) if order else None
     slices = plan_slices(df, us, sub, parts)
-    cut = slices.add(df.withColumns({"_us": us, "_cost": F.col(nbytes).cast("long")}), us, sub)
+    # A row without a time spends nothing and stands before all others.
+    cost = F.when(us.isNull(), F.lit(0)).otherwise(F.coalesce(F.col(nbytes).cast("long"), F.lit(0)))
+    cut = slices.add(df.withColumns({"_us": F.coalesce(us, F.lit(0).cast("long")), "_cost": cost.cast("long")}), us, sub)
 
     narrow = stage(cut.select(*state, "_us", "_cost", *order), "bucket-rows")
     end_schema = T.StructType(

@@ -29,8 +29,11 @@ def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate:
     cumulative sum held under a ceiling, so such stretches are decided with whole-array operations;
     only the rows around a shed one are stepped through.
     """
-    clock = (us // SECOND) * rate + (us % SECOND) * rate // SECOND
-    at = int(clock[0]) if since is None else (since // SECOND) * rate + (since % SECOND) * rate // SECOND
+    # Two seconds before the first row credit is full either way. Counting from there keeps the clock small.
+    since = int(us[0]) if since is None else max(since, int(us[0]) - 2 * SECOND)
+    base = since // SECOND
+    clock = (us // SECOND - base) * rate + (us % SECOND) * rate // SECOND
+    at = (since % SECOND) * rate // SECOND
     clock = np.maximum(clock, at)
     ok = np.ones(len(us), dtype=bool)
     i = 0

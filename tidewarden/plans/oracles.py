@@ -338,12 +338,11 @@ SELECT 'g' || r.g AS tenant, metric, ts, round(CASE WHEN age_us > {6 * DAY} THEN
   CAST(width AS BIGINT) AS resolution_us, CAST(n AS BIGINT) AS n, dt, CASE WHEN age_us > {6 * DAY} THEN 24 END AS bits
 FROM rolled r JOIN ages a ON a.g = r.g AND a.dt IS NOT DISTINCT FROM {DAY_OF}"""
 
-DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)"
 ORACLES |= {
     "stream_ingest": f"WITH {EV} SELECT tenant, CAST(ts AS DATE) AS dt, count(*) AS n_rows, CAST(sum(nbytes) AS BIGINT) AS n_bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY ALL",
     "stream_rollup": f"""WITH {EV}, b AS (SELECT *, {bucket(str(HOUR))} AS bucket_ts FROM ev)
 SELECT tenant, metric, series_id, bucket_ts AS ts, {AGGS['last']} AS value, CAST({HOUR} AS BIGINT) AS resolution_us
-FROM b GROUP BY tenant, metric, series_id, bucket_ts HAVING bucket_ts + INTERVAL 1 HOUR <= {DONE}""",
+FROM b WHERE ts IS NOT NULL GROUP BY tenant, metric, series_id, bucket_ts""",
     "stream_dedup": f"WITH {EV} SELECT DISTINCT tenant, series_id, ts FROM ev",
     "stream_limit_rate": ORACLES["limit_rate"],
     "stream_limit_rate_sliced": ORACLES["limit_rate"],
@@ -352,5 +351,5 @@ FROM b GROUP BY tenant, metric, series_id, bucket_ts HAVING bucket_ts + INTERVAL
 SELECT tenant, window_ts, count(*) FILTER (NOT shed) AS accepted_rows, count(*) FILTER (shed) AS rejected_rows,
   CAST(coalesce(sum(nbytes) FILTER (NOT shed), 0) AS BIGINT) AS accepted_bytes, CAST(coalesce(sum(nbytes) FILTER (shed), 0) AS BIGINT) AS rejected_bytes,
   CASE WHEN count(*) FILTER (shed) > 0 THEN 'RESOURCE_EXHAUSTED' END AS reason
-FROM w GROUP BY tenant, window_ts HAVING window_ts + INTERVAL 1 HOUR <= {DONE}""",
+FROM w WHERE ts IS NOT NULL GROUP BY tenant, window_ts""",
 }

@@ -396,6 +396,20 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
+def _drain_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """`_drain` for aggregates: the last state of every key, windows still open at the end included."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    ingest.write_updates(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return ingest.read_updates(spark, f"{root}/table", stream.schema, keys)
+
+
+def _history_us(spark: SparkSession, sf_dir: str) -> int:
+    """The table's whole span: the delay that loses no row when its files come in any order."""
+    us = F.unix_micros("ts")
+    return (inputs.events(spark, sf_dir).agg(F.max(us) - F.min(us)).first()[0] or 0) + MINUTE
+
+
 @register("stream_ingest")
 def stream_ingest(spark, sf_dir):
     root = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
@@ -407,13 +421,14 @@ def stream_ingest(spark, sf_dir):
 
 @register("stream_rollup")
 def stream_rollup(spark, sf_dir):
-    return _drain(aggregates.rollup_stream(_event_stream(spark, sf_dir), RollupTier(0, HOUR, "last"), 10 * MINUTE), "rollup")
+    rolled = aggregates.rollup_stream(_event_stream(spark, sf_dir), RollupTier(0, HOUR, "last"), _history_us(spark, sf_dir))
+    return _drain_updates(rolled, "rollup", ["tenant", "metric", "series_id", "ts"])
 
 
 @register("stream_dedup")
 def stream_dedup(spark, sf_dir):
     three = _event_stream(spark, sf_dir).select("tenant", "series_id", "ts", F.explode(F.expr("array('n0', 'n1', 'n2')")).alias("node"))
-    return _drain(aggregates.dedup_stream(three, HOUR).select("tenant", "series_id", "ts"), "dedup")
+    return _drain(aggregates.dedup_stream(three, _history_us(spark, sf_dir)).select("tenant", "series_id", "ts"), "dedup")
 
 
 @register("stream_limit_rate")
@@ -440,7 +455,8 @@ def stream_limit_in_flight(spark, sf_dir):
 def stream_partial_success(spark, sf_dir):
     odd = F.when(F.col("arrival_seq") % 3 == 0, admission.SHED).otherwise(admission.ACCEPTED)
     tagged = _event_stream(spark, sf_dir).withColumn("verdict", odd)
-    return _drain(aggregates.partial_success_stream(tagged, HOUR, 10 * MINUTE), "partial")
+    counted = aggregates.partial_success_stream(tagged, HOUR, _history_us(spark, sf_dir))
+    return _drain_updates(counted, "partial", ["tenant", "window_ts"])
 
 
 # --- the composed job ------------------------------------------------------------------------

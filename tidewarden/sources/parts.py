@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.timeline import epoch_us, instant, micros
+from ..functions.timeline import DAY, epoch_us, instant, micros
 from ..operators.retention import partition_of
 from ..operators.slices import running_total
 
@@ -61,14 +61,25 @@ def write_assigned(parts: DataFrame, path: str, by: tuple[str, ...] = PART_KEY,
 
 
 def cold_parts(df: DataFrame, after_us: int, as_of: datetime | int, by: tuple[str, ...] = PART_KEY, ts: str = "ts") -> DataFrame:
-    """Parts whose newest row is older than `after`. Reads the part key and the time only."""
+    """Parts whose newest row is older than `after`. Reads the part key and the time only.
+
+    A part that begins at the cut-off or later cannot be cold: a literal bound leaves it out of the scan.
+    """
     if after_us <= 0:
         raise ValueError("the recompression age must be positive")
-    df = df if "dt" in df.columns else df.withColumn("dt", partition_of(ts))
+    cut = micros(as_of) - after_us
+    day = -(-cut // DAY)
+    kind = dict(df.dtypes).get("dt")
+    if kind is None:
+        df = df.filter(F.col(ts) < instant(day * DAY)).withColumn("dt", partition_of(ts))
+    elif "dt" in by and kind == "date":
+        df = df.filter(F.col("dt") < F.lit(date(1970, 1, 1) + timedelta(days=day)))
+    elif "dt" in by and kind.startswith("timestamp"):
+        df = df.filter(F.col("dt") < instant(cut))
     return (
         df.groupBy(*by)
         .agg(F.max(ts).alias("newest"), F.count("*").alias("n_rows"))
-        .filter(F.col("newest") < instant(micros(as_of) - after_us))
+        .filter(F.col("newest") < instant(cut))
     )
 
 

@@ -16,11 +16,12 @@ def _micros(us: int) -> str:
 def rollup_stream(
     stream: DataFrame, tier: RollupTier, delay_us: int, keys: tuple[str, ...] = SERIES, order_cols: tuple[str, ...] = ARRIVAL
 ) -> DataFrame:
-    """One row per (series, bucket), emitted once the watermark has passed the bucket.
+    """One row per (series, bucket): in append mode once the watermark has passed the bucket, in update
+    mode (`ingest.write_updates`) whenever it changes, so that the last buckets come out too.
 
     Windows sit on absolute multiples of the interval, like the table job's buckets. A row later
     than `delay_us` misses its bucket here; it stays in the raw table, and the next merge repairs
-    the bucket from there.
+    the bucket from there. A row without a time has no bucket.
     """
     order = F.struct("ts", *order_cols) if order_cols else F.col("ts")
     value = {

@@ -36,6 +36,23 @@ def write_samples(stream: DataFrame, path: str, checkpoint: str, flush_us: int |
     return flushed(day.writeStream.format("parquet").partitionBy("dt").outputMode("append"), checkpoint, flush_us).start(path)
 
 
+def write_updates(stream: DataFrame, path: str, checkpoint: str, flush_us: int | None = None) -> StreamingQuery:
+    """Aggregates whenever they change, open windows included. A replayed batch overwrites its own output."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return flushed(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, flush_us).start()
+
+
+def read_updates(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The state of every key as `write_updates` last wrote it."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    values = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*").select(*schema.names)
+
+
 def write_signal_stream(
     stream: DataFrame, path: str, toggles: dict[str, bool | None] | None, checkpoint: str, flush_us: int | None = None
 ) -> StreamingQuery:
