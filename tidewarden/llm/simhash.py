@@ -30,17 +30,27 @@ BITS = 64
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _fingerprint(text: str | None, shingle: int) -> int:
-    words = (text or "").encode().lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hash of each shingle, in the text's order."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     starts, ends = (end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, ends)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, ends)), np.uint64, len(starts))
+
+
+def _fingerprint(text: str | None, shingle: int) -> int:
+    hashes = shingle_hashes(words_of(text), shingle)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256) @ _OF_BYTE
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view(np.int64)[0])
@@ -201,22 +211,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stage(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("print")), "simhash-prints")
     firsts = stage(rows.groupBy("print").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = components(links(firsts, limit)).withColumnRenamed("node", "print")
+    return named(rows, firsts, components(links(firsts, limit)), id_col)
+
+
+def named(rows: DataFrame, firsts: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, print) with the component_id and root of their print; firsts has each print's smallest id, roots those of linked prints."""
+    roots = roots.withColumnRenamed("node", "print")
     rooted = stage(firsts.join(roots, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root")), "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = rooted.join(named, "root").select("print", "root", "component_id")
     return rows.join(members, "print").select(F.col("id").alias(id_col), "print", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, mark=fingerprint) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates keeps the row with its smallest id.
 
+    find(docs, id_col, text_col) gives the groups, mark(text) a row's print in them.
     Where several rows of a group have that id (or no row has one), one of them stays. Columns and order of columns stay.
     """
     held = [f"held_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*held)
     own, text = held[docs.columns.index(id_col)], held[docs.columns.index(text_col)]
-    groups = near_duplicates(plain, own, text)
+    groups = find(plain, own, text)
     kept = groups.where(F.col(own).eqNullSafe(F.col("component_id"))).groupBy(own, "root").agg(F.min("print").alias("print"), F.count("*").alias("n"))
     kept = stage(kept, "simhash-kept")
     #: Ids are rarely repeated; only rows with such an id need their fingerprint again.
@@ -226,6 +242,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     single = clear.where(ids).join(all_ids.where("rows = 1"), own).select(own)
     first = plain.join(single, own, "left_semi")
     rest = plain.join(kept.select(own).distinct().join(single, own, "left_anti").withColumnRenamed(own, "again"), F.col(own).eqNullSafe(F.col("again")), "left_semi")
-    rest = rest.withColumn("print", fingerprint(F.col(text)))
+    rest = rest.withColumn("print", mark(F.col(text)))
     rest = rest.join(kept.select(F.col(own).alias("again"), F.col("print").alias("mark")), F.col(own).eqNullSafe(F.col("again")) & (F.col("print") == F.col("mark")), "left_semi")
     return first.union(rest.dropDuplicates([own, "print"]).select(*held)).toDF(*docs.columns)
