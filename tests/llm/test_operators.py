@@ -174,3 +174,47 @@ def test_top_k_in_small_blocks_and_sets(spark, monkeypatch):
     for at in range(0, 300, 32):
         best = maxscore.search_block(ids[at : at + 32], columns[:, at : at + 32], x[0], 0, 5, best)
     assert best == [(s, i) for q, _, i, s in want if q == 0]
+
+
+def _examples(pattern):
+    """Texts that a rule's pattern matches: every branch and option by itself."""
+    from re import _parser
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                more = [chr(v) for _, v in arg]
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif name == "SUBPATTERN":
+                more = of(arg[-1])
+            else:
+                assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
+                more = ["", *of(arg[2])]
+            plain = out[0]
+            out = [x + more[0] for x in out] + [plain + y for y in more[1:]]
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def _missing(spark, rules, texts):
+    """Rules of which a text gives no detection of their priority or a higher one over the whole match."""
+    docs = spark.createDataFrame([(i, f"See. {t.upper()}, so") for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    found = lambda r, t, rule: any(d["start"] <= 4 and d["stop"] >= 4 + len(t) and d["priority"] >= rule.priority for d in r["detections"]) and r["score"] >= rule.weight
+    return [(rule.pattern, t) for i, (rule, t) in enumerate(zip(rules, texts)) if not found(rows[i], t, rule)]
+
+
+def test_license_gate_passes_every_grant(spark):
+    """Grants of every license without the word license, in texts without any other hint."""
+    first = {r: _examples(r.pattern)[0].replace("licensed under", "released under") for r in licenses.rules() if r.priority == 3}
+    some = [r for r, t in first.items() if r.keyword in t]
+    texts = [first[r] for r in some]
+    assert len(some) > 60 and _missing(spark, some, texts) == []
+    rows = licenses.scan(spark.createDataFrame([(1, "Released under GPL v3. Published\nunder  CC BY 4.0.")], "doc_id long, text string")).collect()
+    assert {"gpl-3", "cc-by-4"} <= set(rows[0]["labels"].split(","))

@@ -2,7 +2,7 @@
 
 A rule is a label, a keyword, a pattern over words, a priority and a weight. A text is brought to
 words of a-z, 0-9 and letters beyond ASCII, joined by single spaces. Only texts that hold a general
-hint are looked at, and in them only rules whose keyword is there. Where the place of one detection lies
+hint are looked at, and in them only rules whose keyword is there; every match of a rule implies both. Where the place of one detection lies
 inside that of another of the same or higher priority, it is suppressed; what is left gives the labels.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Verbs of a grant, and what any rule's match holds: one of these, or a verb without 'licen' with 'under' behind it.
+_GRANTS = "licensed|released|distributed|available|published|provided|covered"
+_HINTS = ("licen", "spdx", "public domain")
 #: Fixed base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -99,7 +102,7 @@ def rules() -> list[Rule]:
     for label, keyword, names, tag in FAMILIES:
         out += [
             Rule(label, keyword, f"spdx license identifier (?:{tag})", 4, 1.0),
-            Rule(label, keyword, f"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?(?:{names})(?: license)?", 3, 0.95),
+            Rule(label, keyword, f"(?:{_GRANTS}) under (?:the )?(?:terms of )?(?:the )?(?:{names})(?: license)?", 3, 0.95),
             Rule(label, keyword, f"(?:under|by|with) the (?:terms of the )?(?:{names})(?: license)", 2, 0.85),
             Rule(label, keyword, f"(?:{names}) licen[sc]ed?", 1, 0.7),
             Rule(label, keyword, f"license (?:is )?(?:{names})(?: license)?", 1, 0.6),
@@ -111,6 +114,12 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _hint(low: str) -> str:
+    """SQL: whether a lower-cased text may hold a phrase or a match of any rule."""
+    grant = _literal(f"(?:{_GRANTS}){_GAP}+under")
+    return " OR ".join(f"contains({low}, '{h}')" for h in _HINTS) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
+
+
 def _places(text: str, pattern: str) -> str:
     """SQL for array<struct<start,stop>>, code points, of a pattern's matches."""
     return (
@@ -136,7 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     df = df.withColumn("n_words", _count(F.col("text")))
-    df = df.withColumn("low", F.lower("text")).withColumn("hint", F.expr("contains(low, 'licen') OR contains(low, 'spdx') OR contains(low, 'public domain') OR contains(low, 'cc') AND contains(low, 'nc')"))
+    df = df.withColumn("low", F.lower("text")).withColumn("hint", F.expr(_hint("low")))
     df = df.withColumn("text", F.when(F.col("hint"), F.col("text")).otherwise(F.lit(""))).select("id", "n_words", "text")
 
     phrases = []
