@@ -218,3 +218,13 @@ def test_license_gate_passes_every_grant(spark):
     assert len(some) > 60 and _missing(spark, some, texts) == []
     rows = licenses.scan(spark.createDataFrame([(1, "Released under GPL v3. Published\nunder  CC BY 4.0.")], "doc_id long, text string")).collect()
     assert {"gpl-3", "cc-by-4"} <= set(rows[0]["labels"].split(","))
+
+
+def test_every_license_rule_by_itself(spark):
+    """Each branch and option of every rule, alone in a text, passes the hint and the rule's keyword."""
+    pairs = [(r, t) for r in licenses.rules() for t in _examples(r.pattern)]
+    assert [(r.pattern, t) for r, t in pairs if r.keyword not in t] == []
+    assert _missing(spark, [r for r, _ in pairs], [t for _, t in pairs]) == []
+    tags = {"EPL-2.0": "epl-2", "MPL-1.1": "mpl-1.1", "BSL-1.0": "boost-1", "OFL-1.1": "ofl-1.1", "MS-PL": "ms-pl", "PSF-2.0": "psf-2", "ODC-By-1.0": "odc-by-1"}
+    rows = licenses.scan(spark.createDataFrame([(i, f"// SPDX-License-Identifier: {t}") for i, t in enumerate(tags)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in rows] == [(x, 1.0) for x in tags.values()]

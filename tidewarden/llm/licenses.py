@@ -8,6 +8,7 @@ inside that of another of the same or higher priority, it is suppressed; what is
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,16 +21,17 @@ _HINTS = ("licen", "spdx", "public domain")
 #: Fixed base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Families: label, keyword, names as written in prose (words only), identifiers (words only).
+#: Families: label, keyword of all names, names as written in prose (words only), identifiers (words only).
 FAMILIES = [
-    ("mit", "mit", "mit|expat", "mit"),
+    ("mit", "mit", "mit", "mit"),
+    ("mit", "expat", "expat", "mit"),
     ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
     ("apache-1.1", "apache", "apache (?:software )?(?:license )?(?:version )?1 1", "apache 1 1"),
     ("apache-2", "apache", "apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache 2 0"),
     ("bsd-2-clause", "bsd", "(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause", "bsd 4 clause"),
-    ("0bsd", "0bsd", "zero clause bsd|0bsd", "0bsd"),
+    ("0bsd", "bsd", "zero clause bsd|0bsd", "0bsd"),
     ("gpl-1", "gpl", "gnu gpl (?:version |v)?1|gpl ?v?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
     ("gpl-2", "gpl", "gnu gpl (?:version |v)?2|gpl ?v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3", "gpl", "gnu gpl (?:version |v)?3|gpl ?v?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
@@ -101,7 +103,7 @@ def rules() -> list[Rule]:
     out = []
     for label, keyword, names, tag in FAMILIES:
         out += [
-            Rule(label, keyword, f"spdx license identifier (?:{tag})", 4, 1.0),
+            Rule(label, re.match("[a-z0-9]+", tag)[0], f"spdx license identifier (?:{tag})", 4, 1.0),
             Rule(label, keyword, f"(?:{_GRANTS}) under (?:the )?(?:terms of )?(?:the )?(?:{names})(?: license)?", 3, 0.95),
             Rule(label, keyword, f"(?:under|by|with) the (?:terms of the )?(?:{names})(?: license)", 2, 0.85),
             Rule(label, keyword, f"(?:{names}) licen[sc]ed?", 1, 0.7),
