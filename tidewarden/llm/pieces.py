@@ -17,6 +17,13 @@ _LATEST: list = []
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+def remember_only(owner) -> None:
+    """One worker serves many jobs: whatever another one remembers is forgotten. None: everything."""
+    if _LATEST and _LATEST[0] is not owner:
+        _LATEST[0]._forget()
+    _LATEST[:] = [] if owner is None else [owner]
+
+
 class Chunks(dict):
     """Numbers of chunks, and the items (of one dtype) that work gives for each chunk as raw bytes.
 
@@ -57,10 +64,7 @@ class Chunks(dict):
 
         A chunk starts at each space that follows something else than white space.
         """
-        last = _LATEST[0] if _LATEST else None
-        if last is not None and last is not self:  # one worker serves many jobs; only the present one remembers
-            last._forget()
-        _LATEST[:] = [self]
+        remember_only(self)
         if len(self) > self.bound:
             self._forget()
         cut = []

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, decontaminate, licenses, maxscore, pii, quality, simhash, token_counts, token_files, toxicity
+from tidewarden.llm import bpe, decontaminate, licenses, maxscore, packing, pii, quality, simhash, token_counts, token_files, toxicity
 from tidewarden.llm.labelled import fold
 from tidewarden.sources.staging import shared_folder
 
@@ -128,3 +128,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@register
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
