@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, decontaminate, licenses, maxscore, packing, pii, quality, simhash, token_counts, token_files, toxicity
+from tidewarden.llm import bpe, decontaminate, licenses, maxscore, packing, pii, quality, simhash, token_counts, token_files, toxicity, whitening
 from tidewarden.llm.labelled import fold
 from tidewarden.sources.staging import shared_folder
 
@@ -133,3 +133,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @register
 def op13_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
