@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, decontaminate, licenses, maxscore, packing, pii, quality, simhash, token_counts, token_files, toxicity, whitening
+from tidewarden.llm import bpe, collocations, decontaminate, licenses, maxscore, packing, pii, quality, simhash, token_counts, token_files, toxicity, whitening
 from tidewarden.llm.labelled import fold
 from tidewarden.sources.staging import shared_folder
 
@@ -135,6 +135,31 @@ def op13_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) s WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30),
+cut AS (SELECT lang, phrase, size, a, k, w, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS k) s WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, cut.size, cut.a, cut.k, x.a AS l, y.a AS r, CAST(2000000 * CAST(cut.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, size - m + 2)]) AS phrase, a AS fa FROM c, (SELECT unnest([2, 3]) AS m) s WHERE m < size),
+around AS (SELECT lang, phrase, max(fa) AS fa FROM inside GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN around USING (lang, phrase) WHERE fa IS NULL OR 100 * fa < 80 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @register
 def op12_embedding_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
