@@ -9,25 +9,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import bpe, decontaminate, near_copies, pii, toxicity
+from tidewarden.llm import bpe, decontaminate, pii, simhash, toxicity
 from tidewarden.llm.labelled import fold
 from tidewarden.sources.staging import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5; the model learns from labelled rows of all folds but one."""
+    """Documents with a toxicity score under 0.5; the model learns from labelled rows of all folds but one.
+
+    Null and empty texts have a score like any other; repeated rows stay or go together; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
     return docs.where(toxicity.score(spark, model, F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by a similarity of 0.8 or more in five-word shingles."""
-    return near_copies.one_of_each_copy(docs)
+    """One document, that of the smallest doc_id, of each group linked by fingerprints of four-word shingles at most 4 bits apart.
+
+    Null and empty texts share the fingerprint zero and so are one group; of rows that repeat a doc_id one stays.
+    """
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark passages."""
+    """Documents of which less than a twentieth of the words lies in benchmark passages; a text without words stays."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -38,7 +44,10 @@ def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of the ids and of the bytes they decode to, which must be the text's."""
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes they decode to, which must be the text's.
+
+    A null or empty text has no ids; every row, repeated ones too, gives a row.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = docs.select("doc_id", "text", bpe.encode(F.col("text"), path, pattern).alias("ids"))
     rows = rows.select("doc_id", "ids", "text", bpe.digests(F.col("ids"), path, pattern).alias("d"))
