@@ -35,7 +35,11 @@ class Merges:
         self.find = regex.compile(pattern).findall
         self.agreed: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
-        self.chunks = Chunks(self.encode)
+        self.chunks = Chunks(self.encode, forget_too=self._forget)
+
+    def _forget(self) -> None:
+        self.pieces.clear()
+        self.agreed.clear()
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the pair of least rank, the leftmost of equals, until none is left."""

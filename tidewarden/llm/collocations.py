@@ -334,7 +334,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_co
     spark = docs.sparkSession
     name = f"tidewarden_fm_{uuid.uuid4().hex}"
     built = indexes(docs, text_col, lang_col)
-    buckets = max(1, min(8192, docs.rdd.getNumPartitions()))
+    # Fewer buckets than shuffle partitions, and a join would deal the index out again.
+    buckets = max(min(8192, docs.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.shuffle.partitions")))
     built.write.bucketBy(buckets, "shard").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     index = spark.table(name)
     sizes = index.agg(F.sum(F.octet_length("counts") / 8).cast("long").alias("words"), F.sum(F.octet_length("back") / 4).cast("long").alias("places")).first()

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewarden.llm.pieces import Chunks, sections
+from tidewarden.llm.pieces import Chunks, remember_only, sections
 from tidewarden.sources.staging import stage
 
 WINDOW = 13
@@ -91,6 +91,7 @@ def _searcher(spark, items: list[tuple[int, str]], window: int):
 
     @F.arrow_udf("struct<n_words: long, hit: array<int>, items: array<long>>")
     def search(texts: pa.Array) -> pa.Array:
+        remember_only(None)
         found = [x for s in sections(texts) for x in sent.value.search(s)]
         n, hit, items = zip(*found) if found else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["n_words", "hit", "items"])

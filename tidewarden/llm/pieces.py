@@ -31,12 +31,16 @@ class Chunks(dict):
     is bounded: beyond the bound all of it is forgotten, between two calls.
     """
 
-    def __init__(self, work, dtype: str = "<u4", bound: int = 500_000):
+    def __init__(self, work, dtype: str = "<u4", bound: int = 500_000, forget_too=lambda: None):
         super().__init__()
-        self.work, self.dtype, self.bound = work, np.dtype(dtype), bound
-        self._forget()
+        self.work, self.dtype, self.bound, self.forget_too = work, np.dtype(dtype), bound, forget_too
+        self._empty()
 
     def _forget(self):
+        self._empty()
+        self.forget_too()
+
+    def _empty(self):
         self.clear()
         self.new: list[str] = []
         self.flat, self.first, self.size, self.odd = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -66,7 +70,7 @@ class Chunks(dict):
         """
         remember_only(self)
         if len(self) > self.bound:
-            self._forget()
+            self._empty()
         cut = []
         for text in texts:
             if _FIRST in text:
@@ -123,4 +127,4 @@ def token_chunks(encode) -> Chunks:
         known.update(zip(fresh, encode(fresh)))
         return [known[some[0]] if len(some) == 1 else b"".join([known[p] for p in some]) for some in cut]
 
-    return Chunks(work)
+    return Chunks(work, forget_too=known.clear)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.components import components
+from tidewarden.llm.pieces import remember_only
 from tidewarden.sources.staging import stage
 
 BITS = 64
@@ -65,6 +66,7 @@ def fingerprint(text: Column, shingle: int = 4) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        remember_only(None)
         return pa.array([_fingerprint(x, shingle) for x in texts.to_pylist()], pa.int64())
 
     return of(text)

@@ -8,18 +8,17 @@ Blocks are rows of a Parquet table: binary columns, written and committed by Spa
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewarden.llm.pieces import Chunks, sections, token_chunks
+from tidewarden.llm.chunk_ids import ChunkIds
+from tidewarden.llm.word_ranks import encoder
 
 BLOCK = "part int, seq long, first_token long, n_tokens long, n_docs long, docs binary, ranks binary, control binary, data binary"
-SECTION = 512
+SECTION = 2048
 _NULL_ID = np.iinfo(np.int64).min
 #: Per control byte: the sizes of its four values, and where each starts within their bytes.
 _SIZES = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1
@@ -65,24 +64,7 @@ def _block(part: int, seq: int, first: int, ids: list, lengths: list, tokens: np
     return {"part": part, "seq": seq, "first_token": first, "n_tokens": len(tokens), "n_docs": len(ids), "docs": docs, "ranks": ranked.tobytes(), "control": control, "data": data}
 
 
-def _encoder(path: str):
-    """The tokenizers library on strings; special tokens' strings are ordinary text."""
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-
-    def encode(strings: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(strings), 4096):
-            out += [array("I", e.ids).tobytes() for e in library.encode_batch_fast(strings[i : i + 4096], add_special_tokens=False)]
-        return out
-
-    return encode
-
-
-_MEMORY: dict[str, Chunks] = {}
+_MEMORY: dict[str, ChunkIds] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -99,10 +81,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bl
         from pyspark import TaskContext
 
         if tokenizer not in _MEMORY:
-            _MEMORY[tokenizer] = token_chunks(_encoder(tokenizer))
+            _MEMORY[tokenizer] = ChunkIds(encoder(tokenizer), spaced=True)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids, lengths, held, size = [], [], [], 0
-        for keys, texts in ((b.column(0).slice(i, SECTION), t) for b in batches for i, t in zip(range(0, b.num_rows, SECTION), sections(b.column(1), SECTION))):
+        for keys, texts in ((b.column(0).slice(i, SECTION), b.column(1).slice(i, SECTION)) for b in batches for i in range(0, b.num_rows, SECTION)):
             tokens, n = _MEMORY[tokenizer].items(texts)
             ends = np.cumsum(n)
             tokens, n = np.insert(tokens, ends, end_id), n + 1

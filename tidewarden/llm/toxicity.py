@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.labelled import bounded
-from tidewarden.llm.pieces import Chunks, row_of, sections
+from tidewarden.llm.pieces import Chunks, remember_only, row_of, sections
 
 #: Bounds of what is fitted to: confirmed toxic texts, unlabelled texts, candidate words, chosen words.
 MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS, MAX_FEATURES = 20_000, 20_000, 50_000, 4_096
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     toxic = texts.join(F.broadcast(sample.select("id")), "id").select("text").dropDuplicates()  # bounded by MAX_TOXIC
 
     def words(batches):
+        remember_only(None)
         for texts in (s for b in batches for s in sections(b.column(0))):
             found = [w for t in texts for w in set(_features(t.lower()))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     sent = spark.sparkContext.broadcast(Lexicon([w for w, _ in candidates]))
 
     def shares(batches):
+        remember_only(None)
         n, found = 0, np.zeros(len(sent.value.words), np.int64)
         for texts in (s for b in batches for s in sections(b.column(0))):
             n += len(texts)
@@ -150,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     train_docs = train if train_docs is None else train_docs
 
     def features(batches):
+        remember_only(None)
         for marks, texts in ((b.column(1).slice(i, 512), t) for b in batches for i, t in zip(range(0, b.num_rows, 512), sections(b.column(0), 512))):
             row, word = sent.value.presence(texts)
             n = np.bincount(row, minlength=len(texts))
@@ -171,6 +174,7 @@ def score(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
+        remember_only(None)
         out = [sent.value.probability(s) for s in sections(texts)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
