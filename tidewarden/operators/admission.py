@@ -15,7 +15,8 @@ from ..functions.hashing import series_id
 from ..functions.timeline import bucket_us, epoch_us, from_us
 from ..sources.staging import stage
 from .kernels import ACCEPTED, NEVER, SHED, bucket_kernel
-from .slices import SLICE, plan_slices, running_total
+from .scan import running_total
+from .slices import SLICE, plan_slices
 
 OVERFLOW = "overflow"
 REASON = "RESOURCE_EXHAUSTED"
@@ -42,11 +43,11 @@ def series_verdicts(
     Series are ranked by first arrival per (key, signal). Up to the soft budget they are admitted;
     past it each metric mints one overflow series, in order of its first overflowing arrival, while
     the ceiling lasts. Without a soft budget, and for signals other than metrics, the ceiling alone
-    decides. The rank is a sliced running count, so one huge tenant is not one task.
+    decides. The rank is a scan over range partitions, so one huge tenant is not one task.
     """
     group = [*key, "signal"]
     series = stage(series_arrivals(df, key, arrival), "series")
-    ranked = running_total(series, group, ["first_seq", "series_id"], F.lit(1), "rank", slices=plan_slices(series, F.col("first_seq")))
+    ranked = running_total(series, group, ["first_seq", "series_id"], F.lit(1), "rank")
     hard = int(max_series or 0)
     soft = int(max_series_soft or 0) if hard else 0
     columns = [*group, "metric", "series_id"]
@@ -58,7 +59,7 @@ def series_verdicts(
     over = ranked.filter((F.col("signal") == "metrics") & (F.col("rank") > soft))
     metrics = stage(over.groupBy(*group, "metric").agg(F.min("first_seq").alias("_first")), "metrics")
     minted = (
-        running_total(metrics, group, ["_first", "metric"], F.lit(1), "_m", slices=plan_slices(metrics, F.col("_first")))
+        running_total(metrics, group, ["_first", "metric"], F.lit(1), "_m")
         .filter(F.col("_m") <= hard - soft)
         .select(*group, "metric", F.lit(OVERFLOW).alias("_minted"))
     )
@@ -130,7 +131,7 @@ def limit_in_flight(
     epochs = df.withColumn("epoch", from_us(bucket_us(epoch_us(ts), flush_interval_us)))
     if not max_bytes:
         return epochs.withColumn("verdict", F.lit(ACCEPTED))
-    totals = running_total(epochs, [*key, "epoch"], [ts, *order], F.col(nbytes), "_used", main=epoch_us(ts))
+    totals = running_total(epochs, [*key, "epoch"], [ts, *order], F.col(nbytes), "_used")
     return totals.withColumn("verdict", F.when(F.col("_used") <= max_bytes, F.lit(ACCEPTED)).otherwise(F.lit(SHED))).drop("_used")
 
 

@@ -6,8 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timeline import epoch_us, instant, micros
-from .slices import previous_value
+from ..functions.timeline import instant, micros
+from .scan import previous_value
 
 DEFAULT_REPLICAS = 3
 PENDING, PROGRESSING, READY = "Pending", "Progressing", "Ready"
@@ -41,10 +41,10 @@ def fleet_status(heartbeats: DataFrame, desired: DataFrame, as_of: datetime | in
 def condition_transitions(status: DataFrame, order_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
     """One row per actual change of (cluster, condition); repeats do not move the transition time.
 
-    `status` is (cluster, condition, ts, status, ...). The look at the row before is sliced, so one
-    chatty cluster does not become one task.
+    `status` is (cluster, condition, ts, status, ...). The look at the row before is a scan over
+    range partitions, so one chatty cluster does not become one task.
     """
-    before = previous_value(status, ["cluster", "condition"], ["ts", *order_cols], "status", "previous", main=epoch_us("ts"))
+    before = previous_value(status, ["cluster", "condition"], ["ts", *order_cols], "status", "previous")
     return before.filter(~F.col("status").eqNullSafe(F.col("previous"))).select(
         "cluster", "condition", F.col("ts").alias("transition_ts"), "previous", "status"
     )

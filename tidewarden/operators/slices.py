@@ -1,10 +1,7 @@
-"""Ordered work inside groups of any size.
+"""Slices of the rate limiter: consecutive ranges of the ordering columns, with bounds from quantiles of the data.
 
-A running sum, a rank or a lag over `partitionBy(key)` puts a whole key into one task. Here a key is
-first cut into slices: consecutive ranges of the ordering columns, with bounds taken from quantiles
-of the data. All windows then run per (key, slice); what crosses a slice border is a small per-slice
-summary. An instant that fills whole slices by itself is cut again along the next ordering column.
-The bounds are constants of the plan, so a re-run task puts every row into the same slice.
+An instant that fills whole slices by itself is cut again along the next ordering column. The bounds
+are constants of the plan, so a re-run task puts every row into the same slice.
 """
 
 from __future__ import annotations
@@ -13,7 +10,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE = "_slice"
 _INF = float("inf")
@@ -73,72 +70,3 @@ def plan_slices(df: DataFrame, main: Column, sub: Column | None = None, parts: i
         return Slices(bounds)
     sub_bounds = sorted({float(p) for p in _cut_points(df.filter(main.isin(crowded)), sub, parts)})
     return Slices(bounds, [bounds.index(float(p)) + 1 for p in crowded], sub_bounds)
-
-
-_KEY = "_key"
-
-
-def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The key as one struct: equal when its fields are, nulls included, and never null itself."""
-    return df.withColumn(_KEY, F.struct(*keys))
-
-
-def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    out: str,
-    main: Column | None = None,
-    slices: Slices | None = None,
-) -> DataFrame:
-    """`df` plus the sum of `value` from the start of the key up to and including the row.
-
-    `order` must be unique within a key. `main` is the numeric form of its first column.
-    """
-    main = F.col(order[0]) if main is None else main
-    sub = F.col(order[1]) if len(order) > 1 else None
-    slices = slices or plan_slices(df, main, sub)
-    cut = _keyed(slices.add(df.withColumn("_v", value), main, sub), keys)
-    before = (
-        cut.groupBy(SLICE, _KEY)
-        .agg(F.sum("_v").alias("_own"))
-        .withColumn("_before", F.sum("_own").over(Window.partitionBy(_KEY).orderBy(SLICE)) - F.col("_own"))
-        .drop("_own")
-    )
-    local = Window.partitionBy(SLICE, _KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        cut.withColumn("_local", F.sum("_v").over(local))
-        .join(before, [SLICE, _KEY])
-        .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_v", "_local", "_before", SLICE, _KEY)
-    )
-
-
-def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: str,
-    out: str,
-    main: Column | None = None,
-    slices: Slices | None = None,
-) -> DataFrame:
-    """`df` plus the value of the row before, in order, within the key (null on the first row)."""
-    main = F.col(order[0]) if main is None else main
-    sub = F.col(order[1]) if len(order) > 1 else None
-    slices = slices or plan_slices(df, main, sub)
-    cut = _keyed(slices.add(df, main, sub), keys)
-    carried = (
-        cut.groupBy(SLICE, _KEY)
-        .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(Window.partitionBy(_KEY).orderBy(SLICE)))
-        .drop("_last")
-    )
-    local = Window.partitionBy(SLICE, _KEY).orderBy(*order)
-    return (
-        cut.withColumn("_prev", F.lag(F.struct(value)).over(local))
-        .join(carried, [SLICE, _KEY])
-        .withColumn(out, F.coalesce("_prev", "_carried")[value])
-        .drop("_prev", "_carried", SLICE, _KEY)
-    )

@@ -231,6 +231,19 @@ SELECT CAST(bits AS INTEGER) AS bits, count(*) AS n_rows, round(max(CASE WHEN va
     "limit_series_hard": f"""WITH {EV}, {SERIES_RANK} SELECT ev.tenant, arrival_seq, ev.series_id, CASE WHEN rk <= 100 THEN 'accepted' ELSE 'shed' END AS verdict
 FROM ev JOIN ranked r ON r.tenant = ev.tenant AND r.series_id = ev.series_id""",
     "limit_series_soft": f"WITH {EV}, {SOFT} SELECT tenant, arrival_seq, series_id, verdict FROM tagged",
+    "limit_series_incremental": f"WITH {EV}, {SOFT} SELECT tenant, arrival_seq, series_id, verdict FROM tagged",
+    "limit_series_by_policy": f"""WITH {EV}, {POL}, {SERIES_RANK},
+placed AS (SELECT r.*, nullif(max_series, 0) AS hard, CASE WHEN max_series > 0 THEN nullif(max_series_soft, 0) END AS soft FROM ranked r LEFT JOIN pol USING (tenant)),
+over_metric AS (SELECT tenant, metric, row_number() OVER (PARTITION BY tenant ORDER BY min(first_seq)) AS m FROM placed WHERE rk > soft GROUP BY tenant, metric),
+verdicts AS (SELECT p.tenant, p.series_id, CASE WHEN rk > soft AND m <= hard - soft THEN 'overflow' WHEN rk > coalesce(soft, hard) THEN 'shed' ELSE 'accepted' END AS verdict
+  FROM placed p LEFT JOIN over_metric USING (tenant, metric))
+SELECT ev.tenant, arrival_seq, CASE WHEN verdict = 'overflow' THEN md5(ev.tenant || chr(31) || metric || chr(31) || 'overflow=true') ELSE ev.series_id END AS series_id, verdict
+FROM ev JOIN verdicts v ON v.tenant = ev.tenant AND v.series_id = ev.series_id""",
+    "series_churn": f"""WITH {EV}, d AS (SELECT DISTINCT tenant, metric, {DAY_OF} AS dt, series_id FROM ev),
+f AS (SELECT *, dt = min(dt) OVER (PARTITION BY tenant, metric, series_id) AS fresh FROM d),
+g AS (SELECT tenant, metric, dt, count(*) AS n_series, CAST(count(*) FILTER (fresh) AS BIGINT) AS n_new FROM f GROUP BY ALL)
+SELECT *, CAST(sum(n_new) OVER (PARTITION BY tenant, metric ORDER BY dt) AS BIGINT) AS n_so_far FROM g""",
+    "series_between": f"WITH {EV} SELECT tenant, count(DISTINCT series_id) AS n_series FROM ev WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09' GROUP BY ALL",
     "limit_rate": f"""WITH RECURSIVE {EV},
 fast AS (SELECT tenant, arrival_seq, nbytes, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 AS us FROM ev),
 o AS MATERIALIZED (SELECT *, (us // 1000000) * 150 + (us % 1000000) * 150 // 1000000 AS clock, row_number() OVER (PARTITION BY tenant ORDER BY us, arrival_seq) AS rn FROM fast),
@@ -259,7 +272,7 @@ FROM u JOIN w USING (tenant) LEFT JOIN pol USING (tenant)""",
         k: f"""WITH {EV} SELECT tenant, metric, series_id, count(value) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max,
   {AGGS['first']} AS first, {AGGS['last']} AS last FROM ev
 WHERE ts >= TIMESTAMP '2024-01-05 07:17:00' AND ts < TIMESTAMP '2024-01-19 13:41:00' GROUP BY ALL"""
-        for k in ("range_agg_sidecar", "range_agg_raw")
+        for k in ("range_agg_sidecar", "range_agg_raw", "range_agg_pyramid")
     },
     "shard_assign": f"WITH {EV}, {SHARDED} SELECT tenant, series_id, arrival_seq, shard FROM sh",
     "hrw_placement": f"WITH {placed('SELECT DISTINCT chr(117) || user_id AS tenant, ' + shard('event_type', 2) + ' AS shard FROM events')} SELECT tenant, shard, replica, node FROM placed",
@@ -344,6 +357,7 @@ ORACLES |= {
 SELECT tenant, metric, series_id, bucket_ts AS ts, {AGGS['last']} AS value, CAST({HOUR} AS BIGINT) AS resolution_us
 FROM b WHERE ts IS NOT NULL GROUP BY tenant, metric, series_id, bucket_ts""",
     "stream_dedup": f"WITH {EV} SELECT DISTINCT tenant, series_id, ts FROM ev",
+    "stream_dedup_primary": ORACLES["replica_dedup"],
     "stream_limit_rate": ORACLES["limit_rate"],
     "stream_limit_rate_sliced": ORACLES["limit_rate"],
     "stream_limit_in_flight": ORACLES["limit_in_flight"].replace("SELECT tenant, epoch, arrival_seq", "SELECT tenant, arrival_seq"),
@@ -353,3 +367,4 @@ SELECT tenant, window_ts, count(*) FILTER (NOT shed) AS accepted_rows, count(*)
   CASE WHEN count(*) FILTER (shed) > 0 THEN 'RESOURCE_EXHAUSTED' END AS reason
 FROM w WHERE ts IS NOT NULL GROUP BY tenant, window_ts""",
 }
+ORACLES["stream_repair"] = ORACLES["stream_rollup"]

@@ -12,12 +12,13 @@ from ..functions.hashing import fingerprint, shard_of
 from ..functions.mantissa import truncate_mantissa
 from ..functions.tiers import PrecisionTier, RollupTier
 from ..functions.timeline import DAY, HOUR, MINUTE, without_zone
-from ..operators import admission, documents, fleet, placement, policy, precision, replicas, retention, rollup, sidecar
+from ..operators import admission, documents, fleet, placement, policy, precision, pyramid, registry, replicas, retention, rollup, sidecar, usage
 from ..sources import parts, signals
 from ..sources.samples import as_samples
 from ..sources.staging import shared_folder
 from ..streaming import admission as stream_admission
-from ..streaming import aggregates, ingest
+from ..streaming import aggregates, ingest, repair
+from ..streaming import replicas as stream_replicas
 from . import inputs, merge_job
 from .inputs import EVENTS_AS_OF, LINEITEM_AS_OF, LINEITEM_ORDER, NODES, RF, SHARDS
 
@@ -212,6 +213,29 @@ def limit_series_soft(spark, sf_dir):
     return admission.limit_series(inputs.events(spark, sf_dir), 103, 100).select("tenant", "arrival_seq", "series_id", "verdict")
 
 
+def _new_registry(spark: SparkSession) -> registry.Registry:
+    return registry.Registry(f"{shared_folder(spark).rstrip('/')}/series-{uuid.uuid4().hex}")
+
+
+@register("limit_series_incremental")
+def limit_series_incremental(spark, sf_dir):
+    """Three arrivals, each against what the earlier ones registered."""
+    ev, kept, out = inputs.events(spark, sf_dir), _new_registry(spark), None
+    tenants = ev.select("tenant").distinct().withColumns({"max_series": F.lit(103), "max_series_soft": F.lit(100)})
+    last = ev.agg(F.max("arrival_seq")).first()[0] or 0
+    for i in range(3):
+        part = ev.where((F.col("arrival_seq") > last * i // 3 - (i == 0)) & (F.col("arrival_seq") <= last * (i + 1) // 3))
+        tagged = registry.admit(part, kept, i, tenants)
+        out = tagged if out is None else out.unionByName(tagged)
+    return out.select("tenant", "arrival_seq", "series_id", "verdict")
+
+
+@register("limit_series_by_policy")
+def limit_series_by_policy(spark, sf_dir):
+    limits = registry.policy_limits(inputs.tenant_policies(spark))
+    return registry.admit(inputs.events(spark, sf_dir), _new_registry(spark), 0, limits).select("tenant", "arrival_seq", "series_id", "verdict")
+
+
 def _replayed(rows: DataFrame) -> DataFrame:
     """The month replayed five thousand times faster, so that tenants do run out of credit."""
     return rows.withColumn("ts", F.timestamp_micros(F.expr("1704067200000000 + (unix_micros(ts) - 1704067200000000) div 5000")))
@@ -261,6 +285,26 @@ register("range_agg_sidecar")(_range(True))
 register("range_agg_raw")(_range(False))
 
 
+@register("range_agg_pyramid")
+def range_agg_pyramid(spark, sf_dir):
+    """The range from a stored pyramid, of which the days from the 12th on came later."""
+    ev, later = inputs.events(spark, sf_dir), datetime(2024, 1, 12)
+    kept = pyramid.Pyramid(f"{shared_folder(spark).rstrip('/')}/pyramid-{uuid.uuid4().hex}", HOUR)
+    kept.refresh(ev.where(F.col("ts") < F.lit(later)))
+    kept.refresh(ev, frm=later, to=EVENTS_AS_OF)
+    return kept.range_aggregate(ev, *RANGE, sidecar.AGGREGATES).withColumn("sum", F.round("sum", 6))
+
+
+@register("series_churn")
+def series_churn(spark, sf_dir):
+    return usage.series_churn(usage.series_sketches(inputs.events(spark, sf_dir)))
+
+
+@register("series_between")
+def series_between(spark, sf_dir):
+    return usage.series_between(usage.series_sketches(inputs.events(spark, sf_dir)), datetime(2024, 1, 5), datetime(2024, 1, 9))
+
+
 @register("shard_assign")
 def shard_assign(spark, sf_dir):
     return placement.with_shard(inputs.events(spark, sf_dir), SHARDS).select("tenant", "series_id", "arrival_seq", "shard")
@@ -431,6 +475,40 @@ def stream_dedup(spark, sf_dir):
     return _drain(aggregates.dedup_stream(three, _history_us(spark, sf_dir)).select("tenant", "series_id", "ts"), "dedup")
 
 
+def _arriving(rows: DataFrame, label: str, parts: int = 6, last: DataFrame | None = None) -> DataFrame:
+    """`rows` as a stream of `parts` micro-batches that each hold rows of all times; `last` is a batch behind them."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    rows.repartition(parts, F.xxhash64("arrival_seq", "ts")).write.parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return ingest.ingest_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+@register("stream_repair")
+def stream_repair(spark, sf_dir):
+    """Files in any order against a delay of a day: most rows are late, and the repaired table is the batch rollup."""
+    root, tier, delay = f"{shared_folder(spark).rstrip('/')}/repair-{uuid.uuid4().hex}", RollupTier(0, HOUR, "last"), DAY
+    stream = _arriving(inputs.events(spark, sf_dir), "late")
+    repair.write_rolled(stream, root, tier, delay, f"{root}/checkpoint-rolled").awaitTermination()
+    repair.write_samples_and_dirt(stream, root, tier, delay, f"{root}/checkpoint-raw").awaitTermination()
+    return repair.read_repaired(spark, root, tier, repair.repair(spark, root, tier, delay))
+
+
+@register("stream_dedup_primary")
+def stream_dedup_primary(spark, sf_dir):
+    rows = inputs.copies(spark, sf_dir)
+    placed = placement.place_shards(rows.select("tenant", "shard").distinct(), NODES, RF)
+    primaries = placed.filter("replica = 0").select("tenant", "shard", "node")
+    delay = _history_us(spark, sf_dir)
+    # Something newer than all rows by more than the delay: the watermark passes them.
+    end = rows.groupBy().agg(F.timestamp_micros(F.max(F.unix_micros("ts")) + 2 * delay).alias("ts")).where("ts is not null")
+    end = end.select(*[F.col(c) if c == "ts" else F.lit("end").alias(c) if c == "series_id" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_replicas.STORE)
+    stream = stream_replicas.dedup_stream_primary(_arriving(rows, "copies", last=end), primaries, delay)
+    return _drain(stream, "dedup-primary").where("series_id <> 'end'")
+
+
 @register("stream_limit_rate")
 def stream_limit_rate(spark, sf_dir):
     fast = _replayed(_event_stream(spark, sf_dir)).select("tenant", "arrival_seq", "ts", "nbytes")

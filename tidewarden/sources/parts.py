@@ -6,9 +6,9 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.timeline import DAY, epoch_us, instant, micros
+from ..functions.timeline import DAY, instant, micros
 from ..operators.retention import partition_of
-from ..operators.slices import running_total
+from ..operators.scan import running_total
 
 DEFAULT_LEVEL = 19
 PART_KEY = ("tenant", "dt")
@@ -20,12 +20,12 @@ def assign_parts(
     """`df` plus `part_id`: rows fill parts in time order up to an approximate size.
 
     A part is the running byte count, the row itself left out, divided by the cap, so a part passes
-    the cap by one row at most. The count is sliced: a huge tenant-day is spread over many tasks.
+    the cap by one row at most. The count is a scan over range partitions: a huge tenant-day is spread over many tasks.
     """
     if max_part_bytes <= 0:
         raise ValueError("the part size must be positive")
     df = df if "dt" in df.columns else df.withColumn("dt", partition_of("ts"))
-    total = running_total(df, list(by), list(order), F.col(nbytes), "_total", main=epoch_us(order[0]))
+    total = running_total(df, list(by), list(order), F.col(nbytes), "_total")
     return total.withColumn("part_id", F.call_function("div", F.col("_total") - F.col(nbytes), F.lit(max_part_bytes).cast("long"))).drop("_total")
 
 
