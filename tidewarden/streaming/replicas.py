@@ -15,6 +15,8 @@ from ..functions.timeline import epoch_us
 # Ship the processor with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: A point of a series, as the processor sees it.
+POINT = ("series_id", "us_")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,7 +35,7 @@ def _opened(raw: bytes) -> pd.DataFrame:
 class PrimaryFirst(StatefulProcessor):
     """One row per (series, time): the primary's at once, else the first node's when the watermark passes the time.
 
-    Per series it holds one table: points still waiting with their best copy, and points already given
+    Per slot of series it holds one table: points still waiting with their best copy, and points already given
     out, so that their later copies are dropped. Both go when the watermark passes them, so the state is
     what the delay covers.
     """
@@ -47,7 +49,7 @@ class PrimaryFirst(StatefulProcessor):
 
     def _settle(self, rows: pd.DataFrame, watermark_ms: int):
         """Rows to give out now; the rest is held, with a timer for the earliest point."""
-        rows = rows.sort_values(["us_", "sent_", "second_", "node"], ascending=[True, False, True, True], kind="stable").drop_duplicates("us_")
+        rows = rows.sort_values([*POINT, "sent_", "second_", "node"], ascending=[True, True, False, True, True], kind="stable").drop_duplicates(list(POINT))
         old = rows["us_"] <= watermark_ms * 1000
         ready = rows[~rows["sent_"] & (old | ~rows["second_"])]
         rows = rows.assign(sent_=rows["sent_"] | ~rows["second_"])[~old]
@@ -74,19 +76,21 @@ class PrimaryFirst(StatefulProcessor):
         pass
 
 
-def dedup_stream_primary(copies: DataFrame, primaries: DataFrame, delay_us: int, shard_key: tuple[str, ...] = ("tenant", "shard")) -> DataFrame:
+def dedup_stream_primary(copies: DataFrame, primaries: DataFrame, delay_us: int, shard_key: tuple[str, ...] = ("tenant", "shard"), slots: int = 64) -> DataFrame:
     """One row per (series_id, ts) of a stream of copies: the primary's, else that of the first node by name.
 
     `primaries` is (tenant, shard, node). A copy of a secondary waits until the primary's comes or the
     watermark, `delay_us` behind the newest time, passes it; copies behind the watermark are dropped. So
     arrivals in any order within the delay give the table job's rows, and the state holds what the delay
-    covers. Needs the session's state store to be `STORE`. Copies without a time or a node come after all others of their point;
+    covers: `slots` tables, each rewritten when its series have rows, so take as many as keep one within
+    some megabytes. Needs the session's state store to be `STORE`. Copies without a time or a node come after all others of their point;
     those without a time are dropped, as no watermark passes them.
     """
     columns = copies.columns
     marked = copies.where("ts is not null").withWatermark("ts", f"{delay_us} microseconds").join(primaries.select(*shard_key, F.col("node").alias("_primary")), [*shard_key], "left")
     # Names with a leading underscore do not survive the way to pandas.
     marked = marked.select(*columns, (~F.col("node").eqNullSafe(F.col("_primary"))).alias("second_"), epoch_us("ts").alias("us_"))
-    return marked.groupBy("series_id").transformWithStateInPandas(
+    slot = F.pmod(F.xxhash64("series_id"), F.lit(slots))
+    return marked.withColumn("slot_", slot).groupBy("slot_").transformWithStateInPandas(
         statefulProcessor=PrimaryFirst(columns), outputStructType=copies.schema, outputMode="Append", timeMode="EventTime"
     )
