@@ -111,3 +111,30 @@ def test_merge_refuses_bad_policies(spark):
 def test_validation_needs_no_shuffle(spark):
     plan = policy_violations(policies(spark, {})).select(F.col("rule"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_documents_that_would_be_dropped_in_silence(spark):
+    from tidewarden.operators.policy import document_violations
+
+    rows = [
+        ("a", ["downsample"], '"oops"', "scalar"), ("b", ["downsample"], '[{"after":"1h","intervall":"1m"},7]', "list"), ("c", ["downsample"], '[{"after":"1h","intervall":"1m"}]', "list"),
+        ("d", ["retention"], "7", "scalar"), ("e", ["retention"], "{}", "empty_object"), ("f", ["retention"], "null", "null"), ("g", ["retention", "max_age", "x"], "1", "scalar"),
+        ("h", ["precision"], "[]", "list"), ("i", ["limits", "max_series"], "[1]", "list"), ("j", ["precision"], '[{"after":"1h"},{"bits":3,"after":null}]', "list"), ("k", ["rf"], "3", "scalar"),
+    ]
+    found = {tuple(r) for r in document_violations(spark.createDataFrame(rows, DOCUMENT_PATHS)).collect()}
+    assert found == {
+        ("a", "downsample", "wrong kind", None, None), ("b", "downsample", "wrong kind", None, None), ("c", "downsample", "unknown field", 0, "intervall"), ("c", "downsample", "missing field", 0, "interval"),
+        ("d", "retention", "wrong kind", None, None), ("g", "retention.max_age.x", "unknown path", None, None), ("i", "limits.max_series", "wrong kind", None, None),
+        ("j", "precision", "missing field", 0, "bits"), ("j", "precision", "missing field", 1, "after"),
+    }
+
+
+def test_a_broken_tier_list_fails_and_a_lost_interval_is_a_violation(spark):
+    tenants = spark.createDataFrame([("t",)], "tenant string")
+
+    def effective(text):
+        return effective_policies(tenants, [(["rf"], "3", "scalar")], spark.createDataFrame([("t", ["downsample"], text, "list")], DOCUMENT_PATHS))
+
+    with pytest.raises(Exception, match="no list of tiers"):
+        effective('"oops"').collect()
+    assert [r["rule"] for r in policy_violations(effective('[{"after":"1h","intervall":"1m"}]')).collect()] == [10]

@@ -102,7 +102,7 @@ def policy_violations(policies: DataFrame, first_only: bool = False) -> DataFram
         tiers = F.col("downsample")
         return F.array(
             _finding(t["after_us"] < 0, 9, 9, "downsample.after", i),
-            _finding(t["interval_us"] <= 0, 10, 9, "downsample.interval", i),
+            _finding(F.coalesce(t["interval_us"], F.lit(0)) <= 0, 10, 9, "downsample.interval", i),
             _finding(earlier(tiers, t) < i, 11, 9, "downsample.after", i, F.when(earlier(tiers, t) < i, earlier(tiers, t))),
             _finding(past(t["after_us"]), 15, 15, "downsample.after", i),
             _finding(~t["agg"].isin(*AGGREGATES), 18, 0, "downsample.agg", i),
@@ -161,8 +161,59 @@ POLICY_PATHS = {
 }
 
 
-def policy_from_paths(paths: DataFrame) -> DataFrame:
-    """Path rows of policy documents (doc = tenant) back to the raw policy table, one grouping."""
+def _tiers(name: str, kind: str, strict: bool) -> Column:
+    """A tier list from its text; one that is none fails the job, or is null if not strict."""
+    tiers = F.from_json(name, kind)
+    if strict:
+        broken = F.raise_error(F.concat(F.lit(f"{name} of tenant "), F.col("tenant"), F.lit(" is no list of tiers: "), F.col(name))).cast(kind)
+        tiers = F.when(F.col(name).isNotNull() & tiers.isNull(), broken).otherwise(tiers)
+    return tiers.alias(name)
+
+
+# The fields of a tier, and which of them it cannot do without.
+TIER_FIELDS = {"downsample": (("after", "interval", "agg"), ("after", "interval")), "precision": (("after", "bits"), ("after", "bits"))}
+
+
+def document_violations(paths: DataFrame) -> DataFrame:
+    """What of policy documents would be dropped in silence: doc, path (dotted), problem and, of a tier, its index and field.
+
+    `unknown path`: no policy field stands there. `wrong kind`: a plain value or list where an object
+    belongs, a list of tiers that is none, or a list where a plain value belongs. `unknown field` and
+    `missing field`: of a tier. Null and an empty object unset what is below them and are fine. A row is
+    looked at by itself, so nothing is shuffled.
+    """
+    dotted = F.array_join("path", ".")
+    fields = [".".join(p) for p in POLICY_PATHS.values()]
+    above = sorted({".".join(p[:i]) for p in POLICY_PATHS.values() for i in range(1, len(p))})
+    lists = F.col("path").getItem(0).isin(*TIER_FIELDS) & (F.size("path") == 1)
+    tiers = F.from_json("value_json", "array<map<string,string>>")
+    whole = (F.col("kind") == "list") & tiers.isNotNull() & F.forall(F.coalesce(tiers, F.array()), lambda t: t.isNotNull())
+    unset = F.col("kind").isin("null", "empty_object")
+    problem = (
+        F.when(~dotted.isin(*fields, *above), F.lit("unknown path"))
+        .when(unset, F.lit(None).cast("string"))
+        .when(dotted.isin(*above) | F.when(lists, ~whole).otherwise(F.col("kind") == "list"), F.lit("wrong kind"))
+    )
+
+    def finding(what: str | Column, tier: Column, field: Column) -> Column:
+        return F.struct((F.lit(what) if isinstance(what, str) else what).alias("problem"), tier.cast("int").alias("tier"), field.cast("string").alias("field"))
+
+    none = F.lit(None)
+    found = F.array(finding(problem, none, none))
+    for name, (known, needed) in TIER_FIELDS.items():
+        odd = lambda t, i: F.transform(F.array_except(F.map_keys(t), F.array(*map(F.lit, known))), lambda f: finding("unknown field", i, f))
+        lost = lambda t, i: F.transform(F.filter(F.array(*map(F.lit, needed)), lambda f: F.element_at(t, f).isNull()), lambda f: finding("missing field", i, f))
+        per_tier = F.flatten(F.transform(tiers, lambda t, i: F.concat(odd(t, i), lost(t, i))))
+        found = F.concat(found, F.when((dotted == name) & whole, per_tier).otherwise(F.slice(found, 1, 0)))
+    rows = paths.select("doc", dotted.alias("path"), F.explode(F.filter(found, lambda v: v["problem"].isNotNull())).alias("v"))
+    return rows.select("doc", "path", "v.problem", "v.tier", "v.field")
+
+
+def policy_from_paths(paths: DataFrame, strict: bool = False) -> DataFrame:
+    """Path rows of policy documents (doc = tenant) back to the raw policy table, one grouping.
+
+    A tier list that is none is null, or fails the job if `strict`.
+    """
     value = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value_json"), F.lit("}")), "$.v")
     dotted = F.array_join("path", ".")
     flat = paths.groupBy(F.col("doc").alias("tenant")).agg(
@@ -178,8 +229,8 @@ def policy_from_paths(paths: DataFrame) -> DataFrame:
         F.col("max_series").cast("long").alias("max_series"),
         F.col("max_series_soft").cast("long").alias("max_series_soft"),
         "max_part_size",
-        F.from_json("downsample", "array<struct<after:string,interval:string,agg:string>>").alias("downsample"),
-        F.from_json("precision", "array<struct<after:string,bits:int>>").alias("precision"),
+        _tiers("downsample", "array<struct<after:string,interval:string,agg:string>>", strict),
+        _tiers("precision", "array<struct<after:string,bits:int>>", strict),
         F.when(
             F.col("recompress_after").isNotNull(),
             F.struct(F.col("recompress_after").alias("after"), F.col("recompress_level").cast("int").alias("level")),
@@ -194,8 +245,9 @@ def effective_policies(tenants: DataFrame, default: list[tuple[list[str], str, s
     """Every tenant's policy: its document over the default document, normalised.
 
     `default` is the default document as (path, value_json, kind) entries, written into the plan.
-    A tenant without overrides gets the default.
+    A tenant without overrides gets the default. Strict, a tier list that is none fails the job, as do
+    malformed durations and quantities; `document_violations` lists what is wrong before.
     """
     entries = F.array(*[F.struct(F.array(*[F.lit(p) for p in path]).alias("path"), F.lit(v).alias("value_json"), F.lit(k).alias("kind")) for path, v, k in default])
     base = tenants.select(F.col("tenant").alias("doc"), F.explode(entries).alias("e")).select("doc", "e.path", "e.value_json", "e.kind")
-    return normalize_policies(policy_from_paths(merge_documents(base, overrides)), strict)
+    return normalize_policies(policy_from_paths(merge_documents(base, overrides), strict), strict)

@@ -197,6 +197,20 @@ POLICY_OVERRIDE = [
 ]
 
 
+#: Policy documents as customers get them wrong.
+BROKEN_POLICY = [
+    ("downsample", "'\"oops\"'", "scalar", "k % 4 = 0"),
+    ("downsample", "'[{\"after\":\"6h\",\"intervall\":\"1m\"},{\"after\":\"9h\",\"interval\":\"' || (k % 7 + 1) || 'm\"}]'", "list", "k % 4 = 1"),
+    ("precision", "'[{\"after\":\"6h\",\"bits\":' || (k % 60 + 1) || '}]'", "list", "k % 7 = 0"),
+    ("retention.max_agee", "'\"' || k || 'h\"'", "scalar", "k % 5 = 0"),
+    ("retention.max_age", "'[\"1h\"]'", "list", "k % 5 = 1"),
+    ("retention.max_bytes", "'\"' || k || 'Gi\"'", "scalar", "k % 5 = 2"),
+    ("limits", "'' || k", "scalar", "k % 6 = 0"),
+    ("limits", "'null'", "null", "k % 6 = 1"),
+    ("signals", "'{}'", "empty_object", "k % 6 = 2"),
+]
+
+
 def document_sql(rules: list[tuple[str, str, str, str]], prefix: str = "d") -> str:
     """The oracle's rendering."""
     branches = [

@@ -368,3 +368,11 @@ SELECT tenant, window_ts, count(*) FILTER (NOT shed) AS accepted_rows, count(*)
 FROM w WHERE ts IS NOT NULL GROUP BY tenant, window_ts""",
 }
 ORACLES["stream_repair"] = ORACLES["stream_rollup"]
+ORACLES["stream_signals"] = f"""WITH {TELEMETRY}, s AS (SELECT signal, count(*) AS counted_rows, CAST(sum(nbytes) AS BIGINT) AS counted_bytes, signal IN ('metrics', 'logs') AS served FROM tel GROUP BY signal)
+SELECT *, CASE WHEN served THEN counted_rows END AS n_rows, CASE WHEN served THEN counted_bytes END AS n_bytes FROM s"""
+#: Problems by path, as the rules of the documents are written above.
+ORACLES["policy_document_violations"] = f"""WITH d AS ({inputs.document_sql(inputs.BROKEN_POLICY, 'c')})
+SELECT doc, p AS path, 'wrong kind' AS problem, CAST(NULL AS INTEGER) AS tier, CAST(NULL AS VARCHAR) AS field FROM d
+WHERE (p = 'downsample' AND kind = 'scalar') OR (p = 'retention.max_age' AND kind = 'list') OR (p = 'limits' AND kind = 'scalar')
+UNION ALL SELECT doc, p, 'unknown path', NULL, NULL FROM d WHERE p = 'retention.max_agee'
+UNION ALL SELECT doc, p, problem, 0, field FROM d, (VALUES ('unknown field', 'intervall'), ('missing field', 'interval')) v(problem, field) WHERE p = 'downsample' AND kind = 'list'"""

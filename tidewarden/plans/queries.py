@@ -401,6 +401,11 @@ def effective_policy(spark, sf_dir):
     return flat.select("tenant", "max_age_us", "max_bytes", "max_series", "max_in_flight_bytes", "downsample", "profiles")
 
 
+@register("policy_document_violations")
+def policy_document_violations(spark, sf_dir):
+    return policy.document_violations(inputs.documents(spark, sf_dir, inputs.BROKEN_POLICY, "c"))
+
+
 @register("config_drift")
 def config_drift(spark, sf_dir):
     c = inputs.table(spark, sf_dir, "customer")
@@ -529,6 +534,21 @@ def stream_limit_in_flight(spark, sf_dir):
     return _drain(stream_admission.limit_in_flight_stream(rows, 700, 6 * HOUR), "in-flight").select("tenant", "arrival_seq", "verdict")
 
 
+@register("stream_signals")
+def stream_signals(spark, sf_dir):
+    """Four signals in one stream, two of them off: per signal what was written, beside what the batches counted."""
+    root = f"{shared_folder(spark).rstrip('/')}/signals-{uuid.uuid4().hex}"
+    rows = inputs.telemetry(spark, sf_dir)
+    rows.repartition(4, F.xxhash64("row_id")).write.parquet(f"{root}/in")
+    stream = ingest.ingest_stream(spark, f"{root}/in", rows.schema, files_per_batch=1)
+    toggles = {"traces": False, "logs": True, "profiles": False}
+    for attempt in range(2):  # all batches once more from the start: they overwrite what they wrote
+        ingest.write_signal_stream(stream, f"{root}/out", toggles, f"{root}/checkpoint-{attempt}", nbytes="nbytes").awaitTermination()
+    written = spark.read.parquet(f"{root}/out").groupBy("signal").agg(F.count("*").alias("n_rows"), F.sum("nbytes").alias("n_bytes"))
+    counted = ingest.read_signal_counts(spark, f"{root}/out").groupBy("signal").agg(F.sum("n_rows").alias("counted_rows"), F.sum("n_bytes").alias("counted_bytes"), F.max("served").alias("served"))
+    return counted.join(written, "signal", "left")
+
+
 @register("stream_partial_success")
 def stream_partial_success(spark, sf_dir):
     odd = F.when(F.col("arrival_seq") % 3 == 0, admission.SHED).otherwise(admission.ACCEPTED)
