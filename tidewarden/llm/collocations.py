@@ -221,6 +221,20 @@ def _ints(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<i8")
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as steps from one to the next, sign last, all first bytes before all second ones, compressed."""
+    step = np.diff(numbers.astype(np.int64), prepend=0)
+    planes = ((step << 1) ^ (step >> 63)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(step).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    size = 8 * int.from_bytes(raw[:8], "little")
+    planes = pa.Codec("zstd").decompress(raw[8:], size, asbytes=True)
+    step = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+    return np.cumsum((step >> np.uint64(1)).astype(np.int64) ^ -(step & np.uint64(1)).astype(np.int64))
+
+
 def _word_entries(index: DataFrame, cells: int) -> DataFrame:
     """Per shard and cell: the shard's words, their local numbers and counts."""
 
@@ -234,7 +248,7 @@ def _word_entries(index: DataFrame, cells: int) -> DataFrame:
                     part = part + 1
                     yield pa.RecordBatch.from_pydict({
                         "lang": [r["lang"]], "cell": [c], "shard": [r["shard"]], "words": pa.array([[words[i] for i in part.tolist()]], pa.list_(pa.binary())),
-                        "local": [part.astype("<i8").tobytes()], "counts": [counts[part].tobytes()],
+                        "local": [_squeezed(part)], "counts": [_squeezed(counts[part])],
                     })
 
     return index.select("shard", "lang", "words", "ends", "counts").mapInArrow(entries, "lang string, cell long, shard long, words array<binary>, local binary, counts binary")
@@ -246,7 +260,7 @@ def _frequent_words(entries: DataFrame, least: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         rows = table.combine_chunks()
         coded = rows["words"].combine_chunks().flatten().dictionary_encode()
-        index, counts = coded.indices.to_numpy(), np.concatenate([_ints(x) for x in rows["counts"].to_pylist()])
+        index, counts = coded.indices.to_numpy(), np.concatenate([_widened(x) for x in rows["counts"].to_pylist()])
         total = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(total, index, counts)
         kept = np.flatnonzero(total >= least)
@@ -256,10 +270,10 @@ def _frequent_words(entries: DataFrame, least: int) -> DataFrame:
         out = [{"lang": lang, "cell": cell, "n": int(total.sum()), "words": coded.dictionary.take(pa.array(kept)).to_pylist(), "f": total[kept].tolist()}]
         at = 0
         for shard, raw in zip(rows["shard"].to_pylist(), rows["local"].to_pylist()):
-            local = _ints(raw)
+            local = _widened(raw)
             own = number[index[at : at + len(local)]]
             at += len(local)
-            out.append({"lang": lang, "cell": cell, "shard": shard, "head": local[own >= 0].tobytes(), "ids": ((cell << 32) + own[own >= 0]).tobytes()})
+            out.append({"lang": lang, "cell": cell, "shard": shard, "head": _squeezed(local[own >= 0]), "ids": _squeezed((cell << 32) + own[own >= 0])})
         return pa.Table.from_pylist(out, _WORDS)
 
     return entries.groupBy("lang", "cell").applyInArrow(add, "lang string, cell long, shard long, n long, words array<binary>, f array<long>, head binary, ids binary")
@@ -282,13 +296,13 @@ def _phrase_entries(index: DataFrame, told: list[DataFrame], cells: int) -> Data
     def entries(batches):
         for b in batches:
             for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                own = [[np.concatenate([_ints(x[c]) for x in r[f"level{i}"]]) for c in (("head", "ids") if i == 0 else ("head", "tail", "ids"))] for i in range(n_levels)]
+                own = [[np.concatenate([_widened(x[c]) for x in r[f"level{i}"]]) for c in (("head", "ids") if i == 0 else ("head", "tail", "ids"))] for i in range(n_levels)]
                 found = frequent_extensions(FmIndex(r["counts"], r["back"], r["forth"]), tuple(own[0]), [tuple(x) for x in own[1:]])
                 mixed = found["head"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found["tail"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                 cell = ((mixed >> np.uint64(33)) % np.uint64(cells)).astype(np.int64)
                 for c, part in _deal(cell):
                     part = part[np.lexsort((found["tail"][part], found["head"][part]))]  # in order they take less room
-                    yield pa.RecordBatch.from_pydict({"lang": [r["lang"]], "cell": [c], "shard": [r["shard"]], **{k: [found[k][part].astype("<i8").tobytes()] for k in ("head", "tail", "size")}})
+                    yield pa.RecordBatch.from_pydict({"lang": [r["lang"]], "cell": [c], "shard": [r["shard"]], **{k: [_squeezed(found[k][part])] for k in ("head", "tail", "size")}})
 
     return rows.mapInArrow(entries, "lang string, cell long, shard long, head binary, tail binary, size binary")
 
@@ -298,7 +312,7 @@ def _frequent_phrases(entries: DataFrame, least: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.combine_chunks()
-        parts = {k: [_ints(x) for x in rows[k].to_pylist()] for k in ("head", "tail", "size")}
+        parts = {k: [_widened(x) for x in rows[k].to_pylist()] for k in ("head", "tail", "size")}
         head, tail, size = (np.concatenate(parts[k]) for k in ("head", "tail", "size"))
         of = np.repeat(np.arange(len(parts["size"])), [len(x) for x in parts["size"]])
         order = np.lexsort((tail, head))
@@ -312,7 +326,7 @@ def _frequent_phrases(entries: DataFrame, least: int) -> DataFrame:
         mine = order[number >= 0]
         number = (cell << 32) + number[number >= 0]
         for i, part in _deal(of[mine]):
-            out.append({"lang": lang, "cell": cell, "shard": rows["shard"][i].as_py(), "head": head[mine[part]].tobytes(), "tail": tail[mine[part]].tobytes(), "ids": number[part].tobytes()})
+            out.append({"lang": lang, "cell": cell, "shard": rows["shard"][i].as_py(), "head": _squeezed(head[mine[part]]), "tail": _squeezed(tail[mine[part]]), "ids": _squeezed(number[part])})
         return pa.Table.from_pylist(out, _PHRASES)
 
     return entries.groupBy("lang", "cell").applyInArrow(add, "lang string, cell long, shard long, heads array<long>, tails array<long>, f array<long>, head binary, tail binary, ids binary")
