@@ -72,6 +72,14 @@ def test_odd_rows_and_empty_table(spark, odd, sf_dir, empty_dir):
     assert got(REGISTRY["op11_phrase_collocations"](spark, empty_dir)) == set()
 
 
+def test_number_arrays_come_back_whole():
+    rng = np.random.default_rng(3)
+    for numbers in (np.zeros(0, np.int64), np.array([2**63 - 1, -(2**63), 0, 7]), np.sort(rng.integers(0, 1 << 45, 5000)), rng.integers(-(2**62), 2**62, 999)):
+        assert np.array_equal(collocations._widened(collocations._squeezed(numbers)), numbers)
+    rising = np.sort(rng.integers(0, 20_000, 100_000))
+    assert len(collocations._squeezed(rising)) < len(rising)
+
+
 def test_intervals_of_both_transforms_are_the_places_of_the_phrase():
     rnd = random.Random(5)
     text = np.array([0] + [rnd.randrange(0, 6) for _ in range(500)] + [0], np.int32)
