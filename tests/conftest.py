@@ -25,12 +25,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(autouse=True)
-def small_slices(monkeypatch):
-    """Tiny tables, yet several slices."""
-    monkeypatch.setattr("tidewarden.operators.slices.ROWS_PER_SLICE", 50)
-
-
 @pytest.fixture
 def samples(spark):
     """Build a sample table from (tenant, metric, user, second, value) rows."""

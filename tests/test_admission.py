@@ -2,12 +2,15 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.functions.timeline import MINUTE
-from tidewarden.operators.admission import limit_in_flight, limit_rate, limit_series, partial_success, series_usage
-from tidewarden.operators.kernels import admit
+from tidewarden.operators import admission, kernels
+from tidewarden.operators.admission import limit_in_flight, limit_rate, limit_rate_by_policy, limit_rate_from, limit_series, partial_success, series_usage
+from tidewarden.operators.kernels import NEVER, admit, bucket_kernel
+from tidewarden.operators.scan import spread
 from tidewarden.schema import POLICIES
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -45,10 +48,10 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("kind", ["calm", "overload", "ties"])
-@pytest.mark.parametrize("parts", [2, 23])
-def test_rate_limit_equals_row_by_row(spark, kind, parts):
+@pytest.mark.parametrize("size", [700, 60])
+def test_rate_limit_equals_row_by_row(spark, kind, size):
     rows = random_rows(kind)
-    got = {r["arrival_seq"]: r["verdict"] for r in limit_rate(frame(spark, rows), 300, parts=parts).collect()}
+    got = {r["arrival_seq"]: r["verdict"] for r in limit_rate(frame(spark, rows), 300, rows_per_task=size).collect()}
     want = token_bucket(rows, 300)
     assert got == want
     assert 0 < list(want.values()).count("shed") < len(rows)
@@ -57,7 +60,7 @@ def test_rate_limit_equals_row_by_row(spark, kind, parts):
 def test_rate_limit_equal_sizes_without_a_pause(spark):
     # Equal sizes under constant overload never forget their start: the longest chain of rounds.
     rows = [("k", START_US + i * 50_003, i, 40) for i in range(1200)]
-    got = {r["arrival_seq"]: r["verdict"] for r in limit_rate(frame(spark, rows), 310, parts=40).collect()}
+    got = {r["arrival_seq"]: r["verdict"] for r in limit_rate(frame(spark, rows), 310, rows_per_task=30).collect()}
     assert got == token_bucket(rows, 310)
 
 
@@ -65,6 +68,77 @@ def test_rate_unlimited(spark):
     assert {r["verdict"] for r in limit_rate(frame(spark, random_rows("calm", 20)), 0).collect()} == {"accepted"}
 
 
+def test_equal_rows_are_spread_and_limited(spark):
+    df = spark.range(6000).selectExpr("'k' AS tenant", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "0L AS arrival_seq", "cast(5 AS bigint) AS nbytes", "id")
+    assert limit_rate(df, 1000, rows_per_task=500).filter("verdict = 'accepted'").count() == 200
+    parts = [r["count"] for r in spread(df, ["tenant"], ["ts", "arrival_seq"], 500).groupBy("_part").count().collect()]
+    assert len(parts) >= 10 and max(parts) < 1500
+
+
+def test_rates_of_the_policy_table(spark):
+    rows = random_rows("overload")
+    limits = {"hot": 300, "a": 20, "b": 0}
+    policies = spark.createDataFrame([(k, None, (n, None, None, None, None), None, None, None, None, None, None) for k, n in limits.items()], POLICIES)
+    got = {r["arrival_seq"]: r["verdict"] for r in limit_rate_by_policy(frame(spark, rows), policies, rows_per_task=80).collect()}
+    want = {seq: "accepted" for _, _, seq, _ in rows}
+    for k in ("hot", "a"):
+        want |= token_bucket([r for r in rows if r[0] == k], limits[k])
+    assert got == want and len({want[r[2]] for r in rows if r[0] == "a"}) == 2
+
+
+def test_credit_that_is_younger_than_the_rows(spark):
+    """Rows behind the credit's time count as arriving then, in the stretch they fill and in the ones after it."""
+    rows = [("k", START_US + i * 100_000, i, 30) for i in range(200)]
+    since = START_US + 12_000_000
+    credit = spark.createDataFrame([("k", 300, since)], "tenant string, level long, since long")
+    tagged, left = limit_rate_from(frame(spark, rows), credit, 300, rows_per_task=20)
+    ok, level = admit(*(np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 3)), 300, since, 300)
+    assert [r["verdict"] == "accepted" for r in tagged.orderBy("arrival_seq").collect()] == ok.tolist() and not ok.all()
+    assert left.first()["level"] == level
+
+
+def test_a_round_reads_its_own_stretches(spark, monkeypatch):
+    """The first round reads all rows; later ones only the directories of stretches whose start moved."""
+    rows = [("k", START_US + i * 50_003, i, 40) for i in range(600)] + [("calm", START_US + i * 5_000_000, 600 + i, 40) for i in range(600)]
+    plans, counts = [], []
+
+    def watched(chosen, *rest, **tag):
+        if not tag["tag"]:
+            plans.append(chosen._jdf.queryExecution().toString())
+            counts.append(chosen.count())
+        return real(chosen, *rest, **tag)
+
+    real = admission._run_kernel
+    monkeypatch.setattr(admission, "_run_kernel", watched)
+    limit_rate(frame(spark, rows), 310, rows_per_task=50)
+    assert counts[0] == 1200 and len(counts) > 2 and max(counts[1:]) <= 700 and sum(counts) < 6 * 1200
+    assert all("dynamicpruning" in p for p in plans[1:])
+
+
+def stretch_batch(rows, start, since, path=None, end=(None, None)):
+    us, cost = (pa.array([0] + [r[i] for r in rows]) for i in (1, 3))
+    n = len(rows)
+    first = lambda v, t=pa.int64(): pa.array([v] + [None] * n, t)
+    return pa.RecordBatch.from_pydict({
+        "tenant": ["k"] * (n + 1), "_part": [0] * (n + 1), "_head": [1] + [0] * n, "_us": us, "_cost": cost, "_rate": first(300), "_level": first(start),
+        "_since": first(since), "_path": first(path, pa.list_(pa.int64())), "_end_level": first(end[0]), "_end_us": first(end[1]),
+    })
+
+
+def test_a_stretch_stops_where_its_credit_meets_the_stored_path(monkeypatch):
+    rows = random_rows("calm", 900)
+    run = bucket_kernel(["tenant", "_part"], tag=False, step=10)
+    full = next(iter(run([stretch_batch(rows, 300, NEVER)]))).to_pylist()[0]
+    looked = []
+    monkeypatch.setattr(kernels, "admit", lambda us, *rest: looked.append(len(us)) or admit(us, *rest))
+    plain = next(iter(run([stretch_batch(rows, 5, START_US - 1)]))).to_pylist()[0]
+    assert sum(looked) == 900
+    looked.clear()
+    batch = stretch_batch(rows, 5, START_US - 1, full["_path"], (full["_end_level"], full["_end_us"]))
+    short = next(iter(run([batch.slice(0, 7), batch.slice(7, 600), batch.slice(607)]))).to_pylist()[0]
+    assert short == plain and 0 < sum(looked) < 300
+
+
 def test_kernel_can_be_cut_anywhere():
     rows = random_rows("overload", 600)
     us, cost = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 3))

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.hashing import series_id
 from ..functions.timeline import bucket_us, epoch_us, from_us
 from ..sources.staging import stage
-from .kernels import ACCEPTED, NEVER, SHED, bucket_kernel
-from .scan import running_total
-from .slices import SLICE, plan_slices
+from .kernels import ACCEPTED, NEVER, SECOND, SHED, bucket_kernel
+from .scan import PART, TIE, running_total, spread
 
 OVERFLOW = "overflow"
 REASON = "RESOURCE_EXHAUSTED"
@@ -135,129 +134,156 @@ def limit_in_flight(
     return totals.withColumn("verdict", F.when(F.col("_used") <= max_bytes, F.lit(ACCEPTED)).otherwise(F.lit(SHED))).drop("_used")
 
 
-def _run_kernel(rows: DataFrame, starts: DataFrame, rate: int, key: list[str], order: list[str], out: T.StructType, tag: bool) -> DataFrame:
-    """Run the bucket over `rows`; a run of slices (`_run`) starts from its row in `starts`."""
-    heads = starts.select(*key, SLICE, "_run", "_level", "_since").withColumn("_head", F.lit(1))
-    body = rows.withColumns({"_level": F.lit(0).cast("long"), "_since": F.lit(0).cast("long"), "_head": F.lit(0)})
+def _run_kernel(rows: DataFrame, heads: DataFrame, key: list[str], order: list[str], out: T.StructType, tag: bool) -> DataFrame:
+    """Run the bucket over `rows`; `heads` has a row for each of their stretches, and `_run` for those that run in one sequence."""
+    body = rows.withColumn("_head", F.lit(0))
     return (
-        body.unionByName(heads, allowMissingColumns=True)
+        body.unionByName(heads.withColumn("_head", F.lit(1)), allowMissingColumns=True)
         .repartition(*key, "_run")
-        .sortWithinPartitions(*key, "_run", SLICE, F.col("_head").desc(), "_us", *order)
-        .mapInArrow(bucket_kernel(rate, [*key, SLICE], tag), out)
+        .sortWithinPartitions(*key, "_run", PART, F.col("_head").desc(), "_us", *order)
+        .mapInArrow(bucket_kernel([*key, PART], tag), out)
     )
 
 
-# Rounds that run all moved slices side by side, and the length of the runs after them.
-_WIDE_ROUNDS = 3
+def _credit_at_start() -> Column:
+    """Credit (`_level` at `_since`) as a stretch's first row at `_us0` finds it: what was left, refilled up to the rate."""
+    at = F.greatest("_since", "_us0")
+    # Whole bytes on the absolute clock; from two seconds on it is full either way.
+    refill = F.expr(f"(_us0 div {SECOND} - _since div {SECOND}) * _rate + (_us0 % {SECOND}) * _rate div {SECOND} - (_since % {SECOND}) * _rate div {SECOND}")
+    level = F.when(F.col("_us0") <= F.col("_since"), F.col("_level")).when(F.col("_since") < F.col("_us0") - 2 * SECOND, F.col("_rate"))
+    return F.struct(level.otherwise(F.least("_rate", F.col("_level") + refill)).alias("level"), at.alias("at"))
+
+
+# Rounds that run all moved stretches side by side, and the stretches of a run after them: what one task may hold.
+_WIDE_ROUNDS = 2
 _RUN_LENGTH = 16
 
 
 def limit_rate(
     df: DataFrame,
-    bytes_per_second: int | None,
+    bytes_per_second: int | Column | None,
     key: tuple[str, ...] = ("tenant",),
     ts: str = "ts",
     order: tuple[str, ...] = ("arrival_seq",),
     nbytes: str = "nbytes",
-    parts: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """`df` plus `verdict` under a token bucket per key, every key starting with full credit."""
-    if not bytes_per_second:
+    if bytes_per_second is None or isinstance(bytes_per_second, int) and not bytes_per_second:
         return df.withColumn("verdict", F.lit(ACCEPTED))
-    return limit_rate_from(df, None, bytes_per_second, key, ts, order, nbytes, parts)[0]
+    return limit_rate_from(df, None, bytes_per_second, key, ts, order, nbytes, rows_per_task)[0]
+
+
+def limit_rate_by_policy(
+    df: DataFrame,
+    policies: DataFrame,
+    key: tuple[str, ...] = ("tenant",),
+    ts: str = "ts",
+    order: tuple[str, ...] = ("arrival_seq",),
+    nbytes: str = "nbytes",
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """`limit_rate` with every tenant's own rate; no policy row, no rate or a rate of 0 is no limit.
+
+    With more in the key than the tenant, each of the tenant's keys has the whole rate.
+    """
+    rates = policies.select("tenant", F.col("limits.ingest_bytes_per_second").alias("_limit"))
+    with_rate = df.join(rates, "tenant", "left").select(*df.columns, "_limit")
+    return limit_rate(with_rate, F.col("_limit"), key, ts, order, nbytes, rows_per_task).drop("_limit")
 
 
 def limit_rate_from(
     df: DataFrame,
     credit: DataFrame | None,
-    bytes_per_second: int,
+    bytes_per_second: int | Column,
     key: tuple[str, ...] = ("tenant",),
     ts: str = "ts",
     order: tuple[str, ...] = ("arrival_seq",),
     nbytes: str = "nbytes",
-    parts: int | None = None,
+    rows_per_task: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """`df` plus `verdict`, and the credit `(key, level, since)` left per key.
 
-    `credit` is what an earlier call left; keys without a row start full. A key may save up one
+    `bytes_per_second` is one rate or a column that is the same in all rows of a key (null or 0: no
+    limit). `credit` is what an earlier call left; keys without a row start full. A key may save up one
     second of its rate, and shed rows spend nothing.
 
-    A verdict depends on every row before it, yet a key may hold a third of all rows. Keys are cut
-    into slices that run side by side, each from a guessed start (full credit); the credit at the
-    end of a slice becomes the next one's start, and slices whose start moved run again, until none
-    moves. Credit forgets its past whenever it fills up, so a key within its budget settles in the
-    second round. A key that stays over its budget without a pause keeps its past: from the fourth
-    round on its first unsettled slices run in one sequence, sixteen at a time. Every round settles
-    at least one more slice of each key, so the result is the row-by-row one; the admission key
-    (tenant and shard, say) sets how much of an overload runs in parallel.
-
-    Rounds use a staged table of key, time, order and size. A row without a time or a size is
-    accepted and spends nothing.
+    A verdict depends on every row before it, yet a key may hold a third of all rows. Rows are written
+    in stretches of (key, time, order) that run side by side, each from a guessed start (full credit);
+    the credit at the end of a stretch becomes the next one's start, and stretches whose start moved run
+    again, until none moves. A stretch that runs again stops where its credit meets what an earlier run
+    noted down, as all after it would repeat. Credit forgets its past whenever it fills up, so a key
+    within its budget settles in the first or second round. A key that stays over its budget without a pause may
+    keep its past: from the third round on its first unsettled stretches run in one sequence, sixteen at
+    a time. Every round settles at least one more stretch of each key, so the result is the row-by-row
+    one; the admission key (tenant and shard, say) sets how much of an overload runs in parallel.
+
+    A round reads time, order and size of its own stretches only: each has a directory, and the join
+    prunes the others. A row without a time or a size is accepted and spends nothing. Rows of equal time
+    and order follow one another by their hash.
     """
-    rate, key, order = int(bytes_per_second), list(key), list(order)
-    state = [*key, SLICE]
+    key, order = list(key), list(order)
+    state = [*key, PART]
     us = epoch_us(ts)
-    sub = F.col(order[0]) if order else None
-    slices = plan_slices(df, us, sub, parts)
+    rate = bytes_per_second if isinstance(bytes_per_second, Column) else F.lit(int(bytes_per_second))
     # A row without a time spends nothing and stands before all others.
     cost = F.when(us.isNull(), F.lit(0)).otherwise(F.coalesce(F.col(nbytes).cast("long"), F.lit(0)))
-    cut = slices.add(df.withColumns({"_us": F.coalesce(us, F.lit(0).cast("long")), "_cost": cost.cast("long")}), us, sub)
+    ready = df.withColumns({"_us": F.coalesce(us, F.lit(0).cast("long")), "_cost": cost.cast("long"), "_rate": F.coalesce(rate.cast("long"), F.lit(0).cast("long"))})
+    full = spread(ready, key, ["_us", *order], rows_per_task, apart=True)
+    order = [*order, TIE]
+    rows = full.select(*state, "_us", "_cost", *dict.fromkeys(order))
 
-    narrow = stage(cut.select(*state, "_us", "_cost", *order), "bucket-rows")
-    end_schema = T.StructType(
-        [narrow.schema[c] for c in state] + [T.StructField(c, T.LongType()) for c in ("_level", "_end_level", "_end_us")]
-    )
-    in_key = Window.partitionBy(*key).orderBy(SLICE)
-    full = {"_level": F.lit(rate).cast("long"), "_since": F.lit(NEVER)}
-    cells = narrow.select(*state).distinct()
+    in_key = Window.partitionBy(*key).orderBy(PART)
+    cells = full.groupBy(*state).agg(F.max("_rate").alias("_rate"), F.min("_us").alias("_us0"))
     if credit is None:
-        cells = cells.withColumns({"_level0": full["_level"], "_since0": full["_since"]})
+        cells = cells.withColumns({"_level0": F.col("_rate"), "_since0": F.lit(NEVER)})
     else:
         left = cells.alias("n").join(credit.alias("c"), same_key("n", "c", key), "left")
-        cells = left.select("n.*", F.coalesce("c.level", full["_level"]).alias("_level0"), F.coalesce("c.since", full["_since"]).alias("_since0"))
-    # Where a key's first slice starts; one row per slice.
-    cells = stage(cells, "bucket-cells")
-    first_slice = F.row_number().over(in_key) == 1
-    starts = cells.select(
-        *state,
-        F.when(first_slice, F.col("_level0")).otherwise(full["_level"]).alias("_level"),
-        F.when(first_slice, F.col("_since0")).otherwise(full["_since"]).alias("_since"),
-        F.col(SLICE).alias("_run"),
-    )
-    rows, ends = narrow.withColumn("_run", F.col(SLICE)), None
+        cells = left.select("n.*", F.coalesce("c.level", "n._rate").alias("_level0"), F.coalesce("c.since", F.lit(NEVER)).alias("_since0"))
+    # One row per stretch and key: where the key starts, and whether this stretch is its first.
+    cells = stage(cells.withColumn("_nth", F.row_number().over(in_key)), "bucket-cells")
+    guess = F.when(F.col("_nth") == 1, F.col("_level0")).otherwise(F.col("_rate"))
+    nothing = {"_path": F.lit(None).cast("array<long>"), "_end_level": F.lit(None).cast("long"), "_end_us": F.lit(None).cast("long")}
+    heads = cells.select(*state, "_rate", guess.alias("_level"), F.col("_since0").alias("_since"), F.col(PART).alias("_run")).withColumns(nothing)
+    longs = [T.StructField(c, T.LongType()) for c in ("_level", "_since", "_end_level", "_end_us")]
+    end_schema = T.StructType([*(full.schema[c] for c in state), *longs, T.StructField("_path", T.ArrayType(T.LongType()))])
+    chosen, ends, again = rows.withColumn("_run", F.col(PART)), None, None
     for done in itertools.count(1):
-        fresh = _run_kernel(rows, starts, rate, key, order, end_schema, tag=False)
+        fresh = _run_kernel(chosen, heads, key, order, end_schema, tag=False)
         if ends is not None:
-            # Slices that did not run again keep their end.
+            # Stretches that did not run again keep their end.
             fresh = fresh.unionByName(ends.alias("e").join(again.alias("a"), same_key("e", "a", state), "left_anti"))
         ends = stage(fresh, "bucket-ends")
-        known = ends.alias("e").join(cells.alias("c"), same_key("e", "c", state)).select("e.*", "c._level0", "c._since0")
-        follow = known.select(
-            *state,
-            F.col("_level").alias("_used"),
-            F.coalesce(F.lag("_end_level").over(in_key), F.col("_level0")).alias("_level"),
-            F.coalesce(F.lag("_end_us").over(in_key), F.col("_since0")).alias("_since"),
-            F.col(SLICE).alias("_run"),
+        known = ends.alias("e").join(cells.alias("c"), same_key("e", "c", state)).select("e.*", "c._rate", "c._us0", "c._level0", "c._since0")
+        follow = known.withColumns(
+            {
+                "_used": _credit_at_start(),
+                "_level": F.coalesce(F.lag("_end_level").over(in_key), F.col("_level0")),
+                "_since": F.coalesce(F.lag("_end_us").over(in_key), F.col("_since0")),
+            }
         )
-        moved = follow.filter(F.col("_used") != F.col("_level"))
-        if moved.isEmpty():
-            break
+        follow = follow.withColumn("_moved", (F.col("_rate") > 0) & (F.col("_used") != _credit_at_start()))
+        # Everything before a key's first moved stretch is settled, so its start is exact.
+        first = F.min(F.when(F.col("_moved"), F.col(PART))).over(Window.partitionBy(*key))
+        later = follow.withColumn("_first", first).where(F.col(PART) >= F.col("_first"))
         if done < _WIDE_ROUNDS:
-            starts = again = moved
+            later = later.where("_moved").withColumn("_run", F.col(PART))
         else:
-            # Everything before a key's first moved slice is settled, so its start is exact.
-            first = F.min(F.when(F.col("_used") != F.col("_level"), F.col(SLICE))).over(Window.partitionBy(*key))
-            again = (
-                follow.withColumn("_run", first)
-                .filter(F.col(SLICE) >= F.col("_run"))
-                .withColumn("_nth", F.row_number().over(in_key))
-                .filter(F.col("_nth") <= _RUN_LENGTH)
-            )
-            starts = again.filter(F.col("_nth") == 1)
-        rows = narrow.alias("n").join(again.alias("a"), same_key("n", "a", state)).select("n.*", "a._run")
+            later = later.withColumn("_nth", F.row_number().over(in_key)).where(F.col("_nth") <= _RUN_LENGTH)
+            later = later.withColumn("_run", F.col("_first"))
+            # Only the first of a run knows its start; the others carry on.
+            later = later.withColumn("_level", F.when(F.col("_nth") == 1, F.col("_level")))
+        again = stage(later.select(*state, "_run", "_rate", "_level", "_since", "_path", "_end_level", "_end_us"), "bucket-again")
+        if again.isEmpty():
+            break
+        heads = again
+        # `_run` is never null; the condition tells the planner that this side is worth pruning by.
+        own = again.where(F.col("_run") >= 0).select(*state, "_run")
+        chosen = rows.alias("n").join(own.alias("a"), same_key("n", "a", key) & (F.col(f"n.{PART}") == F.col(f"a.{PART}"))).select("n.*", "a._run")
     tagged = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType())])
-    left = ends.groupBy(*key).agg(F.max_by("_end_level", SLICE).alias("level"), F.max_by("_end_us", SLICE).alias("since"))
-    return _run_kernel(cut.withColumn("_run", F.col(SLICE)), follow, rate, key, order, tagged, tag=True), left
+    left = ends.groupBy(*key).agg(F.max_by("_end_level", PART).alias("level"), F.max_by("_end_us", PART).alias("since"))
+    heads = follow.select(*state, "_rate", "_level", "_since", F.col(PART).alias("_run")).withColumns(nothing)
+    return _run_kernel(full.withColumn("_run", F.col(PART)), heads, key, order, tagged, tag=True), left
 
 
 def same_key(left: str, right: str, columns: list[str]) -> Column:

@@ -17,7 +17,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SECOND = 1_000_000
 ACCEPTED, SHED = "accepted", "shed"
 NEVER = -(2**63)
-HELPERS = ("_head", "_us", "_cost", "_level", "_since", "_slice", "_run")
+HELPERS = ("_head", "_us", "_cost", "_rate", "_level", "_since", "_part", "_key", "_tie", "_run", "_path", "_end_level", "_end_us")
+#: Rows between two checkpoints of a path.
+STEP = 4096
 
 
 def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate: int) -> tuple[np.ndarray, int]:
@@ -59,42 +61,55 @@ def admit(us: np.ndarray, cost: np.ndarray, level: int, since: int | None, rate:
     return ok, level
 
 
-def bucket_kernel(rate: int, state: list[str], tag: bool):
+def bucket_kernel(state: list[str], tag: bool, step: int = STEP):
     """Arrow kernel over rows sorted by (state, _head first, time).
 
-    A run of slices opens with a head row that brings its start credit; later slices of the run
-    carry on from there. The kernel streams batches, so memory does not depend on the length of a
-    run. It emits either the tagged rows or, per slice, the credit it started and ended with.
+    Every stretch opens with a head row: its rate, and the credit it starts with (null: what the stretch
+    before left). The kernel streams batches, so memory does not depend on the length of a run. It emits
+    either the tagged rows or, per stretch, the credit it started and ended with and the credit after
+    every `step` rows (`_path`: level and time by turns). A head row may bring the path and end of an
+    earlier run: where the credit meets that path, the rest of the stretch would repeat, so the known
+    end is taken and no further row is looked at. A rate of 0 is no limit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, used, level, since, current = None, rate, rate, None, None
+        name, rate, level, since = None, 0, 0, None
+        begin, path, known, seen = (0, NEVER), [], None, 0
+
+        def spot() -> tuple[int, int]:
+            return level, NEVER if since is None else since
 
         def close() -> pa.RecordBatch:
-            numbers = [pa.array([n], pa.int64()) for n in (used, level, since)]
-            return pa.RecordBatch.from_arrays([*name, *numbers], names=[*state, "_level", "_end_level", "_end_us"])
+            numbers = [pa.array([n], pa.int64()) for n in (*begin, *spot())]
+            return pa.RecordBatch.from_arrays([*name, *numbers, pa.array([path], pa.list_(pa.int64()))], names=[*state, "_level", "_since", "_end_level", "_end_us", "_path"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head, us, cost, start, start_us, piece = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_head", "_us", "_cost", "_level", "_since", "_slice")
-            )
+            head, us, cost = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_head", "_us", "_cost"))
             tags = np.ones(len(head), dtype=bool)
-            moves = np.concatenate(([current != piece[0]], piece[1:] != piece[:-1]))
-            cuts = np.unique(np.concatenate(([0], np.flatnonzero((head == 1) | moves), [len(head)])))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if head[a] == 1 or moves[a]:
+            cuts = np.unique(np.concatenate(([0], np.flatnonzero(head == 1), [len(head)])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if head[a] == 1:
                     if name is not None and not tag:
                         yield close()
-                    if head[a] == 1:
-                        level, since = int(start[a]), None if start_us[a] == NEVER else int(start_us[a])
-                    name, used = [batch.column(c).slice(int(a), 1) for c in state], level
-                a = a + int(head[a])
-                if b > a:
-                    tags[a:b], level = admit(us[a:b], cost[a:b], level, since, rate)
-                    since = int(us[b - 1]) if since is None else max(since, int(us[b - 1]))
-            current = piece[-1]
+                    first = {c: batch.column(c)[a].as_py() for c in ("_rate", "_level", "_since", "_path", "_end_level", "_end_us")}
+                    if first["_level"] is not None:
+                        level, since = first["_level"], None if first["_since"] == NEVER else first["_since"]
+                    name, rate, begin, path, seen = [batch.column(c).slice(a, 1) for c in state], first["_rate"], spot(), [], 0
+                    known = None if first["_path"] is None else (first["_path"], first["_end_level"], first["_end_us"])
+                    a += 1
+                while a < b and rate:
+                    stop = b if tag else min(b, a + step - seen % step)
+                    tags[a:stop], level = admit(us[a:stop], cost[a:stop], level, since, rate)
+                    since = int(us[stop - 1]) if since is None else max(since, int(us[stop - 1]))
+                    seen, a = seen + stop - a, stop
+                    if seen % step or tag:
+                        continue
+                    path.extend(spot())
+                    if known and tuple(known[0][len(path) - 2 : len(path)]) == spot():
+                        path, level, since, rate = path + known[0][len(path) :], *known[1:], 0
+                        since = None if since == NEVER else since
             if tag:
                 rows = np.flatnonzero(head == 0)
                 verdict = pa.array(np.where(tags[rows], ACCEPTED, SHED), pa.string())

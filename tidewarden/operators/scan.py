@@ -14,7 +14,8 @@ from ..sources.staging import stage
 
 #: Rows that a task should hold at most, about. The session's shuffle partitions are the least number of tasks.
 ROWS_PER_TASK = 2_000_000
-_PART, _KEY, _TIE = "_part", "_key", "_tie"
+PART, TIE = "_part", "_tie"
+_PART, _KEY, _TIE = PART, "_key", TIE
 
 
 def _hashable(kind: T.DataType) -> bool:
@@ -25,17 +26,18 @@ def _hashable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def spread(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None) -> DataFrame:
+def spread(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None, apart: bool = False) -> DataFrame:
     """`df` written in stretches of (keys, order, row hash), with `_part`, which grows along that order.
 
     A written table keeps the stretches as they are for every later reader, lost executors or not.
+    `apart` gives each stretch a directory, for readers that want few of them.
     """
     plain = [f.name for f in df.schema.fields if _hashable(f.dataType)]
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-df.count() // (rows_per_task or ROWS_PER_TASK)))
     # The key as one struct: equal when its fields are, nulls included, and never null itself.
     full = df.withColumns({_KEY: F.struct(*keys), _TIE: F.xxhash64(*plain)})
-    return stage(full.repartitionByRange(parts, *keys, *order, _TIE).withColumn(_PART, F.spark_partition_id()), "scan")
+    return stage(full.repartitionByRange(parts, *keys, *order, _TIE).withColumn(_PART, F.spark_partition_id()), "scan", by=_PART if apart else None)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, rows_per_task: int | None = None) -> DataFrame:

@@ -60,9 +60,9 @@ def tenant_policies(spark: SparkSession) -> DataFrame:
     """Policies of four tenants; t1 has neither retention nor precision, t2 keeps forever."""
     rows = [
         ("t0", (10 * DAY + 7 * HOUR, None), None, [(DAY, 5 * MINUTE, None), (7 * DAY, HOUR, "avg")], [(3 * DAY, 32), (7 * DAY, 16)], None, None, 4, 3),
-        ("t1", None, (None, None, 150, 100, None), [(2 * DAY, 30 * MINUTE, "max")], None, None, (None, False, None, None), 4, 3),
-        ("t2", (0, None), (None, None, 100, 0, None), None, [(5 * DAY, 8)], None, (None, None, False, None), None, None),
-        ("t3", (20 * DAY, None), (None, None, 1000, 20, None), [(DAY, HOUR, "sum"), (10 * DAY, 6 * HOUR, "count")], [(12 * DAY, 24)], None, None, 1, 2),
+        ("t1", None, (120, None, 150, 100, None), [(2 * DAY, 30 * MINUTE, "max")], None, None, (None, False, None, None), 4, 3),
+        ("t2", (0, None), (0, None, 100, 0, None), None, [(5 * DAY, 8)], None, (None, None, False, None), None, None),
+        ("t3", (20 * DAY, None), (200, None, 1000, 20, None), [(DAY, HOUR, "sum"), (10 * DAY, 6 * HOUR, "count")], [(12 * DAY, 24)], None, None, 1, 2),
     ]
     return spark.createDataFrame(rows, POLICIES)
 

@@ -244,15 +244,23 @@ f AS (SELECT *, dt = min(dt) OVER (PARTITION BY tenant, metric, series_id) AS fr
 g AS (SELECT tenant, metric, dt, count(*) AS n_series, CAST(count(*) FILTER (fresh) AS BIGINT) AS n_new FROM f GROUP BY ALL)
 SELECT *, CAST(sum(n_new) OVER (PARTITION BY tenant, metric ORDER BY dt) AS BIGINT) AS n_so_far FROM g""",
     "series_between": f"WITH {EV} SELECT tenant, count(DISTINCT series_id) AS n_series FROM ev WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09' GROUP BY ALL",
-    "limit_rate": f"""WITH RECURSIVE {EV},
-fast AS (SELECT tenant, arrival_seq, nbytes, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 AS us FROM ev),
-o AS MATERIALIZED (SELECT *, (us // 1000000) * 150 + (us % 1000000) * 150 // 1000000 AS clock, row_number() OVER (PARTITION BY tenant ORDER BY us, arrival_seq) AS rn FROM fast),
-r AS (SELECT tenant, rn, arrival_seq, us, clock, CASE WHEN nbytes <= 150 THEN 150 - nbytes ELSE 150 END AS level, nbytes <= 150 AS ok FROM o WHERE rn = 1
+    **{
+        k: f"""WITH RECURSIVE {EV}, rates(tenant, rate) AS (VALUES {rates}),
+fast AS (SELECT tenant, rate, arrival_seq, nbytes, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 AS us FROM ev LEFT JOIN rates USING (tenant)),
+o AS MATERIALIZED (SELECT *, (us // 1000000) * rate + (us % 1000000) * rate // 1000000 AS clock, row_number() OVER (PARTITION BY tenant ORDER BY us, arrival_seq) AS rn
+  FROM fast WHERE rate > 0),
+r AS (SELECT tenant, rn, arrival_seq, us, clock, CASE WHEN nbytes <= rate THEN rate - nbytes ELSE rate END AS level, nbytes <= rate AS ok FROM o WHERE rn = 1
   UNION ALL SELECT o.tenant, o.rn, o.arrival_seq, o.us, o.clock,
-    CASE WHEN o.nbytes <= least(150, r.level + o.clock - r.clock) THEN least(150, r.level + o.clock - r.clock) - o.nbytes ELSE least(150, r.level + o.clock - r.clock) END,
-    o.nbytes <= least(150, r.level + o.clock - r.clock)
+    CASE WHEN o.nbytes <= least(rate, r.level + o.clock - r.clock) THEN least(rate, r.level + o.clock - r.clock) - o.nbytes ELSE least(rate, r.level + o.clock - r.clock) END,
+    o.nbytes <= least(rate, r.level + o.clock - r.clock)
   FROM r JOIN o ON o.tenant = r.tenant AND o.rn = r.rn + 1)
-SELECT tenant, arrival_seq, make_timestamp(us) AS ts, CASE WHEN ok THEN 'accepted' ELSE 'shed' END AS verdict FROM r""",
+SELECT tenant, arrival_seq, make_timestamp(us) AS ts, CASE WHEN ok THEN 'accepted' ELSE 'shed' END AS verdict FROM r
+UNION ALL SELECT tenant, arrival_seq, make_timestamp(us), 'accepted' FROM fast WHERE coalesce(rate, 0) = 0"""
+        for k, rates in (
+            ("limit_rate", "('t0', 150), ('t1', 150), ('t2', 150), ('t3', 150)"),
+            ("limit_rate_by_policy", "('t0', NULL), ('t1', 120), ('t2', 0), ('t3', 200)"),
+        )
+    },
     "limit_in_flight": f"""WITH {EV}, e AS (SELECT *, {bucket(str(6 * HOUR))} AS epoch FROM ev)
 SELECT tenant, epoch, arrival_seq, CASE WHEN sum(nbytes) OVER (PARTITION BY tenant, epoch ORDER BY ts, arrival_seq ROWS UNBOUNDED PRECEDING) <= 700
   THEN 'accepted' ELSE 'shed' END AS verdict FROM e""",

@@ -246,6 +246,12 @@ def limit_rate(spark, sf_dir):
     return admission.limit_rate(_replayed(inputs.events(spark, sf_dir)), 150).select("tenant", "arrival_seq", "ts", "verdict")
 
 
+@register("limit_rate_by_policy")
+def limit_rate_by_policy(spark, sf_dir):
+    fast, tenants = _replayed(inputs.events(spark, sf_dir)), inputs.tenant_policies(spark)
+    return admission.limit_rate_by_policy(fast, tenants).select("tenant", "arrival_seq", "ts", "verdict")
+
+
 @register("limit_in_flight")
 def limit_in_flight(spark, sf_dir):
     return admission.limit_in_flight(inputs.events(spark, sf_dir), 700, 6 * HOUR).select("tenant", "epoch", "arrival_seq", "verdict")

@@ -30,8 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and return a reader of the written table."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` once, in directories of `by` if given, and return a reader of the written table."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

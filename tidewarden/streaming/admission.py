@@ -73,7 +73,7 @@ def write_rate_limited(
 ) -> StreamingQuery:
     """Tagged rows to `path/rows`, one directory per batch, for keys of any size.
 
-    Each micro-batch runs the table job, which cuts a large key into slices. The credit left goes to
+    Each micro-batch runs the table job, which cuts a large key into stretches. The credit left goes to
     `path/credit/batch=N`, where the next batch picks it up; a replayed batch starts from the same
     credit and overwrites its own output.
     """
