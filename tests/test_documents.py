@@ -41,6 +41,29 @@ def collected(df, names):
     return out
 
 
+def test_texts_of_leaves(spark):
+    body = r''' {"a": 1.10, "n":null, "s":"xA\n\"q\" {#1, \\", "#": "#5", "=": "=", "e":"", "q":"\"#7\"",
+      "o":{ "e":{}, "z": [1.50, {"k": "a  b:1 , \"=x"}, "\"#9", []], "big": 1234567890123456789012345678901234567890123.50, "t":true, "5":-5e-3}, "é.x":{"":0}, "\u0041":"\u0042"}'''
+    want = {
+        ("a",): "1.10", ("n",): "null", ("s",): json.dumps('xA\n"q" {#1, \\'), ("#",): '"#5"', ("=",): '"="', ("e",): '""', ("q",): json.dumps('"#7"'),
+        ("o", "e"): "{}", ("o", "z"): r'[1.50,{"k":"a  b:1 , \"=x"},"\"#9",[]]', ("o", "big"): "1234567890123456789012345678901234567890123.50",
+        ("o", "t"): "true", ("o", "5"): "-5e-3", ("é.x", ""): "0", ("A",): '"B"',
+    }
+    docs = spark.createDataFrame([("d", body), ("none", None), ("empty", "{ }")], "doc string, body string")
+    out = flatten_documents(docs)
+    assert {tuple(r["path"]): r["value_json"] for r in out.collect()} == want
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    kinds = {tuple(r["path"]): r["kind"] for r in out.collect()}
+    assert (kinds["n",], kinds["o", "e"], kinds["o", "z"], kinds["o", "t"]) == ("null", "empty_object", "list", "scalar")
+    assert flatten_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("body", ['{"a":1"}', '{"a":1', "[1]", "7", "", '{"a":01}', '{"a":1,"a":2}', "{'a':1}"])
+def test_what_is_no_document_fails(spark, body):
+    with pytest.raises(Exception):
+        flatten_documents(spark.createDataFrame([("d", body)], "doc string, body string")).collect()
+
+
 ABSENT = object()
 VALUES = {"absent": ABSENT, "number": 7, "text": "q", "list": [1, [2]], "null": None, "object": {"k": 1}, "other object": {"m": {"n": 2}}, "empty object": {}}
 

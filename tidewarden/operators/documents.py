@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import fingerprint
-from .kernels import document_leaves
 
 _DEPLOYED = "set where the store is deployed, not per tenant"
 _ROUTED = "set by the signals column of the policy table"
@@ -38,16 +37,71 @@ RESERVED_PATHS = {
 }
 
 
+# A JSON text as strings and what stands between them.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
+_NUMBER = "(-?[0-9][0-9.eE+-]*+)"
+
+
+def _marked(body: Column) -> Column:
+    """The text with numbers as strings behind a `#` and strings behind a `=`: a variant then keeps every number as it is written."""
+    return F.array_join(
+        F.transform(
+            F.regexp_extract_all(body, F.lit(_TOKENS), F.lit(0)),
+            lambda t: F.when(t.startswith('"'), F.concat(F.lit('"='), F.substr(t, F.lit(2)))).otherwise(F.regexp_replace(t, _NUMBER, '"#$1"')),
+        ),
+        "",
+    )
+
+
+def _unmarked(text: Column) -> Column:
+    """Quotes inside strings follow a backslash, so only opening ones stand before a mark."""
+    return F.regexp_replace(F.regexp_replace(text, f'(?<!\\\\)"#{_NUMBER}"', "$1"), r'(?<!\\)"=', '"')
+
+
+def _depth(body: Column) -> Column:
+    """How deep braces stand in one another, strings aside."""
+    braces = F.split(F.regexp_replace(F.regexp_replace(body, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), "[^{}]++", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, brace: Column) -> Column:
+        now = at["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(braces, start, step, lambda at: at["most"])
+
+
+def _entries(path: Column, node: Column) -> Column:
+    """The entries of an object: path, kind and variant of each."""
+
+    def entry(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        name = (
+            F.when(kind == "VOID", "null").when(kind == "OBJECT<>", "empty_object")
+            .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "list").otherwise("scalar")
+        )
+        return F.struct(F.concat(path, F.array(F.substr(e["key"], F.lit(2)))).alias("path"), name.alias("kind"), e["value"].alias("node"))
+
+    return F.transform(F.map_entries(node.cast("map<string,variant>")), entry)
+
+
 def flatten_documents(df: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
-    """JSON documents as path rows, at any depth.
+    """JSON documents as path rows, at any depth; an empty object below the root is a leaf.
 
-    Built-in functions open one level per plan node, so this is the one place that walks a value in
-    Python, an Arrow batch at a time. Malformed JSON fails the job.
+    Built-in functions open one level after the other inside the row, as many as the deepest document
+    has, which one aggregate finds first. Numbers stay as they are written; names of objects inside
+    lists come in order. A null body and an empty object give no row; malformed JSON, a name that
+    repeats within an object and a text that is no object fail the job.
     """
-    leaves = F.pandas_udf(document_leaves, "array<struct<path:array<string>,value_json:string,kind:string>>")
-    # Outer, then a filter: a plain explode would run the function twice.
-    rows = df.select(F.col(doc).alias("doc"), F.explode_outer(leaves(F.col(body))).alias("_leaf")).filter(F.col("_leaf").isNotNull())
-    return rows.select("doc", "_leaf.path", "_leaf.value_json", "_leaf.kind")
+    deepest = df.agg(F.max(_depth(F.col(body)))).first()[0] or 0
+    whole = F.schema_of_variant(F.parse_json(F.col(body)))
+    checked = F.when(whole.startswith("OBJECT"), F.col(body)).when(F.col(body).isNotNull(), F.raise_error(F.lit("a document must be a JSON object")))
+    opened = df.select(F.col(doc).alias("doc"), _entries(F.array().cast("array<string>"), F.parse_json(_marked(checked))).alias("_leaves"))
+    deeper = F.flatten(F.transform("_leaves", lambda e: F.when(e["kind"] == "object", _entries(e["path"], e["node"])).otherwise(F.array(e))))
+    for _ in range(deepest - 1):
+        opened = opened.select("doc", deeper.alias("_leaves"))
+    # Outer, then a filter: a plain explode would open the documents twice.
+    rows = opened.select("doc", F.explode_outer("_leaves").alias("_leaf")).filter(F.col("_leaf").isNotNull())
+    return rows.select("doc", "_leaf.path", _unmarked(F.to_json("_leaf.node")).alias("value_json"), "_leaf.kind")
 
 
 def _prefixes(path: Column, strict: bool) -> Column:

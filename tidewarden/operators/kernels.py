@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 
@@ -147,27 +146,3 @@ def in_flight_state(cap: int, order: list[str], columns: list[str]):
         yield rows[columns].assign(verdict=np.where(total <= cap, ACCEPTED, SHED))
 
     return run
-
-
-def document_leaves(bodies: pd.Series) -> pd.Series:
-    """Leaves of JSON objects; an empty object below the root is a leaf."""
-
-    def leaves(body: str | None) -> list[dict]:
-        if body is None:
-            return []
-        root = json.loads(body)
-        if not isinstance(root, dict):
-            raise ValueError("a document must be a JSON object")
-        out, open_objects = [], [([], root)]
-        while open_objects:
-            above, node = open_objects.pop()
-            for name, value in node.items():
-                if isinstance(value, dict) and value:
-                    open_objects.append(([*above, name], value))
-                    continue
-                kind = "empty_object" if value == {} else "list" if isinstance(value, list) else "null" if value is None else "scalar"
-                text = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-                out.append({"path": [*above, name], "value_json": text, "kind": kind})
-        return out
-
-    return bodies.map(leaves)
