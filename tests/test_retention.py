@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from tidewarden.functions.timeline import DAY, HOUR
-from tidewarden.operators.retention import apply_retention, expired_partitions, retention_budget_plan, retention_overhang
+from tidewarden.operators.retention import apply_retention, apply_retention_by_policy, expired_partitions, retention_budget_plan, retention_overhang
+from tidewarden.schema import POLICIES
 from tidewarden.sources.samples import read_table
 
 START = 1_704_067_200_000_000
@@ -42,3 +45,19 @@ def test_partition_column_is_pruned(spark, samples, tmp_path):
     assert kept.count() == 3
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(ts" in plan
+
+
+def test_policies_prune_directories(spark, samples, tmp_path):
+    """Young and old tenants, one without a window, rows without a tenant or a time: the same rows as without directories."""
+    rows = [(t, "m", 1, h * 3600, 1) for t in ("short", "long", "free", "wide", None) for h in range(0, 24 * 12, 3)]
+    df = samples(rows).withColumn("ts", F.when(F.col("arrival_seq") % 50 != 7, F.col("ts"))).withColumn("dt", F.to_date("ts"))
+    windows = {"short": (2 * DAY, None), "long": (9 * DAY, None), "wide": (3 * DAY, [(DAY, 5 * DAY, "last")])}
+    policies = spark.createDataFrame([(t, (age, None), None, tiers, None, None, None, None, None) for t, (age, tiers) in windows.items()], POLICIES)
+    df.write.partitionBy("tenant", "dt").parquet(str(tmp_path / "t"))
+    stored = spark.read.schema(df.schema).parquet(str(tmp_path / "t"))
+    for width in (DAY, HOUR):
+        got = apply_retention_by_policy(stored, policies, START + 12 * DAY, width, dt="dt")
+        want = apply_retention_by_policy(df, policies, START + 12 * DAY, width)
+        assert {r["arrival_seq"] for r in got.collect()} == {r["arrival_seq"] for r in want.collect()}
+        assert got.columns == stored.columns and 100 < want.count() < df.count()
+    assert "dynamicpruning" in got._jdf.queryExecution().toString()

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeline import DAY, bucket_us, epoch_us, floor_us, from_us, instant, micros
+from ..sources.staging import stage
 
 
 def partition_of(ts: Column | str, width: int = DAY) -> Column:
@@ -80,7 +81,7 @@ def retention_budget_plan(
 
 
 def apply_retention_by_policy(
-    df: DataFrame, policies: DataFrame, as_of: datetime | int, width: int = DAY, ts: str = "ts"
+    df: DataFrame, policies: DataFrame, as_of: datetime | int, width: int = DAY, ts: str = "ts", dt: str | None = None
 ) -> DataFrame:
     """`apply_retention` with every tenant's own window; no policy row keeps everything.
 
@@ -90,9 +91,22 @@ def apply_retention_by_policy(
 
     The policy side is joined without a hint: its size decides between broadcast
     and a shuffle that adaptive execution can split on a hot tenant.
+
+    With `dt`, the day column of a table in directories of (tenant, day), the directories to keep are
+    worked out first, from their names alone, and the scan opens no others.
     """
     now = F.lit(micros(as_of)).cast("long")
     unit = F.greatest(F.lit(width).cast("long"), F.array_max(F.transform("downsample", lambda t: t["interval_us"])))
     age = F.nullif(F.col("retention.max_age_us"), F.lit(0).cast("long"))
     first = policies.select("tenant", bucket_us(now - age, unit).alias("_first"))
-    return df.join(first, "tenant", "left").filter(F.col("_first").isNull() | F.col(ts).isNull() | (epoch_us(ts) >= F.col("_first"))).drop("_first")
+    young = F.col("_first").isNull() | F.col(ts).isNull() | (epoch_us(ts) >= F.col("_first"))
+    if dt is None:
+        return df.join(first, "tenant", "left").filter(young).drop("_first")
+    named = F.col("tenant").isNotNull() & F.col(dt).isNotNull()
+    parts = df.filter(named).select("tenant", dt).distinct().join(first, "tenant", "left")
+    kept = stage(parts.filter(F.col("_first").isNull() | (F.col(dt) >= F.to_date(from_us(bucket_us(F.col("_first"), DAY))))), "kept-parts")
+    # Always true, and a condition by which the planner deems this side worth pruning by.
+    kept = kept.filter(F.length("tenant") >= 0)
+    rows = df.join(kept, ["tenant", dt]).filter(young).select(*df.columns)
+    # Directories without a tenant or a day have no window.
+    return rows.unionByName(df.filter(~named))

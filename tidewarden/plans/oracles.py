@@ -193,8 +193,11 @@ WHERE {DAY_OF} + INTERVAL 1 DAY > {CUTOFF} AND ts < {CUTOFF} GROUP BY ALL""",
     "retention_budget": f"""WITH {EV}, p AS (SELECT tenant, {DAY_OF} AS dt, CAST(sum(nbytes) AS BIGINT) AS n_bytes FROM ev GROUP BY ALL)
 SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY tenant ORDER BY dt DESC) AS BIGINT) AS running_bytes,
   sum(n_bytes) OVER (PARTITION BY tenant ORDER BY dt DESC) > 50000 AS would_drop FROM p""",
-    "retention_by_tenant": f"""WITH {EV}, {POL} SELECT ev.tenant, arrival_seq, ts FROM ev LEFT JOIN pol USING (tenant)
-WHERE coalesce(max_age_us, 0) = 0 OR epoch_us({DAY_OF}) + {DAY} > epoch_us({AS_OF}) - max_age_us""",
+    **{
+        k: f"""WITH {EV}, {POL} SELECT ev.tenant, arrival_seq, ts FROM ev LEFT JOIN pol USING (tenant)
+  WHERE coalesce(max_age_us, 0) = 0 OR epoch_us({DAY_OF}) + {DAY} > epoch_us({AS_OF}) - max_age_us"""
+        for k in ("retention_by_tenant", "retention_by_tenant_pruned")
+    },
     "downsample_tiers": f"WITH {EV}, {TIERED} SELECT arrival_seq, ts, CAST(resolution_us AS BIGINT) AS resolution_us FROM tiered",
     **{f"downsample_{a}": downsample(a) for a in AGGS},
     "downsample_lineitem": f"""WITH {LI}, t AS (SELECT *, CASE WHEN ts < TIMESTAMP '2001-12-01' - INTERVAL 1095 DAY THEN {28 * DAY}

@@ -122,6 +122,16 @@ def retention_by_tenant(spark, sf_dir):
 # --- rollup ----------------------------------------------------------------------------------
 
 
+@register("retention_by_tenant_pruned")
+def retention_by_tenant_pruned(spark, sf_dir):
+    """The same from a table in directories of tenant and day, of which the scan opens only those that stay."""
+    rows = inputs.events(spark, sf_dir).withColumn("dt", F.to_date("ts"))
+    path = f"{shared_folder(spark).rstrip('/')}/by-tenant-{uuid.uuid4().hex}"
+    rows.repartition("tenant", "dt").write.partitionBy("tenant", "dt").parquet(path)
+    kept = retention.apply_retention_by_policy(spark.read.schema(rows.schema).parquet(path), inputs.tenant_policies(spark), EVENTS_AS_OF, dt="dt")
+    return kept.select("tenant", "arrival_seq", "ts")
+
+
 @register("downsample_tiers")
 def downsample_tiers(spark, sf_dir):
     return rollup.with_tier(inputs.events(spark, sf_dir), tiers(None), EVENTS_AS_OF).select("arrival_seq", "ts", "resolution_us")
