@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.llm.word_ranks import ranges
@@ -235,6 +236,17 @@ def _widened(raw: bytes) -> np.ndarray:
     return np.cumsum((step >> np.uint64(1)).astype(np.int64) ^ -(step & np.uint64(1)).astype(np.int64))
 
 
+def _joined(words: list[bytes]) -> bytes:
+    """Words, which hold no space, as one compressed text."""
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 9).compress(raw, asbytes=True)
+
+
+def _parted(raw: bytes) -> pa.Array:
+    text = pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+    return pc.split_pattern(pa.array([text], pa.binary()), " ").flatten()
+
+
 def _word_entries(index: DataFrame, cells: int) -> DataFrame:
     """Per shard and cell: the shard's words, their local numbers and counts."""
 
@@ -247,11 +259,11 @@ def _word_entries(index: DataFrame, cells: int) -> DataFrame:
                 for c, part in _deal(cell[1:]):  # the first is the separator
                     part = part + 1
                     yield pa.RecordBatch.from_pydict({
-                        "lang": [r["lang"]], "cell": [c], "shard": [r["shard"]], "words": pa.array([[words[i] for i in part.tolist()]], pa.list_(pa.binary())),
+                        "lang": [r["lang"]], "cell": [c], "shard": [r["shard"]], "words": pa.array([_joined([words[i] for i in part.tolist()])], pa.binary()),
                         "local": [_squeezed(part)], "counts": [_squeezed(counts[part])],
                     })
 
-    return index.select("shard", "lang", "words", "ends", "counts").mapInArrow(entries, "lang string, cell long, shard long, words array<binary>, local binary, counts binary")
+    return index.select("shard", "lang", "words", "ends", "counts").mapInArrow(entries, "lang string, cell long, shard long, words binary, local binary, counts binary")
 
 
 def _frequent_words(entries: DataFrame, least: int) -> DataFrame:
@@ -259,7 +271,7 @@ def _frequent_words(entries: DataFrame, least: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.combine_chunks()
-        coded = rows["words"].combine_chunks().flatten().dictionary_encode()
+        coded = pa.concat_arrays([_parted(x) for x in rows["words"].to_pylist()]).dictionary_encode()
         index, counts = coded.indices.to_numpy(), np.concatenate([_widened(x) for x in rows["counts"].to_pylist()])
         total = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(total, index, counts)
