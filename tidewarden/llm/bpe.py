@@ -1,6 +1,7 @@
 """Byte-level BPE as a monoid over byte strings.
 
-Encoding: a long piece is cut in halves that are encoded on their own and then joined. A join
+Encoding: a long piece is cut at the largest power of two within it, so that equal halves of a run are
+encoded once; both parts are encoded on their own and then joined. A join
 re-encodes a window of tokens at the border, one token on each side at first, and grows it until the
 tokens at its edges agree with their neighbours outside: two adjacent tokens agree if the bytes of
 both together encode to just these two. A sequence whose tokens all agree pairwise is the encoding
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ class Merges:
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) > 2 * LEAF:
+            return self.wide_leaf(data)
         rank, none = ranks.get, self.none
         parts = [data[i : i + 1] for i in range(len(data))]
         costs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
@@ -63,6 +67,36 @@ class Merges:
                 costs[at - 1] = rank(parts[at - 1] + merged, none)
         return [ranks[p] for p in parts]
 
+    def wide_leaf(self, data: bytes) -> list[int]:
+        """As `leaf`, in time n log n: live parts are linked by their starts, pairs wait in a heap."""
+        rank, none, n = self.ranks.get, self.none, len(data)
+        after = list(range(1, n + 1))
+        before = list(range(-1, n))
+        costs = [rank(data[i : i + 2], none) for i in range(n - 1)] + [none]
+        pairs = [(c, i) for i, c in enumerate(costs) if c < none]
+        heapify(pairs)
+        while pairs:
+            cost, at = heappop(pairs)
+            if costs[at] != cost:
+                continue
+            middle = after[at]
+            after[at] = end = after[middle]
+            before[end] = at
+            costs[middle] = none
+            costs[at] = new = rank(data[at : after[end]], none) if end < n else none
+            if new < none:
+                heappush(pairs, (new, at))
+            if at:
+                left = before[at]
+                costs[left] = new = rank(data[left:end], none)
+                if new < none:
+                    heappush(pairs, (new, left))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[data[at : after[at]]])
+            at = after[at]
+        return out
+
     def agree(self, a: int, b: int) -> bool:
         known = self.agreed.get((a, b))
         if known is None:
@@ -89,8 +123,10 @@ class Merges:
     def piece(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
             return self.leaf(data)
-        half = len(data) // 2
-        return self.join(self.piece(data[:half]), self.piece(data[half:]))
+        half = 1 << (len(data) - 1).bit_length() - 1
+        first, second = data[:half], data[half:]
+        left = self.piece(first)
+        return self.join(left, left if first == second else self.piece(second))
 
     def encode(self, strings: list[str]) -> list[bytes]:
         """Raw uint32 ids of each string; its pieces are encoded separately."""
