@@ -27,6 +27,9 @@ PATTERNS = {
 _GATES = {"email": "contains(text, '@')", "ip": "text RLIKE '[0-9][.][0-9]'", "card": r"text RLIKE '[0-9](?:[\\x20-]?[0-9]){12}'", "phone": "contains(text, '+')"}
 _TERM = r"[\p{L}\p{N}]+"
 SURROUND, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.8, 0.95
+#: Characters looked at first on each side of a mention; only the reading time depends on it.
+GLANCE = 200
+_BEFORE, _AFTER = "reverse(substring(text, m.start - ({n}) + 1, {n}))", "substring(text, m.stop + 1, {n})"
 
 
 def _literal(text: str) -> str:
@@ -76,19 +79,32 @@ def spans_sql(text_col: str) -> str:
     return f"transform(array(coalesce(`{text_col}`, '')), text -> concat({', '.join(parts)}))[0]"
 
 
+def _side(read: str, there: str, words: int) -> str:
+    """SQL: the text from a mention outwards up to the end of the `words`-th word, however long its words are.
+
+    `read` takes {n} characters outwards; `there` is how many there are. A short stretch is enough where it
+    shows the last word's end or is all of the text; else the whole side is read.
+    """
+    pattern = _literal(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{words}}}")
+    ended = _literal(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{{words}}}[^\p{{L}}\p{{N}}]")
+    short = read.format(n=f"least({there}, {GLANCE})")
+    return f"regexp_extract(CASE WHEN {there} <= {GLANCE} OR {short} RLIKE {ended} THEN {short} ELSE {read.format(n=there)} END, {pattern}, 0)"
+
+
 def revealing_terms(found: DataFrame, support: int = SUPPORT, least: float = GENERALISE, surround: int = SURROUND) -> DataFrame:
     """term, disclosure (0 to 1): lower-cased words that reveal an entity, from all rows of found (text, base).
 
-    A mention's surroundings are the `surround` words before and after it. `support` different surroundings
+    A mention's surroundings are the `surround` whole words before and after it, however long. `support` different surroundings
     must hold both, and all of an entity's surroundings together must have twice the words of one, or they
     are copies of one text with a few words changed. disclosure is the largest share of an entity's information over the entities a term meets.
     """
     mentions = found.where(F.size("base") > 0).select("text", F.explode("base").alias("m"))
     word = F.lit(_TERM)
+    left, right = F.lower(F.reverse(F.expr(_side(_BEFORE, "m.start", surround)))), F.lower(F.expr(_side(_AFTER, "length(text) - m.stop", surround)))
     near = mentions.select(
         F.lower("m.found").alias("entity"),
-        F.slice(F.reverse(F.regexp_extract_all(F.lower(F.expr("substring(text, greatest(1, m.start - 199), least(200, m.start))")), word, F.lit(0))), 1, surround).alias("left"),
-        F.slice(F.regexp_extract_all(F.lower(F.expr("substring(text, m.stop + 1, 200)")), word, F.lit(0)), 1, surround).alias("right"),
+        F.slice(F.reverse(F.regexp_extract_all(left, word, F.lit(0))), 1, surround).alias("left"),
+        F.slice(F.regexp_extract_all(right, word, F.lit(0)), 1, surround).alias("right"),
     ).withColumn("place", F.xxhash64("left", "right"))
     near = stage(near.select("entity", "place", F.array_distinct(F.concat("left", "right")).alias("terms")), "pii-near")
     counted = near.groupBy("entity", "place").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
