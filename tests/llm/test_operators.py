@@ -1,6 +1,7 @@
 """Parts of the operators that the queries alone do not show."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -95,6 +96,24 @@ def test_bpe_join_is_the_encoding_of_both(data, cut):
     assert MERGES.join(MERGES.piece(left) if left else [], MERGES.piece(right) if right else []) == whole
 
 
+@pytest.mark.parametrize("data", [b"a" * 1_000_000, b"-" * 80_001, b"abc" * 50_001, "\u65e5\u672c\u8a9e".encode() * 9_001, bytes(random.Random(4).choices(b"abcde ", k=60_000))])
+def test_long_pieces_take_no_quadratic_time(data):
+    """A megabyte of one letter took minutes when a leaf was searched as a whole for each merge."""
+    start = time.monotonic()
+    got = MERGES.piece(data)
+    assert time.monotonic() - start < 10
+    assert got == LIBRARY._core_bpe.encode_single_piece(data)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"a", b"b", b"the", b" ", b"-", "\u00e9".encode(), b"0"]), st.sampled_from([1, 2, 9, 70])), min_size=1, max_size=30))
+def test_leaf_by_heap_is_the_plain_leaf(runs):
+    data = b"".join(part * n for part, n in runs)
+    want = LIBRARY._core_bpe.encode_single_piece(data)
+    assert MERGES.piece(data) == want
+    assert len(want) == 1 or MERGES.wide_leaf(data) == want
+
+
 def test_answers_for_any_limit(spark):
     n = [0, 3, 3, 10, 2000, 5000]
     table = token_counts.limits(token_counts.histogram(spark.createDataFrame([(x,) for x in n] + [(None,)], "n_tokens long")))
@@ -151,6 +170,67 @@ def test_revealing_terms_and_sanitised_text(spark):
     assert all(clean[20 + i] == rows[i + 11][1] for i in range(20))
 
 
+def test_surroundings_are_whole_words_however_long(spark):
+    """Between the name and the address stands a word longer than the stretch that is looked at first, or many empty characters."""
+    draw = random.Random(6)
+    word = lambda k: "".join(draw.choice("abcdefgh") for _ in range(k))
+    filler = lambda k: " ".join(word(4) for _ in range(k))
+    rows = [(i, f"{filler(9)} Harbourmaster {word(191 + 40 * i)} ann@example.org {filler(9)}") for i in range(6)]
+    rows += [(10 + i, f"{filler(9)} bob@example.org{' ' * 400}{word(5)} {word(300)} Lighthouse {filler(9)}") for i in range(6)]
+    rows += [(20 + i, filler(60)) for i in range(20)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = {r["doc_id"]: [s["found"] for s in r["spans"] if s["kind"] in ("name", "term")] for r in found}
+    assert terms == {i: ["Harbourmaster"] if i < 6 else ["Lighthouse"] if 10 <= i < 16 else [] for i, _ in rows}
+
+
+def _disclosures(texts, mentions, support, surround=6):
+    """term: disclosure by the definition, from lists of words and (text, entity, start, stop) in words."""
+    near = [(e, tuple(texts[t][max(0, a - surround) : a]), tuple(texts[t][b : b + surround])) for t, e, a, b in mentions]
+    total, out = sum(map(len, texts)), {}
+    for entity in {e for e, _, _ in near}:
+        own = [set(x) | set(y) for e, x, y in near if e == entity]
+        places = {(x, y): set(x) | set(y) for e, x, y in near if e == entity}
+        if len(places) < support or len(set().union(*own)) < 2 * sum(map(len, places.values())) / len(places):
+            continue
+        for term in {t for t in set().union(*own) if len(t) > 1 and sum(t in p for p in places.values()) >= support}:
+            both, alone = sum(term in s for s in own), sum(words.count(term) for words in texts)
+            told = np.log2(min(1, both / alone) * total / len(own)) / np.log2(total / len(own))
+            if told >= pii.GENERALISE:
+                out[term] = max(out.get(term, 0), told)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_disclosure_by_its_definition(spark, seed):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    tied = {"ann@example.org": "harbour", "bob@example.org": "anchor", "10.0.0.1": "router"}
+    texts, mentions = [], []
+    for t in range(60):
+        line = draw.choices(words, k=draw.randrange(3, 25))
+        entity = draw.choice([None, *tied])
+        if entity:
+            at = draw.randrange(len(line))
+            line[at:at] = [tied[entity]] * (draw.random() < 0.8) + [entity]
+        if draw.random() < 0.1:
+            line.append(draw.choice(list(tied.values())))
+        texts.append(line)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    split = [[v for w in x for v in w.replace("@", " ").replace(".", " ").split()] for x in texts]
+    for t, line in enumerate(texts):
+        at = 0
+        for w in line:
+            size = len(w.replace("@", " ").replace(".", " ").split())
+            if w in tied:
+                mentions.append((t, w, at, at + size))
+            at += size
+    found = pii.with_base(docs, "text").select("text", "base")
+    got = {r["term"]: r["disclosure"] for r in pii.revealing_terms(found).collect()}
+    want = _disclosures(split, mentions, pii.SUPPORT)
+    assert got.keys() == want.keys() and want.keys() & set(tied.values())
+    assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
 def test_benchmark_in_several_sets(spark):
     docs = [(i, f"{'pad ' * i}" + " ".join(f"w{(i + j) % 40}" for j in range(30))) for i in range(30)] + [(90, None), (91, "w1 w2")]
     items = [(k, " ".join(f"w{(3 * k + j) % 40}" for j in range(14 + k % 3))) for k in range(12)] + [(50, "w1 w2"), (51, "pad")]
