@@ -2,7 +2,10 @@
 
 A rule is a label, a keyword, a pattern over words, a priority and a weight. A text is brought to
 words of a-z, 0-9 and letters beyond ASCII, joined by single spaces. Only texts that hold a general
-hint are looked at, and in them only rules whose keyword is there; every match of a rule implies both. Where the place of one detection lies
+hint are looked at, and in them only rules whose keyword is there; every match of a rule implies both.
+Rules name licenses (FAMILIES in the forms of grants and tags) or know texts, notices and addresses
+(`license_texts`). Expressions in tags and grants of several licenses are taken apart into their parts; a
+plus sign behind an identifier is lost with the words' borders. Where the place of one detection lies
 inside that of another of the same or higher priority, it is suppressed; what is left gives the labels.
 """
 
@@ -13,10 +16,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewarden.llm.license_texts import CC_KINDS, CC_VERSIONS, GRANTS as _GRANTS, signatures, tags
+
 _WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Verbs of a grant, and what any rule's match holds: one of these, or a verb without 'licen' with 'under' behind it.
-_GRANTS = "licensed|released|distributed|available|published|provided|covered"
+#: What a named license's match holds: one of these, or a verb of a grant without 'licen' with 'under' behind it.
 _HINTS = ("licen", "spdx", "public domain")
 #: Fixed base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -32,23 +36,23 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", "(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause", "bsd 4 clause"),
     ("0bsd", "bsd", "zero clause bsd|0bsd", "0bsd"),
-    ("gpl-1", "gpl", "gnu gpl (?:version |v)?1|gpl ?v?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "gpl", "gnu gpl (?:version |v)?2|gpl ?v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gpl", "gnu gpl (?:version |v)?3|gpl ?v?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
+    ("gpl-1", "gpl", "gnu gpl (?:version |v)?1|gpl ?v?1(?: 0)?", "gpl 1 0"),
+    ("gpl-2", "gpl", "gnu gpl (?:version |v)?2|gpl ?v?2(?: 0)?", "gpl 2 0"),
+    ("gpl-3", "gpl", "gnu gpl (?:version |v)?3|gpl ?v?3(?: 0)?", "gpl 3 0"),
     ("gpl-1", "gnu", "gnu general public license (?:version |v)?1(?: 0)?", "gnu gpl 1"),
     ("gpl-2", "gnu", "gnu general public license (?:version |v)?2(?: 0)?", "gnu gpl 2"),
     ("gpl-3", "gnu", "gnu general public license (?:version |v)?3(?: 0)?", "gnu gpl 3"),
     ("gpl", "gnu", "gnu general public license|gnu gpl", "gnu gpl"),
-    ("lgpl-2.0", "lgpl", "lgpl ?v?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", "lgpl ?v?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl", "lgpl ?v?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.0", "lgpl", "lgpl ?v?2(?: 0)?", "lgpl 2 0"),
+    ("lgpl-2.1", "lgpl", "lgpl ?v?2 1", "lgpl 2 1"),
+    ("lgpl-3", "lgpl", "lgpl ?v?3(?: 0)?", "lgpl 3 0"),
     ("lgpl-2.1", "gnu", "gnu lesser general public license (?:version |v)?2 1", "gnu lgpl 2 1"),
     ("lgpl-3", "gnu", "gnu lesser general public license (?:version |v)?3(?: 0)?", "gnu lgpl 3"),
     ("lgpl", "gnu", "gnu (?:lesser|library) general public license", "gnu lgpl"),
-    ("agpl-3", "agpl", "agpl ?v?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
+    ("agpl-3", "agpl", "agpl ?v?3(?: 0)?", "agpl 3 0"),
     ("agpl-3", "affero", "(?:gnu )?affero general public license(?: (?:version |v)?3(?: 0)?)?", "gnu agpl 3"),
-    ("gfdl-1.2", "gnu", "gnu free documentation license (?:version |v)?1 2", "gfdl 1 2(?: only| or later)?"),
-    ("gfdl-1.3", "gnu", "gnu free documentation license (?:version |v)?1 3", "gfdl 1 3(?: only| or later)?"),
+    ("gfdl-1.2", "gnu", "gnu free documentation license (?:version |v)?1 2", "gfdl 1 2"),
+    ("gfdl-1.3", "gnu", "gnu free documentation license (?:version |v)?1 3", "gfdl 1 3"),
     ("mpl-1.1", "mozilla", "mozilla public license (?:version |v)?1 1", "mpl 1 1"),
     ("mpl-2", "mozilla", "mozilla public license (?:version |v)?2(?: 0)?", "mpl 2 0"),
     ("mpl-2", "mpl", "mpl (?:version |v)?2(?: 0)?", "mpl 2 0"),
@@ -59,7 +63,7 @@ FAMILIES = [
     ("cpl-1", "common", "common public license(?: (?:version |v)?1 0)?", "cpl 1 0"),
     ("isc", "isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("libpng", "libpng", "libpng", "libpng(?: 2 0)?"),
+    ("libpng", "libpng", "libpng", "libpng|libpng 2 0"),
     ("boost-1", "boost", "boost software(?: license)?(?: (?:version )?1 0)?", "bsl 1 0"),
     ("unlicense", "unlicense", "the unlicense|unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
@@ -81,10 +85,11 @@ FAMILIES = [
     ("cc0-1", "cc0", "cc0(?: 1 0)?", "cc0 1 0"),
     ("public-domain", "domain", "public domain", "public domain"),
     ("proprietary", "proprietary", "proprietary", "licenseref proprietary"),
+    *[(f"cc-{kind.replace(' ', '-')}", "cc", f"cc {kind}", f"cc {kind}") for kind in CC_KINDS],
     *[
-        (f"cc-{kind.replace(' ', '-')}{'-' + version if version else ''}", "cc", f"cc {kind}{' ' + version + '(?: 0)?' if version else ''}", f"cc {kind} {version or '4'} 0")
-        for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-        for version in ("", "2", "3", "4")
+        (f"cc-{kind.replace(' ', '-')}-{number}", "cc", f"cc {kind} (?:{words}|{number})" if words.endswith(" 0") else f"cc {kind} {words}", f"cc {kind} {words}")
+        for kind in CC_KINDS
+        for words, number in CC_VERSIONS.items()
     ],
 ]
 
@@ -112,6 +117,20 @@ def rules() -> list[Rule]:
     return sorted(dict.fromkeys(out), key=lambda r: (-r.priority, r.label, r.pattern))
 
 
+def text_rules() -> list[Rule]:
+    """License texts, notices, full names and addresses; higher priority first."""
+    return sorted((Rule(*x) for x in signatures()), key=lambda r: (-r.priority, r.label, r.pattern))
+
+
+def identifiers() -> dict[str, str]:
+    """Every identifier that a tag may hold, as words, and its label."""
+    return {t: label for label, _, _, tag in FAMILIES for t in tag.split("|")} | tags()
+
+
+def _any_of(patterns) -> str:
+    return "|".join(sorted(dict.fromkeys(patterns), key=lambda x: (-len(x), x)))
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -119,7 +138,9 @@ def _literal(text: str) -> str:
 def _hint(low: str) -> str:
     """SQL: whether a lower-cased text may hold a phrase or a match of any rule."""
     grant = _literal(f"(?:{_GRANTS}){_GAP}+under")
-    return " OR ".join(f"contains({low}, '{h}')" for h in _HINTS) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
+    # A signature that need not hold 'licen' opens the gate by its keyword.
+    own = {r.keyword for r in text_rules() if "licen" not in re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", r.pattern)}
+    return " OR ".join(f"contains({low}, '{h}')" for h in (*_HINTS, *sorted(own))) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
 
 
 def _places(text: str, pattern: str) -> str:
@@ -132,6 +153,31 @@ def _places(text: str, pattern: str) -> str:
     )
 
 
+_DETECTION = "struct<start:int,stop:int,label:string,priority:int,weight:double>"
+
+
+def _tagged(text: str) -> str:
+    """SQL: detections of the identifiers joined by AND, OR and WITH behind a tag; the first one's place includes the tag."""
+    known = identifiers()
+    one = _any_of(known)
+    whole = _literal(f" spdx license identifier (?:{one})(?: (?:and|or|with) (?:{one}))*(?= )")
+    labels = ", ".join(f"'{t}', '{label}'" for t, label in known.items())
+    inner = f"substring({text}, e.start + 1, e.stop - e.start)"
+    own = f"transform({_places(inner, _literal(f'(?<= )(?:{one})(?= |$)'))}, (q, i) -> named_struct('start', e.start + if(i = 0, 0, q.start), 'stop', e.start + q.stop, 'label', element_at(map({labels}), substring({inner}, q.start + 1, q.stop - q.start)), 'priority', 4, 'weight', 1.0D))"
+    return f"CASE WHEN contains({text}, ' spdx ') THEN flatten(transform({_places(text, whole)}, e -> {own})) ELSE cast(array() AS array<{_DETECTION}>) END"
+
+
+def _granted_together(text: str) -> str:
+    """SQL: detections of the names in a grant of several licenses ('under MIT and GPL v2')."""
+    one = _any_of(names for _, _, names, _ in FAMILIES)
+    joint = "(?: (?:and|or|and or|as well as))(?: (?:either|both|the|terms|of|under))*"
+    whole = _literal(f" (?:{_GRANTS}) under(?: (?:either|both|the|terms|of))* (?:{one})(?: licen[sc]e)?(?:{joint} (?:{one})(?: licen[sc]e)?)+(?= )")
+    inner = f"substring({text}, e.start + 1, e.stop - e.start)"
+    table = ", ".join(f"named_struct('label', {_literal(label)}, 'pattern', {_literal(f' (?:{names})(?: licen[sc]e)?(?= |$)')})" for label, _, names, _ in FAMILIES)
+    own = f"flatten(transform(array({table}), r -> transform({_places(inner, 'r.pattern')}, q -> named_struct('start', e.start + q.start, 'stop', e.start + q.stop, 'label', r.label, 'priority', 3, 'weight', 0.9D))))"
+    return f"CASE WHEN contains({text}, ' under ') THEN flatten(transform({_places(text, whole)}, e -> {own})) ELSE cast(array() AS array<{_DETECTION}>) END"
+
+
 def _count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD + "+")).cast("long")
 
@@ -164,13 +210,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "base": F.expr("array_sort(array_distinct(hits.label))"),
     })
 
-    table = ", ".join(f"named_struct('label', {_literal(r.label)}, 'keyword', {_literal(r.keyword)}, 'pattern', {_literal(f' (?:{r.pattern})(?= )')}, 'priority', {r.priority}, 'weight', {r.weight}D)" for r in rules())
+    table = ", ".join(f"named_struct('label', {_literal(r.label)}, 'keyword', {_literal(r.keyword)}, 'pattern', {_literal(f' (?:{r.pattern})(?= )')}, 'priority', {r.priority}, 'weight', {r.weight}D)" for r in (*rules(), *text_rules()))
     joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.expr(f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"), F.lit(_WORD + "+"), F.lit(0)), " "), F.lit(" "))
     df = df.withColumn("joined", F.when(F.col("text") != "", joined).otherwise(F.lit("")))
     df = df.withColumn("found", F.expr(
-        "CASE WHEN joined = '' THEN cast(array() AS array<struct<start:int,stop:int,label:string,priority:int,weight:double>>) ELSE "
+        f"CASE WHEN joined = '' THEN cast(array() AS array<{_DETECTION}>) ELSE concat({_tagged('joined')}, {_granted_together('joined')}, "
         f"flatten(transform(filter(array({table}), r -> contains(joined, r.keyword)), r -> transform({_places('joined', 'r.pattern')}, "
-        "p -> named_struct('start', p.start, 'stop', p.stop, 'label', r.label, 'priority', r.priority, 'weight', r.weight)))) END"
+        "p -> named_struct('start', p.start, 'stop', p.stop, 'label', r.label, 'priority', r.priority, 'weight', r.weight))))) END"
     ))
     # In order of start, then of longer and of higher priority, a detection lies inside an earlier one if an end seen so far, of its priority or a higher one, is not before its own.
     df = df.withColumn("found", F.expr(
