@@ -135,12 +135,27 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _fixed(pattern: str) -> str:
+    """A pattern without top-level alternatives, its groups as '#': what every match holds, but for letters before a question mark."""
+    plain, depth = "", 0
+    for c in pattern:
+        depth += c == "("
+        plain += "#" if depth else c
+        depth -= c == ")"
+    return plain
+
+
 def _hint(low: str) -> str:
     """SQL: whether a lower-cased text may hold a phrase or a match of any rule."""
     grant = _literal(f"(?:{_GRANTS}){_GAP}+under")
-    # A signature that need not hold 'licen' opens the gate by its keyword.
-    own = {r.keyword for r in text_rules() if "licen" not in re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", r.pattern)}
-    return " OR ".join(f"contains({low}, '{h}')" for h in (*_HINTS, *sorted(own))) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
+    # A signature that need not hold 'licen' opens the gate by its keyword and two more of the words that it must hold.
+    own = set()
+    for r in text_rules():
+        fixed = _fixed(r.pattern)
+        if "licen" not in fixed:
+            words = {w for w in fixed.split(" ") if re.fullmatch("[a-z][a-z0-9]+", w)} - {r.keyword}
+            own.add(" AND ".join(f"contains({low}, '{w}')" for w in [r.keyword, *sorted(words, key=lambda w: (-len(w), w))[:2]]))
+    return " OR ".join(f"contains({low}, '{h}')" for h in _HINTS) + "".join(f" OR {x}" for x in sorted(own)) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
 
 
 def _places(text: str, pattern: str) -> str:
