@@ -121,3 +121,17 @@ def test_suppression_by_its_definition(spark, seed):
         assert want - got == set() or all(any(e[0] <= d[0] and d[1] <= e[1] and e[3] >= d[3] for e in got) for d in want - got), text
         assert all(d[3:] == (3, 0.9) for d in got - want), (text, got - want)
         assert not any(d != e and e[0] <= d[0] and d[1] <= e[1] and e[3] >= d[3] for d in got for e in got), text
+
+
+def test_every_rule_holds_its_needed_parts():
+    for r in (*licenses.rules(), *licenses.text_rules()):
+        for optional in (False, True):
+            text = f" {_example(_parser.parse(r.pattern), optional)} "
+            assert any(all(w in text for w in parts) for parts in licenses._needed(r)), (r.pattern, text)
+    assert licenses.holds("a(?: b)? (?:cd|e(?:f|g)h) ij?") == {frozenset({"a", "cd", " i"}), frozenset({"a", "e", "f", "h", " i"}), frozenset({"a", "e", "g", "h", " i"})}
+
+
+def test_places_over_several_blocks(spark):
+    """Places are worked out in blocks of 256: they keep their order and miss none."""
+    row = _scan(spark, ["Licensed under the MIT License. " * 700])[0]
+    assert [(d["start"], d["stop"]) for d in row["detections"]] == [(31 * i, 31 * i + 31) for i in range(700)]

@@ -2,7 +2,8 @@
 
 A rule is a label, a keyword, a pattern over words, a priority and a weight. A text is brought to
 words of a-z, 0-9 and letters beyond ASCII, joined by single spaces. Only texts that hold a general
-hint are looked at, and in them only rules whose keyword is there; every match of a rule implies both.
+hint are looked at, and in them only rules of which fixed parts are there (`holds`); every match of a rule
+implies both. The work on a text grows with its length, however many places it has.
 Rules name licenses (FAMILIES in the forms of grants and tags) or know texts, notices and addresses
 (`license_texts`). Expressions in tags and grants of several licenses are taken apart into their parts; a
 plus sign behind an identifier is lost with the words' borders. Where the place of one detection lies
@@ -145,27 +146,104 @@ def _fixed(pattern: str) -> str:
     return plain
 
 
+def _closing(pattern: str, at: int) -> int:
+    """Place of the bracket that closes the one at `at`."""
+    depth = 0
+    for i in range(at, len(pattern)):
+        depth += (pattern[i] == "(") - (pattern[i] == ")")
+        if not depth:
+            return i
+    raise ValueError(pattern)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def holds(pattern: str) -> set[frozenset[str]]:
+    """Sets of literal parts: every match of the pattern holds all parts of at least one set.
+
+    For the patterns of this module: literals, character classes, groups, `?` and counts in braces.
+    """
+    out = set()
+    for rest in _alternatives(pattern):
+        runs, sets, i = [""], {frozenset()}, 0
+        while i < len(rest):
+            c = rest[i]
+            if c not in "([":
+                optional = rest[i + 1 : i + 2] == "?"
+                runs += [""] if optional else []
+                runs[-1] += "" if optional else c
+                i += 1 + optional
+                continue
+            end = _closing(rest, i) if c == "(" else rest.index("]", i)
+            inner, group = rest[i + 3 : end], rest[i : i + 3] == "(?:"
+            count = re.match(r"(?:\?|\{\d+,\d+\}\??)?", rest[end + 1 :])[0]
+            if group and not count and len(_alternatives(inner)) == 1:
+                rest = rest[:i] + inner + rest[end + 1 :]
+                continue
+            if group and not count:
+                sets = {x | y for x in sets for y in holds(inner)}
+            runs.append("")
+            i = end + 1 + len(count)
+        fixed = frozenset(r for r in runs if r.strip())
+        out |= {x | fixed for x in sets}
+    return out
+
+
+def _needed(rule: Rule) -> list[list[str]]:
+    """`holds` of a rule between words: its keyword and the two longest parts of each set."""
+    sets = {(rule.keyword, *sorted(x, key=lambda w: (-len(w), w))[:2]) for x in holds(f" (?:{rule.pattern}) ")}
+    return sorted(map(list, sets))
+
+
 def _hint(low: str) -> str:
     """SQL: whether a lower-cased text may hold a phrase or a match of any rule."""
     grant = _literal(f"(?:{_GRANTS}){_GAP}+under")
     # A signature that need not hold 'licen' opens the gate by its keyword and two more of the words that it must hold.
-    own = set()
+    own: dict[str, set[str]] = {}
     for r in text_rules():
         fixed = _fixed(r.pattern)
         if "licen" not in fixed:
             words = {w for w in fixed.split(" ") if re.fullmatch("[a-z][a-z0-9]+", w)} - {r.keyword}
-            own.add(" AND ".join(f"contains({low}, '{w}')" for w in [r.keyword, *sorted(words, key=lambda w: (-len(w), w))[:2]]))
-    return " OR ".join(f"contains({low}, '{h}')" for h in _HINTS) + "".join(f" OR {x}" for x in sorted(own)) + f" OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
+            more = [f"contains({low}, '{w}')" for w in sorted(words, key=lambda w: (-len(w), w))[:2]]
+            own.setdefault(r.keyword, set()).add(" AND ".join(more) or "true")
+    signs = "".join(f" OR contains({low}, '{k}') AND ({' OR '.join(sorted(x))})" for k, x in sorted(own.items()))
+    return " OR ".join(f"contains({low}, '{h}')" for h in _HINTS) + f"{signs} OR contains({low}, 'cc') AND contains({low}, 'nc') OR contains({low}, 'under') AND {low} RLIKE {grant}"
+
+
+#: Entries of an array that are gone through in one go: appending copies what is there, so long arrays go in blocks.
+_BLOCK = 256
+
+
+def _blocks(array: str) -> str:
+    """SQL: an array that is not empty, cut into blocks."""
+    return f"transform(sequence(0, (size({array}) - 1) div {_BLOCK}), b -> slice({array}, b * {_BLOCK} + 1, {_BLOCK}))"
+
+
+def _so_far(values: str, zero: str, merge: str, kind: str) -> str:
+    """SQL: for each entry, the merge (of t.now and x) of all entries before it."""
+    return f"aggregate({values}, named_struct('now', {zero}, 'list', cast(array() AS array<{kind}>)), (t, x) -> named_struct('now', {merge}, 'list', concat(t.list, array(t.now))), t -> t.list)"
 
 
 def _places(text: str, pattern: str) -> str:
     """SQL for array<struct<start,stop>>, code points, of a pattern's matches."""
-    return (
-        f"aggregate(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (p, m) -> struct(length(p) AS gap, length(m) AS size)), "
-        "struct(0 AS at, cast(array() AS array<struct<start:int,stop:int>>) AS spans), "
-        "(s, x) -> struct(s.at + x.gap + coalesce(x.size, 0) AS at, CASE WHEN x.size IS NULL THEN s.spans ELSE "
-        "concat(s.spans, array(named_struct('start', s.at + x.gap, 'stop', s.at + x.gap + x.size))) END AS spans), s -> s.spans)"
+    none = "cast(array() AS array<struct<start:int,stop:int>>)"
+    steps = f"zip_with(cut, regexp_extract_all({text}, {pattern}, 0), (p, m) -> named_struct('gap', length(p), 'size', length(m)))"
+    block = (
+        f"aggregate(block, named_struct('at', 0, 'spans', {none}), (s, x) -> named_struct('at', s.at + x.gap + coalesce(x.size, 0), 'spans', "
+        "CASE WHEN x.size IS NULL THEN s.spans ELSE concat(s.spans, array(named_struct('start', s.at + x.gap, 'stop', s.at + x.gap + x.size))) END))"
     )
+    moved = f"flatten(zip_with(inside, {_so_far('inside.at', '0', 't.now + x', 'int')}, (i, o) -> transform(i.spans, p -> named_struct('start', p.start + o, 'stop', p.stop + o))))"
+    placed = f"transform(array({steps}), steps -> transform(array(transform({_blocks('steps')}, block -> {block})), inside -> {moved})[0])[0]"
+    return f"transform(array(split({text}, {pattern}, -1)), cut -> CASE WHEN size(cut) < 2 THEN {none} ELSE {placed} END)[0]"
 
 
 _DETECTION = "struct<start:int,stop:int,label:string,priority:int,weight:double>"
@@ -225,12 +303,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "base": F.expr("array_sort(array_distinct(hits.label))"),
     })
 
-    table = ", ".join(f"named_struct('label', {_literal(r.label)}, 'keyword', {_literal(r.keyword)}, 'pattern', {_literal(f' (?:{r.pattern})(?= )')}, 'priority', {r.priority}, 'weight', {r.weight}D)" for r in (*rules(), *text_rules()))
+    every = (*rules(), *text_rules())
+    parts = {w: i for i, w in enumerate(dict.fromkeys(w for r in every for x in _needed(r) for w in x))}
+    needs = lambda r: "array(" + ", ".join(f"array({', '.join(str(parts[w]) for w in x)})" for x in _needed(r)) + ")"
+    table = ", ".join(f"named_struct('label', {_literal(r.label)}, 'needs', {needs(r)}, 'pattern', {_literal(f' (?:{r.pattern})(?= )')}, 'priority', {r.priority}, 'weight', {r.weight}D)" for r in every)
+    there = f"transform(array({', '.join(map(_literal, parts))}), w -> contains(joined, w))"
     joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.expr(f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"), F.lit(_WORD + "+"), F.lit(0)), " "), F.lit(" "))
     df = df.withColumn("joined", F.when(F.col("text") != "", joined).otherwise(F.lit("")))
     df = df.withColumn("found", F.expr(
         f"CASE WHEN joined = '' THEN cast(array() AS array<{_DETECTION}>) ELSE concat({_tagged('joined')}, {_granted_together('joined')}, "
-        f"flatten(transform(filter(array({table}), r -> contains(joined, r.keyword)), r -> transform({_places('joined', 'r.pattern')}, "
+        f"flatten(transform(transform(array({there}), there -> filter(array({table}), r -> exists(r.needs, x -> forall(x, i -> there[i]))))[0], r -> transform({_places('joined', 'r.pattern')}, "
         "p -> named_struct('start', p.start, 'stop', p.stop, 'label', r.label, 'priority', r.priority, 'weight', r.weight))))) END"
     ))
     # In order of start, then of longer and of higher priority, a detection lies inside an earlier one if an end seen so far, of its priority or a higher one, is not before its own.
@@ -238,11 +320,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "array_sort(found, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start WHEN x.stop <> y.stop THEN y.stop - x.stop "
         "WHEN x.priority <> y.priority THEN y.priority - x.priority ELSE CASE WHEN x.label < y.label THEN -1 WHEN x.label > y.label THEN 1 ELSE 0 END END)"
     ))
-    top = max(r.priority for r in rules())
+    top = max(r.priority for r in every)
+    none = f"array_repeat(-1, {top + 1})"
+    ends = f"transform({none}, (e, p) -> coalesce(array_max(transform(filter(block, x -> x.priority >= p), x -> x.stop)), e))"
+    kept = (
+        f"aggregate(block, named_struct('ends', before, 'kept', cast(array() AS array<{_DETECTION}>)), (s, x) -> named_struct("
+        "'ends', transform(s.ends, (e, p) -> CASE WHEN p <= x.priority THEN greatest(e, x.stop) ELSE e END), "
+        "'kept', CASE WHEN s.ends[x.priority] >= x.stop THEN s.kept ELSE concat(s.kept, array(x)) END), s -> s.kept)"
+    )
+    before = _so_far(f"transform(blocks, block -> {ends})", none, "zip_with(t.now, x, (e, n) -> greatest(e, n))", "array<int>")
     df = df.withColumn("detections", F.expr(
-        f"aggregate(found, struct(array_repeat(-1, {top + 1}) AS ends, filter(found, x -> false) AS kept), (s, x) -> struct("
-        "transform(s.ends, (e, p) -> CASE WHEN p <= x.priority THEN greatest(e, x.stop) ELSE e END) AS ends, "
-        "CASE WHEN s.ends[x.priority] >= x.stop THEN s.kept ELSE concat(s.kept, array(x)) END AS kept), s -> s.kept)"
+        f"CASE WHEN size(found) = 0 THEN found ELSE transform(array({_blocks('found')}), blocks -> flatten(zip_with(blocks, {before}, (block, before) -> {kept})))[0] END"
     ))
     return df.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
