@@ -1,13 +1,15 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.functions.tiers import RollupTier
 from tidewarden.functions.timeline import HOUR, MINUTE
 from tidewarden.operators.admission import limit_in_flight, limit_rate
-from tidewarden.operators.kernels import admit
+from tidewarden.operators.kernels import admit, rate_state
 from tidewarden.operators.rollup import downsample
 from tidewarden.streaming.admission import limit_in_flight_stream, limit_rate_stream, write_rate_limited
 from tidewarden.streaming.aggregates import dedup_stream, latest_heartbeats_stream, rollup_stream
@@ -154,3 +156,41 @@ def test_streams_read_a_directory_table(spark, tmp_path):
     spark.read.parquet(f"{one}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     rows = [sorted(map(tuple, REGISTRY["stream_ingest"](spark, d).collect())) for d in (one, str(tmp_path))]
     assert rows[0] == rows[1] and sum(r[2] for r in rows[0]) == spark.read.parquet(f"{one}/events.parquet").count()
+
+
+class _Credit:
+    """The state of one key."""
+
+    exists = False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def _frames(n, seed):
+    draw = np.random.default_rng(seed)
+    us = 1_704_067_200_000_000 + draw.integers(0, 20 * n, n)
+    rows = pd.DataFrame({"seq": draw.permutation(n), "_us": us, "_cost": draw.integers(1, 60, n)})
+    for a in range(0, n, 1000):
+        yield rows.iloc[a : a + 1000].assign(tenant=[f"tenant {i % 7}" for i in range(len(rows.iloc[a : a + 1000]))])
+
+
+def test_rate_state_in_steps_is_the_whole_run():
+    rows = pd.concat(_frames(5000, 1)).sort_values(["_us", "seq"])
+    want, left = admit(rows["_us"].to_numpy(), rows["_cost"].to_numpy(), 100_000, None, 100_000)
+    state = _Credit()
+    got = pd.concat(rate_state(100_000, ["seq"], ["seq", "tenant"], step=7)(None, _frames(5000, 1), state))
+    assert got["seq"].tolist() == pd.concat(_frames(5000, 1))["seq"].tolist()
+    verdicts = dict(zip(got["seq"], got["verdict"] == "accepted"))
+    assert [verdicts[s] for s in rows["seq"]] == want.tolist() and 0 < want.sum() < len(want)
+    assert state.get == (left, int(rows["_us"].iloc[-1]))
+
+
+def test_rate_state_keeps_rows_packed():
+    n = 200_000
+    frames, run = _frames(n, 2), rate_state(10**9, ["seq"], ["seq", "tenant"])
+    tracemalloc.start()
+    rows = sum(len(f) for f in run(None, frames, _Credit()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 200 * n, peak / n
