@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewarden.llm import bpe, decontaminate, licenses, maxscore, pii, quality, simhash, token_counts, token_files, toxicity
 from tidewarden.llm.components import components
 from tidewarden.llm.labelled import fold
+from tidewarden.llm.pieces import token_chunks
 
 
 def test_components_of_a_chain_a_star_and_odd_rows(spark):
@@ -308,3 +309,15 @@ def test_every_license_rule_by_itself(spark):
     tags = {"EPL-2.0": "epl-2", "MPL-1.1": "mpl-1.1", "BSL-1.0": "boost-1", "OFL-1.1": "ofl-1.1", "MS-PL": "ms-pl", "PSF-2.0": "psf-2", "ODC-By-1.0": "odc-by-1"}
     rows = licenses.scan(spark.createDataFrame([(i, f"// SPDX-License-Identifier: {t}") for i, t in enumerate(tags)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r["labels"], r["score"]) for r in rows] == [(x, 1.0) for x in tags.values()]
+
+
+def test_token_counts_remember_numbers_and_are_bounded(spark):
+    """A chunk is remembered by its count, and a small bound changes no count."""
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choices("abcd,.\n", k=draw.randrange(1, 9))) for _ in range(draw.randrange(0, 30))) for _ in range(300)]
+    few = token_chunks(lambda strings: [np.array([len(s)], "<u4").tobytes() for s in strings], bound=10)
+    for at in range(0, 300, 20):
+        counts, lengths = few.items(texts[at : at + 20])
+        assert token_counts._summed(counts, lengths).tolist() == [len(t) for t in texts[at : at + 20]]
+    few.items([""])
+    assert len(few) == 1

@@ -112,19 +112,20 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 _SAFE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?|*#$%&]+(?:\s|$))|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
 
 
-def token_chunks(encode) -> Chunks:
-    """Chunks whose items are token ids (uint32); encode(list of strings) gives raw ids of each.
+def token_chunks(encode, bound: int = 500_000) -> Chunks:
+    """Chunks whose items are token ids (uint32); encode(list of strings) gives raw ids of each, or a number for all of them.
 
     Chunks are cut further where the tokenizer cuts too, so that fewer distinct strings are encoded.
+    `bound` is what the Chunks remember; of the strings encoded, three fifths of that.
     """
     known: dict[str, bytes] = {}
 
     def work(new: list[str]) -> list[bytes]:
-        if len(known) > 300_000:
+        if len(known) > bound * 3 // 5:
             known.clear()
         cut = [[c] if c[1:].isalpha() else _SAFE.split(c) for c in new]
         fresh = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]
         known.update(zip(fresh, encode(fresh)))
         return [known[some[0]] if len(some) == 1 else b"".join([known[p] for p in some]) for some in cut]
 
-    return Chunks(work, forget_too=known.clear)
+    return Chunks(work, bound=bound, forget_too=known.clear)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,15 @@ from tidewarden.sources.staging import stage
 _LOADED: dict[tuple[str, str], Chunks] = {}
 #: Lengths are summed in ranges first, so that no window runs over all of them.
 RANGE = 1024
+#: Chunks that a worker remembers: two workers and the JVM share an executor.
+REMEMBERED = 250_000
+
+
+def _summed(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of the given lengths."""
+    ends = np.cumsum(lengths)
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    return upto[ends] - upto[ends - lengths]
 
 
 def token_count(text: Column, path: str, pattern: str) -> Column:
@@ -25,13 +35,15 @@ def token_count(text: Column, path: str, pattern: str) -> Column:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return token_chunks(lambda strings: [np.array(x, "<u4").tobytes() for x in map(library.encode_ordinary, strings)])
+        # A count per string instead of its ids, one object for equal counts.
+        same = cache(lambda n: np.array([n], "<u4").tobytes())
+        return token_chunks(lambda strings: [same(len(x)) for x in map(library.encode_ordinary, strings)], bound=REMEMBERED)
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         if (path, pattern) not in _LOADED:
             _LOADED[path, pattern] = load()
-        n = [_LOADED[path, pattern].items(some)[1] for some in sections(texts)]
+        n = [_summed(*_LOADED[path, pattern].items(some)) for some in sections(texts)]
         return pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
 
     return count(text)
