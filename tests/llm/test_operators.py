@@ -321,3 +321,22 @@ def test_token_counts_remember_numbers_and_are_bounded(spark):
         assert token_counts._summed(counts, lengths).tolist() == [len(t) for t in texts[at : at + 20]]
     few.items([""])
     assert len(few) == 1
+
+
+def test_token_counts_ask_the_library_once_a_block(spark, monkeypatch):
+    """Not once per distinct word; a text longer than a block is cut where the pre-tokenizer cuts."""
+    import pyarrow as pa
+    import tiktoken
+
+    path, asked, whole = P.path("byte_bpe_50k.tiktoken"), [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: asked.append(text) or whole(self, text))
+    monkeypatch.setattr(token_counts, "_LOADED", {})
+    draw = random.Random(9)
+    texts = ["".join(draw.choices("abcdé \n\t\u3000\x1c\0.,'s1", k=2000)) for _ in range(40)] + [None, "", "  "]
+    want = [len(whole(token_counts._library(path, P.PATTERN), t or "")) for t in texts]
+    assert token_counts.counts(pa.array(texts, pa.string()), path, P.PATTERN).tolist() == want
+    assert len(asked) == len(texts)
+    monkeypatch.setattr(token_counts, "BLOCK", 50)
+    asked.clear()
+    assert token_counts.counts(pa.array(texts, pa.string()), path, P.PATTERN).tolist() == want
+    assert "".join(asked) == "".join(t or "" for t in texts) and max(map(len, asked)) < 500

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import base64
-from functools import cache
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.llm.pieces import Chunks, sections, token_chunks
+from tidewarden.llm.pieces import remember_only, sections
 from tidewarden.sources.staging import stage
 
-_LOADED: dict[tuple[str, str], Chunks] = {}
+_LOADED: dict[tuple[str, str], object] = {}
 #: Lengths are summed in ranges first, so that no window runs over all of them.
 RANGE = 1024
-#: Chunks that a worker remembers: two workers and the JVM share an executor.
-REMEMBERED = 250_000
+#: Characters of a text that the library gets at once, about, and texts that are Python strings at once.
+BLOCK, SECTION = 1 << 20, 256
+#: Pre-tokenizers always cut before a space that follows something else than white space.
+_CUT = re.compile(r"\S(?= )")
 
 
 def _summed(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -26,25 +29,38 @@ def _summed(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - lengths]
 
 
-def token_count(text: Column, path: str, pattern: str) -> Column:
-    """Tokens of a text under a rank file, special tokens as ordinary text; null or empty: 0."""
+def _blocks(text: str):
+    at = 0
+    while len(text) - at > BLOCK and (cut := _CUT.search(text, at + BLOCK)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
 
-    def load():
+def _library(path: str, pattern: str):
+    if (path, pattern) not in _LOADED:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        # A count per string instead of its ids, one object for equal counts.
-        same = cache(lambda n: np.array([n], "<u4").tobytes())
-        return token_chunks(lambda strings: [same(len(x)) for x in map(library.encode_ordinary, strings)], bound=REMEMBERED)
+        _LOADED[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[path, pattern]
+
+
+def counts(texts: pa.Array, path: str, pattern: str) -> np.ndarray:
+    """Tokens of each text. Texts go to the library as they are: a number per distinct word costs more than the word's tokens, and room."""
+    remember_only(None)
+    encode = _library(path, pattern).encode_ordinary
+    found = [[len(encode(block)) for block in _blocks(text)] for some in sections(texts, SECTION) for text in some]
+    return _summed(np.fromiter(chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found)))
+
+
+def token_count(text: Column, path: str, pattern: str) -> Column:
+    """Tokens of a text under a rank file, special tokens as ordinary text; null or empty: 0."""
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        if (path, pattern) not in _LOADED:
-            _LOADED[path, pattern] = load()
-        n = [_summed(*_LOADED[path, pattern].items(some)) for some in sections(texts)]
-        return pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
+        return pa.array(counts(texts, path, pattern), pa.int64())
 
     return count(text)
 
