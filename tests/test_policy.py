@@ -138,3 +138,13 @@ def test_a_broken_tier_list_fails_and_a_lost_interval_is_a_violation(spark):
     with pytest.raises(Exception, match="no list of tiers"):
         effective('"oops"').collect()
     assert [r["rule"] for r in policy_violations(effective('[{"after":"1h","intervall":"1m"}]')).collect()] == [10]
+
+
+def test_effective_policies_hold_no_table_of_all_tenants(spark):
+    """No side is sent to every task, and tasks that read neither sort nor aggregate what they make."""
+    tenants = spark.range(5).selectExpr("concat('t', id) AS tenant")
+    over = tenants.selectExpr("tenant AS doc", "array('rf') AS path", "'5' AS value_json", "'scalar' AS kind")
+    plan = effective_policies(tenants, [(["rf"], "3", "scalar"), (["limits", "max_series"], "1", "scalar")], over)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "HashAggregate" not in plan
+    from_the_top = [line.lstrip(" :+-").split("(")[0].split(" ")[0] for line in plan.splitlines()]
+    assert from_the_top.index("Exchange") > max(i for i, op in enumerate(from_the_top) if op == "SortAggregate")

@@ -212,13 +212,12 @@ def document_violations(paths: DataFrame) -> DataFrame:
 def policy_from_paths(paths: DataFrame, strict: bool = False) -> DataFrame:
     """Path rows of policy documents (doc = tenant) back to the raw policy table, one grouping.
 
-    A tier list that is none is null, or fails the job if `strict`.
+    A tier list that is none is null, or fails the job if `strict`. Rows are dealt out by tenant before they
+    are grouped: largest texts are found in sorted rows, and a task that reads would sort all that it makes.
     """
     value = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value_json"), F.lit("}")), "$.v")
-    dotted = F.array_join("path", ".")
-    flat = paths.groupBy(F.col("doc").alias("tenant")).agg(
-        *[F.max(F.when(dotted == ".".join(p), value)).alias(n) for n, p in POLICY_PATHS.items()]
-    )
+    rows = paths.select(F.col("doc").alias("tenant"), F.array_join("path", ".").alias("_path"), value.alias("_value")).repartition("tenant")
+    flat = rows.groupBy("tenant").agg(*[F.max(F.when(F.col("_path") == ".".join(p), F.col("_value"))).alias(n) for n, p in POLICY_PATHS.items()])
     toggles = F.struct(*[F.col(s).cast("boolean").alias(s) for s in schema.SIGNALS])
     return flat.select(
         "tenant",
