@@ -97,3 +97,50 @@ def test_intervals_of_both_transforms_are_the_places_of_the_phrase():
             if size < 4:
                 at = [i for i in range(len(text) - size + 1) if tuple(text[i : i + size].tolist()) == p]
                 assert sorted(index.side["left"][0][lo : lo + n].tolist()) == sorted(before[at].tolist())
+
+
+def test_rare_pairs_stay_in_their_shards(spark, monkeypatch):
+    """Most pairs of frequent words are rare: sums over buckets are sent and a few pairs, less than a byte for each; a place takes one number of an index."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, lang, " ".join(rnd.choices(words, k=400)) + ". w1 w2 w3 w4 w5") for i in range(60) for lang in ("en", "de")]
+    sent, kept, size = [], [], lambda df: [sum(len(v) for r in df.collect() for v in r if isinstance(v, (bytes, bytearray))), df.count()]
+
+    def spied(entries, *rest, real=collocations._frequent_phrases):
+        sent.append(size(entries))
+        return real(entries, *rest)
+
+    def small(docs, *columns, real=collocations.indexes):
+        index = real(docs, *columns, 2000)
+        kept.append(size(index)[0])
+        return index
+
+    monkeypatch.setattr(collocations, "_frequent_phrases", spied)
+    monkeypatch.setattr(collocations, "indexes", small)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    _, tables = collocations.frequent_phrases(docs, longest=2)
+    want = Counter((lang, a, b) for _, lang, text in rows for piece in text.split(".") for a, b in zip(piece.split(), piece.split()[1:]))
+    assert {(r.lang, *r.phrase.split(), r.f) for r in tables[1].collect()} == {(*p, n) for p, n in want.items() if n >= 30}
+    assert sum(n for n, _ in sent) < sum(want.values())
+    assert kept[0] < 9 * 405 * len(rows)
+    sent.clear()
+    assert got(collocations.mine(docs, longest=5)) == plain([r[1:] for r in rows], longest=5)
+    assert len(sent) == 5
+
+
+def test_pairs_are_numbers_that_cells_divide_evenly():
+    rng = np.random.default_rng(2)
+    for bits in (1, 9, 16, 31, 32):
+        head, tail = rng.integers(0, 1 << bits, (2, 5000))
+        x = collocations._mixed(head, tail, bits)
+        back = collocations._unmixed(x, bits)
+        assert np.array_equal(back[0], head) and np.array_equal(back[1], tail)
+        x = np.unique(x)
+        parts = collocations._sent(x, 2 * bits, 7)
+        assert [i for _, a, e in parts for i in range(a, e)] == list(range(len(x))) and all(a < b for (a, *_), (b, *_) in zip(parts, parts[1:]))
+        if bits > 8:
+            assert min(e - a for _, a, e in parts) > 500 and len(parts) == 7
+    for top in (1, 1 << 16, 1 << 40, 1 << 60):
+        numbers = rng.integers(0, top, 3000)
+        assert np.array_equal(collocations._order(numbers), np.argsort(numbers, kind="stable"))
+    assert len(collocations._order(np.zeros(0, np.int64))) == 0
